@@ -235,6 +235,11 @@ LABELLED = """
 40 0 10 0 66 0 0 1 0 0 0
 12 .1 90 0 1 1 0 1 0 0 0
 28 0 1 1 70 0 0 1 0 0 0
+40 0 60 0 0 0 0 0 0 0 1
+25 0 33 0 2 1 0 0 0 0 1
+18 0 90 0 5 0 0 0 0 0 1
+33 .1 0 0 0 0 0 0 0 0 1
+15 0 0 0 0 0 0 0 0 0 1
 """
 
 
