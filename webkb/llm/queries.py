@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, lm_score, mixing, packing, pii, quality, simhash
+from . import chroma, exact_dedup, html_text, lm_score, mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = chroma.recordings(_table(spark, sf_dir, "embeddings"))
+    return chroma.align(chroma.fingerprints(media, "id", "audio")).withColumnRenamed("id", "vec_id")
+
+
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     models = lm_score.fit(docs.select("text"), _table(spark, sf_dir, "benchmark").select("text"))
@@ -53,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op6_chroma, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
