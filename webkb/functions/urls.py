@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .udf import arrow_udf
+
 PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 # URL patterns that a crawl leaves out, and where a URL holds a page number.
@@ -45,7 +47,7 @@ def normalize_url(url: Column) -> Column:
     return F.when(scheme == "", url).otherwise(whole)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def state_url(urls: pd.Series) -> pd.Series:
     """The normalisation of visit states: percent-decoded path, one value for each query key, ports kept, no parameters or fragment."""
 

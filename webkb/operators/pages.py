@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html_tree as H
 from ..functions.text import clean, summary, word_count
+from ..functions.udf import arrow_udf
 from ..functions.urls import normalize_url
 
 BLOCK = "struct<block_type:string,text:string,tag_name:string,level:int,attributes:map<string,string>,links:int,position:int>"
@@ -21,7 +22,7 @@ META = (
 )
 
 
-@F.pandas_udf(PARSED)
+@arrow_udf(PARSED)
 def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     rows = []
     for h, u in zip(html, url):
@@ -31,12 +32,12 @@ def parse_page(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["title", "language", "blocks", "main_blocks", "links", "images"])
 
 
-@F.pandas_udf(META)
+@arrow_udf(META)
 def page_metadata(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([H.metadata(H.tree(h)) for h in html], columns=[f.split(":")[0] for f in "title description keywords author canonical charset viewport robots og twitter ld_types ld_json best_title best_description best_image published modified language".split()])
 
 
-@F.pandas_udf("struct<tag:string,score:double>")
+@arrow_udf("struct<tag:string,score:double>")
 def best_container(html: pd.Series) -> pd.DataFrame:
     """The element that looks most like main content, if its score is over 0.3."""
     rows = []

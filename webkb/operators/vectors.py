@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.udf import arrow_udf
+
 QUERY_BLOCK = 512
 
 
@@ -132,7 +134,7 @@ def cluster_texts(vectors: DataFrame, clusters: int, seed: int = 42) -> DataFram
     return KMeans(k=clusters, seed=seed, predictionCol="label").fit(rows).transform(rows).select("vec_id", "label")
 
 
-@F.pandas_udf("array<float>")
+@arrow_udf("array<float>")
 def hash_embedding(texts: pd.Series) -> pd.Series:
     """A deterministic stand-in for an embedding model: signed word hashes in 64 places, unit length."""
 

@@ -33,9 +33,9 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return low.unionByName(c).unionByName(s)
 
 
-_EDGES = """WITH e AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS s, 'in_region' AS p, r_name AS o, 1.0 AS c FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT c_custkey + 1000000, c_name, 'in_nation', n_name, 0.9 FROM customer JOIN nation ON c_nationkey = n_nationkey
-    UNION ALL SELECT s_suppkey + 500000000, s_name, 'supplies_from', n_name, 0.8 FROM supplier JOIN nation ON s_nationkey = n_nationkey) """
+_EDGES = """WITH e AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS s, 'in_region' AS p, r_name AS o, CAST(1.0 AS DOUBLE) AS c FROM nation JOIN region ON n_regionkey = r_regionkey
+    UNION ALL SELECT c_custkey + 1000000, c_name, 'in_nation', n_name, CAST(0.9 AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey
+    UNION ALL SELECT s_suppkey + 500000000, s_name, 'supplies_from', n_name, CAST(0.8 AS DOUBLE) FROM supplier JOIN nation ON s_nationkey = n_nationkey) """
 
 
 @query("f14_edges_of_entity", _EDGES + "SELECT id, 'out' AS direction FROM e WHERE lower(s) = 'nation_3' UNION ALL SELECT id, 'in' FROM e WHERE lower(o) = 'nation_3'")
