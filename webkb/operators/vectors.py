@@ -152,3 +152,69 @@ def lru_trace(accesses: DataFrame, key: str, at: str, most: int) -> DataFrame:
     """The keys a least-recently-used store of `most` entries holds after all accesses."""
     last = accesses.groupBy(key).agg(F.max(at).alias("last_access"))
     return last.orderBy(F.desc("last_access"), key).limit(most)
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.95, bands: int = 24, bits: int = 16, seed: int = 7) -> DataFrame:
+    """(a, b, score) with a < b and cosine of `least` or more: candidates share a band of random-hyperplane signs, scores are exact.
+
+    At a cosine of 0.95 a pair shares a band with a chance of 0.99. Equal vectors belong together beforehand (see deduplicate)."""
+
+    @F.pandas_udf("array<struct<band:int,key:long>>")
+    def keys(found: pd.Series) -> pd.Series:
+        m = np.stack([np.asarray(v, float) for v in found])
+        planes = np.random.default_rng(seed).normal(size=(m.shape[1], bands * bits))
+        signs = (m @ planes > 0).reshape(len(m), bands, bits)
+        packed = signs @ (1 << np.arange(bits, dtype=np.int64))
+        return pd.Series([[{"band": b, "key": int(k)} for b, k in enumerate(row)] for row in packed])
+
+    rows = vectors.select("vec_id", "vector", F.inline(keys("vector")))
+    left = rows.select("band", "key", F.col("vec_id").alias("a"))
+    right = rows.select("band", "key", F.col("vec_id").alias("b"))
+    pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
+    sides = vectors.select("vec_id", "vector")
+    pairs = pairs.join(sides.select(F.col("vec_id").alias("a"), F.col("vector").alias("va")), "a").join(sides.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb")), "b")
+    return pairs.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= least)
+
+
+def deduplicate(vectors: DataFrame, least: float = 0.95) -> DataFrame:
+    """(vec_id, kept_by): greedy by id, where only kept vectors suppress later ones; kept ones name themselves.
+
+    Equal vectors fold into their first. On the graph of similar pairs a vector is kept once all earlier neighbours are
+    suppressed, and suppressed by its first kept neighbour; rounds of joins settle them all."""
+    from ..sources.shared import materialise
+
+    classes = materialise(vectors.groupBy(F.col("vector")).agg(F.min("vec_id").alias("vec_id")))
+    edges = materialise(similar_pairs(classes, least).select("a", "b"))
+    nodes = classes.select("vec_id", F.lit(None).cast("long").alias("kept_by"))
+    while True:
+        kept = nodes.where("kept_by = vec_id").select(F.col("vec_id").alias("a"))
+        by = edges.join(kept, "a").groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("by"))
+        waiting = edges.join(nodes.where("kept_by IS NULL").select(F.col("vec_id").alias("a")), "a").select(F.col("b").alias("vec_id"), F.lit(True).alias("waits")).distinct()
+        state = nodes.join(by, "vec_id", "left").join(waiting, "vec_id", "left")
+        settled = F.when(F.col("waits").isNull(), F.coalesce("by", "vec_id"))
+        nodes = materialise(state.select("vec_id", F.coalesce("kept_by", settled).alias("kept_by")))
+        if nodes.where("kept_by IS NULL").isEmpty():
+            break
+    named = classes.join(nodes, "vec_id").select("vector", "kept_by")
+    return vectors.join(named, "vector").select("vec_id", "kept_by")
+
+
+def add(index: DataFrame, rows: DataFrame, dimensions: int) -> DataFrame:
+    """index with new rows; a repeated id or another length is an error when the result is computed."""
+    both = index.unionByName(rows)
+    checked = both.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("vec_id")))
+    right = (F.col("_n") == 1) & (F.size("vector") == dimensions)
+    return checked.where(F.when(right, True).otherwise(F.raise_error(F.lit("duplicate id or wrong dimensions")).cast("boolean"))).drop("_n")
+
+
+def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
+    return index.join(ids.select("vec_id").distinct(), "vec_id", "left_anti")
+
+
+def index_stats(index: DataFrame) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("vector")).alias("dimensions"), F.sum(F.size("vector").cast("long") * 4).alias("bytes"))
+
+
+def wants_lists(count: int, clusters: int = 100, least: int = 1000) -> int:
+    """How many clusters an index of `count` vectors gets: none below `least`, at most a tenth of the vectors."""
+    return min(clusters, count // 10) if count >= least else 0

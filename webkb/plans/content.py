@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..operators import chunking, navigation, pages, questions
+from ..operators import chunking, crawl, navigation, pages, questions
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -243,3 +243,42 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
 def q9(spark: SparkSession, d: str) -> DataFrame:
     rows = questions.expand(questions.parse(_asked(spark, d)))
     return rows.select("conv_id", "turn", "search_queries", "reformulations", questions.all_queries(F.col("normalized_query"), F.col("search_queries"), F.col("reformulations")).alias("variants"))
+
+
+@query("q2_normalize_question", r"""SELECT conv_id, turn, CASE WHEN NOT ends_with(t, '?') AND regexp_matches(lower(t), '^(what|where|when|why|how|who|which|is|are|was|were|do|does|did|can|could|will|would|should|has|have) ') THEN t || '?' ELSE t END AS normalized
+    FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user')""")
+def q2(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("conv_id", "turn", questions.normalized(F.col("query")).alias("normalized"))
+
+
+@query("q8_follow_up", r"""SELECT conv_id, turn, regexp_matches(text, '(?i)(?:^(and|also|what about|how about)\b)|(?:^(tell me more|more about|elaborate)\b)|(?:\bprevious(ly)?\b)|(?:\babove\b)|(?:\bearlier\b)') AS follow_up FROM conversations WHERE role = 'user'""")
+def q8(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("conv_id", "turn", questions.is_follow_up(F.col("query")).alias("follow_up"))
+
+
+@query("e10_images")
+def e10(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.posexplode(pages.parse_page("html", "url")["images"]).alias("position", "i")).select("page_id", "position", "i.*")
+
+
+@query("u5_pagination_links")
+def u5(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages.link_rows(table(spark, d, "pages"))
+    number = U.page_number(F.col("target_url"))
+    nearby = F.lower("anchor_text").isin("next", "previous", "prev", "older", "newer") | F.col("rel").rlike(r"\b(next|prev)\b")
+    return rows.where(number.isNotNull() | nearby).select("source_page_id", "position", "target_url", number.alias("page_number"))
+
+
+@query("s3_crawl")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages")
+    known = rows.select("page_id", U.normalize_url(F.col("url")).alias("norm_url"))
+    return crawl.crawl(known, pages.link_rows(rows).select("source_page_id", "target_url"), known.where("page_id % 50 = 0").select("norm_url"))
+
+
+@query("f9_robots_filter")
+def f9(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "pages").select("page_id", "url")
+    site = F.lower(F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)).alias("site")
+    robots = rows.select(site).distinct().withColumn("rules", F.when(F.col("site").endswith(".com"), "User-agent: *\nDisallow: /fr\nCrawl-delay: 2"))
+    return crawl.filter_urls(rows, robots).select("page_id", "crawl_delay")

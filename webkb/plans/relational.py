@@ -230,3 +230,38 @@ def b2(spark: SparkSession, d: str) -> DataFrame:
 @query("b1_transcript", _CONV + "SELECT session, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY position) AS transcript FROM e WHERE role IN ('user', 'assistant') GROUP BY session")
 def b1(spark: SparkSession, d: str) -> DataFrame:
     return memory.transcript(_entries(spark, d))
+
+
+@query("a13_unique_facts", "SELECT conv_id, lower(text) AS fact, min(turn) AS turn FROM conversations WHERE length(text) > 15 AND length(text) < 500 GROUP BY 1, 2")
+def a13(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").where((F.length("text") > 15) & (F.length("text") < 500)).select("conv_id", F.lower("text").alias("fact"), "turn")
+    return R.first_by(rows, ["conv_id", "fact"], "turn")
+
+
+@query("f15_new_content", r"""WITH h AS (SELECT doc_id, substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) AS c FROM documents)
+    SELECT doc_id FROM h WHERE doc_id % 2 = 1 AND c NOT IN (SELECT c FROM h WHERE doc_id % 2 = 0)""")
+def f15(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("c"))
+    return rows.where("doc_id % 2 = 1").join(rows.where("doc_id % 2 = 0").select("c").distinct(), "c", "left_anti").select("doc_id")
+
+
+@query("j2_embeddings_of_crawl", _PAGES + "SELECT vec_id, domain FROM embeddings JOIN documents ON vec_id = doc_id JOIN pg ON doc_id = page_id WHERE domain LIKE '%.org'")
+def j2(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id").join(table(spark, d, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"))
+    return rows.join(_pages(spark, d).where(F.col("domain").endswith(".org")), F.col("doc_id") == F.col("page_id")).select("vec_id", "domain")
+
+
+@query("j5_hits_with_pages", "SELECT doc_id, coalesce(url, '') AS url FROM documents LEFT JOIN pages ON doc_id = page_id")
+def j5(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "pages").select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left")
+    return rows.select("doc_id", F.coalesce("url", F.lit("")).alias("url"))
+
+
+@query("s18_stored_pages", "SELECT page_id, substr(html, 1, 50000) AS html FROM pages")
+def s18(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.substring("html", 1, 50_000).alias("html"))
+
+
+@query("a16_decision_stats", "SELECT event_type, count(*) AS decisions, round(100.0 * count(*) FILTER (value > 50) / count(*), 6) AS share FROM events GROUP BY event_type")
+def a16(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("decisions"), F.round(100.0 * F.count_if(F.col("value") > 50) / F.count(F.lit(1)), 6).alias("share"))

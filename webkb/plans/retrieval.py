@@ -178,3 +178,27 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
 @query("r9_context_text")
 def r9(spark: SparkSession, d: str) -> DataFrame:
     return S.context_text(_fused(spark, d), "page_id", "text")
+
+
+@query("d5_greedy_dedup")
+def d5(spark: SparkSession, d: str) -> DataFrame:
+    all_, _ = _vectors(spark, d)
+    return V.deduplicate(all_.select("vec_id", "vector"), 0.9)
+
+
+@query("a11_index_stats", "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dimensions, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings")
+def a11(spark: SparkSession, d: str) -> DataFrame:
+    return V.index_stats(_vectors(spark, d)[0])
+
+
+@query("v10_remove_vectors", "SELECT vec_id FROM embeddings WHERE label NOT IN (1, 2)")
+def v10(spark: SparkSession, d: str) -> DataFrame:
+    all_, _ = _vectors(spark, d)
+    return V.remove(all_, all_.where("label IN (1, 2)")).select("vec_id")
+
+
+@query("d2_first_variant", _LEGS + "SELECT query_id, id, source AS variant FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY source, rank) AS b FROM u) WHERE b = 1")
+def d2(spark: SparkSession, d: str) -> DataFrame:
+    legs = _legs(spark, d)
+    both = legs["vector"].withColumn("variant", F.lit(0)).unionByName(legs["keyword"].withColumn("variant", F.lit(1)))
+    return S.first_variant(both).select("query_id", "id", "variant")
