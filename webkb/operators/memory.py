@@ -72,3 +72,18 @@ def drop_old_sessions(sessions: DataFrame, entries: DataFrame, now: Column, days
     """Sessions and entries without those last updated more than `days` before now."""
     old = sessions.where(F.col("updated_at") < now - F.expr(f"INTERVAL {days} DAYS")).select(session)
     return sessions.join(old, session, "left_anti"), entries.join(old, session, "left_anti")
+
+
+def build_context(entries: DataFrame, contexts: DataFrame, most: int, system: int, session: str = "session") -> DataFrame:
+    """(session, history, context, tokens): each session's last turns within 30 % and its retrieved contexts (session,
+    place, text, tokens) within 40 % of what system prompt and answer leave."""
+    budget = context_budgets(most, system)
+    turns = fit_history(entries.where(F.col("role").isin("user", "assistant")), budget["history"], session)
+    lines = turns.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("position", F.concat_ws(": ", F.initcap("role"), "content").alias("line")))).alias("h"), F.sum("tokens").alias("history_tokens"))
+    listed = contexts.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("place", "text", "tokens"))).alias("c"))
+    taken = listed.withColumn("t", fit_contexts(F.transform("c", lambda x: x["tokens"]), budget["context"]))
+    taken = taken.withColumn("c", F.transform("t", lambda i: F.col("c")[i]))
+    joined = lines.join(taken, session, "full")
+    total = F.coalesce("history_tokens", F.lit(0)) + F.coalesce(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]), F.lit(0))
+    text = lambda column, key, glue: F.coalesce(F.array_join(F.transform(column, lambda x: x[key]), glue), F.lit(""))
+    return joined.select(session, text("h", "line", "\n").alias("history"), text("c", "text", "\n\n").alias("context"), total.alias("tokens"))

@@ -265,3 +265,38 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
 @query("a16_decision_stats", "SELECT event_type, count(*) AS decisions, round(100.0 * count(*) FILTER (value > 50) / count(*), 6) AS share FROM events GROUP BY event_type")
 def a16(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("decisions"), F.round(100.0 * F.count_if(F.col("value") > 50) / F.count(F.lit(1)), 6).alias("share"))
+
+
+@query("b3_build_context")
+def b3(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d)
+    contexts = entries.where("role = 'assistant'").select("session", F.col("position").alias("place"), F.col("content").alias("text"), "tokens")
+    return memory.build_context(entries, contexts, 2048, 100)
+
+
+@query("t4_entities_by_type", _ENT + "SELECT entity_type, id, place FROM (SELECT entity_type, id, row_number() OVER (PARTITION BY entity_type ORDER BY mentions DESC, id) AS place FROM ent) WHERE place <= 10")
+def t4(spark: SparkSession, d: str) -> DataFrame:
+    return R.top_per_group(_entities(spark, d), ["entity_type"], [F.desc("mentions"), F.col("id")], 10).select("entity_type", "id", "place")
+
+
+@query("a19_turn_count", _CONV + "SELECT session, count(*) FILTER (role = 'user') AS turn_count FROM e GROUP BY session")
+def a19(spark: SparkSession, d: str) -> DataFrame:
+    return memory.session_stats(_entries(spark, d)).select("session", "turn_count")
+
+
+@query("d1_ordered_union", "SELECT conv_id, CAST(count(DISTINCT lower(text)) AS INTEGER) AS variants FROM conversations GROUP BY conv_id")
+def d1(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lower("text").alias("q")))).alias("qs"))
+    return rows.select("conv_id", F.size(F.array_distinct(F.transform("qs", lambda x: x["q"]))).alias("variants"))
+
+
+@query("j12_unvisited_links", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    seen = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, d, "orders").join(seen, "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query("j13_semi_join", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    used = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return table(spark, d, "part").join(used, "p_partkey", "left_semi").select("p_partkey")
