@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
+# Elements that are dropped, headings, and names that mark hidden or main content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript iframe svg canvas video audio map object embed".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 
+# Ranking constants and source weights.
 K1, B = 1.2, 0.75
 SOURCES = ("vector", "keyword", "graph")
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "graph": 0.1}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+# The default limits.
 @dataclass
 class Limits:
     base: float = 1.0
