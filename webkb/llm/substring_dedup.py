@@ -4,18 +4,20 @@ A byte goes if it lies in a string of LENGTH bytes that also starts at an earlie
 same document further ahead). Places are judged on the input.
 
 1. Anchors. Every window of LENGTH bytes has an anchor, its gram of GRAM bytes with the smallest hash (the
-   first of equals); consecutive windows with one anchor are a run. Equal windows have equal anchors at the
-   same place, so only anchors that occur twice matter. Each map task sends one row for an anchor, and marks
-   the others it has as known; the rest is one shuffle by hash, read in sorted order row by row.
-2. Fragments. The documents that hold such anchors give each run's bytes, the gram replaced by one symbol. A
-   fragment that the task has seen at an earlier place is settled; one of each kind goes on.
-3. Suffix sorting. Fragments of an anchor meet (those of a very frequent one in blocks of LIMIT rows), are
-   joined to one text and suffix sorted by linear grouping (see suffix.py). Equal windows are neighbours in
-   the suffix array; all but the earliest are repeats.
+   first of equals); consecutive windows with one anchor are a run, and the run's bytes are its fragment.
+   Equal windows have equal anchors at the same place, so only fragments with one anchor can share windows.
+2. Classes. Equal fragments (by 112 bits of anchor and fragment hashes) are a class: all but its first
+   fragment are repeats. Each map task settles its own classes and sends one row for each; a shuffle by
+   anchor, read in sorted order row by row, settles the rest. Anchors with one class need no text.
+3. Suffix sorting. The first fragments of the other classes, a few percent, are cut from the texts, the
+   gram replaced by one symbol. Those of an anchor meet (those of a very frequent one in blocks of about LIMIT
+   rows), are joined to one text and suffix sorted by linear grouping (see suffix.py). Equal windows are
+   neighbours in the suffix array; all but the earliest are repeats.
 4. Very frequent anchors: the earliest windows of their blocks are merged by a grouped minimum of digests.
 5. The repeated windows of a document are joined to its text, which is then cut.
 
-No group of copies needs one task: tasks send one of each kind, and blocks bound what is sorted at once.
+No group of copies needs one task: tasks send one of each kind, sorted rows are read with a constant state,
+and blocks bound what is sorted at once. The texts are shuffled once: both joins use the same exchange.
 Null text counts as empty. If ids repeat or are null, rows are first put in an order of their own: by id (null
 last), then text; equal rows come one after the other. An empty table gives no rows.
 """
@@ -40,7 +42,7 @@ LIMIT = 2000
 _GRAMS = LENGTH - GRAM + 1  # grams in a window; also the symbols of a window once its gram is one symbol
 _CHUNK = 1 << 23
 _SORT = 1 << 15
-_SEEN = 1 << 18
+_HALF = 64  # bytes of the hashes that fragment digests are made of
 _PLACE = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -50,25 +52,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hash of every GRAM bytes: hashes of doubling lengths, put together by the bits of GRAM."""
+def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every GRAM and of every _HALF bytes, put together from hashes of doubling lengths."""
     count = len(data) - GRAM + 1
     part, size, at, out = _SEEDS[data], 1, 0, None
-    while size <= GRAM:
+    while size < _HALF:
         if GRAM & size:
             piece = part[at : at + count]
             out = piece if out is None else _mix(out * np.uint64(0x5851F42D4C957F2D) + piece)
             at += size
         part = _mix(part[:-size] * np.uint64(0x27BB2EE687B0B0FD) + part[size:])
         size *= 2
-    return out
+    return out, part
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """hash and place of the anchors of a text: place is first window << 12 | windows << 6 | bytes from first window to gram."""
-    hashes, places = [], []
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor (48 bits), fragment digest and place of the runs of a text; place is first window << 12 | windows << 6 |
+    bytes from the first window to the gram."""
+    found = []
     for start in range(0, len(data) - LENGTH + 1, _CHUNK):
-        grams = _gram_hashes(data[start : start + _CHUNK + LENGTH - 1])
+        grams, halves = _hashes(data[start : start + _CHUNK + LENGTH - 1])
         low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         size = 1
         while size * 2 <= _GRAMS:
@@ -79,71 +82,104 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = (low & _PLACE).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         windows = np.diff(np.append(first, n))
-        hashes.append(grams[at[first]].view(np.int64))
-        places.append((first + start) << 12 | windows << 6 | (at[first] - first))
-    if not hashes:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(places)
+        shape = windows << 6 | (at[first] - first)
+        # a fragment has LENGTH to LENGTH + _GRAMS - 1 bytes: three overlapping stretches of _HALF cover it
+        digest = _mix(halves[first] * np.uint64(0xD1342543DE82EF95) + halves[first + LENGTH - _HALF])
+        digest = _mix(digest * np.uint64(0xAEF17502108EF2D9) + halves[first + windows - 1 + LENGTH - _HALF])
+        digest = _mix(digest + shape.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        found.append(((grams[at[first]] >> np.uint64(16)).view(np.int64), digest.view(np.int64), (first + start) << 12 | shape))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _bytes(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer((text.as_py() or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _ends(places: np.ndarray) -> np.ndarray:
+    return (places >> 12) + (places >> 6 & 63)
+
+
+def _joined(keys: np.ndarray, firsts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans in order of (key, first); those that follow on each other become one."""
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (firsts[1:] != ends[:-1])
+    at = np.flatnonzero(new)
+    return keys[at], firsts[at], ends[np.append(at[1:], len(keys)) - 1] if len(keys) else ends
+
+
+_COLUMNS = ["anchor", "digest", "key", "place", "end"]
+
+
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) to (anchor, digest, key, place, 0) of the first fragment of each class in a batch, and to spans of repeats
+    (a number of their own, 0, key, first, end)."""
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        found = [anchors(_bytes(batch.column(1)[int(i)])) for i in order]
+        keys = np.repeat(ids[order], [len(x[0]) for x in found]).astype(np.int64)
+        anchor, digest, place = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in range(3))
+        kind = _mix(anchor.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + digest.view(np.uint64))
+        _, first, where = np.unique(kind, return_index=True, return_inverse=True)
+        head = first[where]
+        repeat = (head != np.arange(len(kind))) & (anchor == anchor[head]) & (digest == digest[head])
+        k, f, e = _joined(keys[repeat], place[repeat] >> 12, _ends(place[repeat]))
+        own = (_mix(k.view(np.uint64) * np.uint64(31) + f.view(np.uint64)) >> np.uint64(16)).view(np.int64)
+        zero = np.zeros(len(k), np.int64)
+        rest = ~repeat
+        rows = ((anchor[rest], own), (digest[rest], zero), (keys[rest], k), (place[rest], f), (np.zeros(int(rest.sum()), np.int64), e))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in rows], _COLUMNS)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (anchor, digest, key, place) to spans of repeats (0, key, first, end) and to the first fragments of
+    anchors with more than one class (anchor, key, place, 0). Only the last row and the last class are kept in mind."""
+    last, held = None, (np.zeros((3, 0), np.int64), False)
     for batch in batches:
-        found = [anchors(_bytes(t)) for t in batch.column(1)]
-        keys = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(h) for h, _ in found])
-        hashes, places = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        _, first, where, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        known = count[where] > 1
-        spare = np.ones(len(hashes), bool)
-        spare[first] = False
-        # a spare row needs no meeting: its slot is a number of its own
-        slot = np.where(spare, _mix(keys.astype(np.uint64) * np.uint64(31) + places.astype(np.uint64)).view(np.int64), hashes)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(hashes), pa.array(keys.astype(np.int64)), pa.array(places), pa.array(known)], ["slot", "hash", "key", "place", "known"])
-
-
-def _twice(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by hash, those that are known or have a neighbour with the same hash."""
-    kept = None
-    for rows in batches:
-        if kept is not None:
-            rows = pd.concat([kept, rows], ignore_index=True)
-        if not len(rows):
-            continue
-        hashes = rows["hash"].to_numpy()
-        same = hashes[1:] == hashes[:-1]
-        take = rows["known"].to_numpy().astype(bool).copy()
-        take[1:] |= same
-        take[:-1] |= same
-        kept = rows.iloc[-1:].assign(known=take[-1])
-        yield rows.loc[take[:-1].tolist() + [False], ["hash", "key", "place"]]
-    if kept is not None:
-        yield kept.loc[kept["known"].astype(bool), ["hash", "key", "place"]]
+        anchor, digest, key, place, end = (c.to_numpy() for c in batch.columns)
+        spans = end > 0
+        span = [key[spans], place[spans], end[spans]]
+        anchor, digest, key, place = (x[~spans] for x in (anchor, digest, key, place))
+        new = np.ones(len(anchor), bool)
+        if len(anchor):
+            new[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+            new[0] = last != (anchor[0], digest[0])
+            last = (anchor[-1], digest[-1])
+        span = [np.concatenate(x) for x in zip(span, (key[~new], place[~new] >> 12, _ends(place[~new])))]
+        rows = np.concatenate([held[0], np.stack([anchor[new], key[new], place[new]])], 1)
+        many = np.zeros(rows.shape[1], bool)
+        many[: held[0].shape[1]] = held[1]
+        same = rows[0, 1:] == rows[0, :-1]
+        many[1:] |= same
+        many[:-1] |= same
+        out = rows[:, :-1][:, many[:-1]]
+        held = rows[:, -1:], bool(many[-1]) if len(many) else False
+        yield _mixed(out, span)
+    if held[1]:
+        yield _mixed(held[0], [np.zeros(0, np.int64)] * 3)
+
+
+def _mixed(rows: np.ndarray, span: list[np.ndarray]) -> pa.RecordBatch:
+    zero = np.zeros(len(span[0]), np.int64)
+    columns = ((rows[0], zero), (rows[1], span[0]), (rows[2], span[1]), (np.zeros(rows.shape[1], np.int64), span[2]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["anchor", "key", "place", "end"])
 
 
 def _cut_fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, places, hashes) to (hash, key, place, bytes); no bytes: an earlier copy is in this task."""
-    seen: dict[tuple[int, int, bytes], tuple[int, int]] = {}
+    """(key, text, places, anchors) to (anchor, key, place, bytes); texts without places give nothing."""
     for batch in batches:
-        if len(seen) > _SEEN:
-            seen.clear()  # only sends more on
         out: tuple[list, ...] = ([], [], [], [])
-        for key, text, places, hashes in zip(*(c.to_pylist() if i != 1 else c for i, c in enumerate(batch.columns))):
+        for key, text, places, found in zip(*batch.columns):
+            if not places.is_valid:
+                continue
             data = _bytes(text).tobytes()
-            for place, h in zip(places, hashes):
+            for place, h in zip(places.as_py(), found.as_py()):
                 first, windows, gap = place >> 12, place >> 6 & 63, place & 63
-                bytes_ = data[first : first + gap] + data[first + gap + GRAM : first + windows - 1 + LENGTH]
-                kind = (h, place & 4095, bytes_)
-                earlier = seen.get(kind)
-                if earlier is None or (key, first) < earlier:
-                    seen[kind] = (key, first)
-                else:
-                    bytes_ = None
-                for column, value in zip(out, (h, key, place, bytes_)):
+                for column, value in zip(out, (h, key.as_py(), place, data[first : first + gap] + data[first + gap + GRAM : first + windows - 1 + LENGTH])):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["hash", "key", "place", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "key", "place", "bytes"])
 
 
 def _sorted_windows(rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,50 +220,40 @@ def _repeats(rows: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, bo
 
 
 def _resolve(hot: bool):
-    """Sorted fragments (hash, block, key, place, bytes) to repeated windows (key, first, end); hot: to the windows that stay,
-    as (key, first, digest)."""
+    """Fragments in order of (anchor, block), as (anchor, block, key, place, bytes), to repeated windows (key, first, end);
+    hot: to the windows that are the earliest of their block, as (key, first, digest)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        size = 0
         for rows in batches:
-            settled = rows["bytes"].isna()
-            if not hot:
-                yield _spans(rows[settled])
-            held.append(rows[~settled])
-            size += len(held[-1])
-            if size * 80 > _SORT:
+            held.append(rows)
+            if sum(map(len, held)) * 80 > _SORT:
                 joined = pd.concat(held, ignore_index=True)
                 last = joined.iloc[-1]
-                tail = (joined["hash"] == last["hash"]) & (joined["block"] == last["block"])
+                tail = (joined["anchor"] == last["anchor"]) & (joined["block"] == last["block"])
                 yield from solve(joined[~tail])
-                held, size = [joined[tail]], 0
+                held = [joined[tail]]
         if held:
             yield from solve(pd.concat(held, ignore_index=True))
 
     def solve(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.assign(first=rows["place"] // 4096, shape=rows["place"] % 4096).sort_values(["hash", "block", "key", "first"], kind="stable")
-        copy = rows.duplicated(["hash", "block", "shape", "bytes"])
-        if not hot:
-            yield _spans(rows[copy])
-        rows = rows[~copy]
-        alone = ~rows.duplicated(["hash", "block"], keep=False)
-        if not hot:
-            rows = rows[~alone]
         rows = rows.reset_index(drop=True)
-        group = rows.groupby(["hash", "block"], sort=False).ngroup().to_numpy() if len(rows) else np.zeros(0, np.int64)
+        group = rows.groupby(["anchor", "block"], sort=False).ngroup().to_numpy() if len(rows) else np.zeros(0, np.int64)
+        first_window = rows["place"].to_numpy(np.int64) >> 12
         at = 0
-        while at < len(rows):  # whole groups up to about _SORT symbols
+        while at < len(rows):  # whole groups, about _SORT symbols
             end = at + int(np.searchsorted(group[at:], group[min(len(rows) - 1, at + _SORT // 80)], "right"))
             part = rows.iloc[at:end]
             items = list(zip((group[at:end] - group[at]).tolist(), part["key"].tolist(), part["place"].tolist(), part["bytes"].tolist()))
             owner, window, first = _repeats(items)
-            keys, starts = part["key"].to_numpy()[owner], part["first"].to_numpy()[owner] + window
+            keys, starts = part["key"].to_numpy()[owner], first_window[at:end][owner] + window
             if hot:
-                hashes = part["hash"].tolist()
+                hashes = part["anchor"].tolist()
                 yield pd.DataFrame({"key": keys[first], "first": starts[first], "digest": [_digest(hashes[o], items[o], w) for o, w in zip(owner[first].tolist(), window[first].tolist())]})
             else:
-                yield pd.DataFrame({"key": keys[~first], "first": starts[~first], "end": starts[~first] + 1})
+                order = np.lexsort((starts[~first], keys[~first]))
+                k, f = keys[~first][order], starts[~first][order]
+                yield pd.DataFrame(dict(zip(("key", "first", "end"), _joined(k, f, f + 1))))
             at = end
 
     return run
@@ -238,13 +264,8 @@ def _digest(hash_: int, item: tuple[int, int, int, bytes], window: int) -> bytes
     return hashlib.blake2b(data[window : window + _GRAMS - 1], digest_size=16, key=f"{hash_}:{gap - window}".encode()).digest()
 
 
-def _spans(rows: pd.DataFrame) -> pd.DataFrame:
-    first = rows["place"].to_numpy(np.int64) >> 12
-    return pd.DataFrame({"key": rows["key"].to_numpy(np.int64), "first": first, "end": first + (rows["place"].to_numpy(np.int64) >> 6 & 63)})
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text, firsts, ends) to the figures of the contract."""
+    """(key, text, firsts, ends) to the figures of the contract."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [])
         for text, firsts, ends in zip(batch.column(1), batch.column(2), batch.column(3)):
@@ -258,43 +279,50 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, value in zip(out, values):
                 column.append(value)
         kept = [hashlib.sha256(k).hexdigest() for k in out[3]]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(kept, pa.string()), pa.array(out[3], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(kept, pa.string()), pa.array(out[3], pa.binary())], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, text: the key orders the rows and is theirs alone."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(key, text), the key ordering the rows and theirs alone; and the ids of keys, where they aren't the ids themselves."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
     odd = docs.groupBy(F.col(f"`{id_col}`").alias("id")).count().where("count > 1 OR id IS NULL")
     if odd.isEmpty():
-        return rows.select("id", F.col("id").alias("key"), "text")
-    return materialise(rows.orderBy(F.col("id").asc_nulls_last(), "text").withColumn("key", F.monotonically_increasing_id()).select("id", "key", "text"))
+        return rows, None
+    ordered = materialise(rows.orderBy(F.col("key").asc_nulls_last(), "text").select(F.monotonically_increasing_id().alias("n"), "key", "text"))
+    return ordered.select(F.col("n").alias("key"), "text"), ordered.select(F.col("n").alias("key"), F.col("key").alias("id"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
-    rows = _keyed(docs, id_col, text_col)
-    found = rows.select("key", "text").mapInArrow(_find_anchors, "slot long, hash long, key long, place long, known boolean")
-    found = found.repartition("slot").select("hash", "key", "place", "known").sortWithinPartitions("hash")
-    twice = materialise(found.mapInPandas(_twice, "hash long, key long, place long"))
-    frequent = twice.groupBy("hash").count().where(F.col("count") > limit).select("hash", F.ceil(F.col("count") / limit).cast("int").alias("blocks"))
-    frequent = materialise(frequent)
-    held = twice.groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list("hash").alias("hashes"))
-    fragments = rows.select("key", "text").join(held, "key").select("key", "text", "places", "hashes").mapInArrow(_cut_fragments, "hash long, key long, place long, bytes binary")
-    fragments = fragments.join(frequent, "hash", "left")
-    spread = F.when(F.col("bytes").isNull(), F.xxhash64("key", "place")).otherwise(F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
-    fragments = fragments.select("hash", spread.alias("block"), "key", "place", "bytes", "blocks")
+    rows, ids = _keyed(docs, id_col, text_col)
+    found = rows.mapInArrow(_find_anchors, "anchor long, digest long, key long, place long, end long")
+    found = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "key", "place")
+    settled = materialise(found.mapInArrow(_settle, "anchor long, key long, place long, end long"))
+    unsettled = settled.where("end = 0")
+    frequent = unsettled.groupBy("anchor").count().where(F.col("count") > limit)
+    frequent = materialise(frequent.select("anchor", F.ceil(F.col("count") / limit).cast("int").alias("blocks")))
+    held = unsettled.groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list("anchor").alias("anchors"))
+    # a left join, as below, so that both have the same exchange of the texts
+    fragments = rows.join(held, "key", "left").select("key", "text", "places", "anchors")
+    fragments = fragments.mapInArrow(_cut_fragments, "anchor long, key long, place long, bytes binary")
 
     def resolved(part: DataFrame, hot: bool, schema: str) -> DataFrame:
-        part = part.select("hash", "block", "key", "place", "bytes").repartition("hash", "block").sortWithinPartitions("hash", "block")
+        part = part.select("anchor", "block", "key", "place", "bytes").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
         return part.mapInPandas(_resolve(hot), schema)
 
-    repeats = resolved(fragments, False, "key long, first long, end long")
-    if not frequent.isEmpty():
-        left = materialise(resolved(fragments.where("blocks > 1 AND bytes IS NOT NULL"), True, "key long, first long, digest binary"))
+    repeats = settled.where("end > 0").select("key", F.col("place").alias("first"), "end")
+    if frequent.isEmpty():
+        fragments = fragments.withColumn("block", F.lit(0))
+    else:
+        blocks = F.coalesce("blocks", F.lit(1))
+        fragments = fragments.join(frequent, "anchor", "left").withColumn("block", F.pmod(F.xxhash64("key"), blocks))
+        left = resolved(fragments.where("blocks > 1"), True, "key long, first long, digest binary")
         earliest = left.groupBy("digest").agg(F.min(F.struct("key", "first")).alias("e"))
         late = left.join(earliest, "digest").where((F.col("e.key") != F.col("key")) | (F.col("e.first") != F.col("first")))
         repeats = repeats.unionByName(late.select("key", "first", (F.col("first") + 1).alias("end")))
+    repeats = repeats.unionByName(resolved(fragments, False, "key long, first long, end long"))
     spans = repeats.groupBy("key").agg(F.collect_list("first").alias("firsts"), F.collect_list("end").alias("ends"))
-    joined = rows.join(spans, "key", "left").select("id", "text", "firsts", "ends")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_cut, schema).withColumnRenamed("id", id_col)
+    joined = rows.join(spans, "key", "left").select("key", "text", "firsts", "ends")
+    out = joined.mapInArrow(_cut, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = out.withColumnRenamed("key", "id") if ids is None else out.join(ids, "key").drop("key")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
