@@ -172,7 +172,7 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Node v and its label: the smallest node of its component."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l"))
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")))
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         new = labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
