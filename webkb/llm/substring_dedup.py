@@ -295,6 +295,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row for each document: id, n_bytes, n_removed, n_spans, kept_sha256 and kept, the bytes that are left."""
     rows, ids = _keyed(docs, id_col, text_col)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = rows.mapInArrow(_find_anchors, "anchor long, digest long, key long, place long, end long")
     found = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "key", "place")
     settled = materialise(found.mapInArrow(_settle, "anchor long, key long, place long, end long"))
@@ -307,7 +308,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fragments = fragments.mapInArrow(_cut_fragments, "anchor long, key long, place long, bytes binary")
 
     def resolved(part: DataFrame, hot: bool, schema: str) -> DataFrame:
-        part = part.select("anchor", "block", "key", "place", "bytes").repartition("anchor", "block").sortWithinPartitions("anchor", "block")
+        # few bytes but much work: as many tasks as any shuffle, not as few as their size would do with
+        part = part.select("anchor", "block", "key", "place", "bytes").repartition(tasks, "anchor", "block").sortWithinPartitions("anchor", "block")
         return part.mapInPandas(_resolve(hot), schema)
 
     repeats = settled.where("end > 0").select("key", F.col("place").alias("first"), "end")
