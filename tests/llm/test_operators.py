@@ -5,13 +5,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from webkb.llm import chroma, exact_dedup, html_text, lm_score, mixing, packing, pii, quality, simhash, substring_dedup
+from webkb.llm import chroma, exact_dedup, html_text, lm_score, mixing, packing, pii, quality, queries, simhash, substring_dedup
 from webkb.llm.suffix import suffix_array
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -327,6 +328,33 @@ def test_lm_score(spark):
     assert lm_score.score(odd, empty).count() == odd.count()
 
 
+def test_lm_score_whole(spark, tmp_path, monkeypatch):
+    """The registered query counts all words and pairs: here 81,000 words, most of them in one or two documents."""
+    texts = [None, "", " \t ", "Tea, tea"] + [" ".join(f"w{i}x{j} the" if j % 3 else f"W{i % 30}y{j}\tthe" for j in range(2000)) for i in range(60)]
+    aims = ["the w3x1 the w3x2", "w3x1 the", None, "unheard of"]
+    spark.createDataFrame(list(enumerate(texts)) + [(None, "Tea"), (7, "the the")], "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(t,) for t in aims], "text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(lm_score, "BLOCK", 9000)
+    monkeypatch.setattr(lm_score, "SHARD_CHARS", 1 << 18)
+    split = lambda t: [""] + (t or "").lower().split() + [""]
+    corpora = [[split(t) for t in [*texts, "Tea", "the the"]], [split(t) for t in aims]]
+    words = [Counter(w for t in c for w in t[1:]) for c in corpora]
+    pairs = [Counter(p for t in c for p in zip(t, t[1:])) for c in corpora]
+    size = len(words[0] | words[1]) + 1
+    total = [w.total() for w in words]
+    assert size > 1 << 16
+
+    def loss(side, text):
+        p = [0.7 * pairs[side][a, b] / max(1, words[side][a]) + (0.3 if words[side][a] else 1) * (words[side][b] + 0.1) / (total[side] + 0.1 * size) for a, b in zip(text, text[1:])]
+        return -np.log(p).mean()
+
+    got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ce_background"], r["ce_target"]) for r in queries.op7_lm_score(spark, str(tmp_path)).collect()))
+    want = sorted((i, len(t) - 1, loss(0, t), loss(1, t)) for i, t in zip([*range(len(texts)), -1, 7], corpora[0]))
+    assert len(got) == len(want) and np.allclose(np.array(got), np.array(want))
+    none = lm_score.score_whole(empty_docs(spark), empty_docs(spark).select("text"))
+    assert none.count() == 0 and lm_score.score_whole(odd_docs(spark), empty_docs(spark).select("text")).count() == odd_docs(spark).count()
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",

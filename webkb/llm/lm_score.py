@@ -4,11 +4,15 @@ Two bigram models, one of a target corpus and one of the background (all documen
 one smoothing and one capacity. A document's score is its cross-entropy per token under the target model
 minus that under the background model: the lower, the closer to the target.
 
-Counts cover both corpora whole. Words and word pairs are counted by Spark; a model then keeps the pairs
-counted at least c times, where c is the smallest count that leaves at most PAIRS of them, and the
-vocabulary the words counted so often that at most VOCABULARY are left. So what is broadcast has a fixed
-bound (documented parameters, the models' capacity), while counting grows with the input. A pair that isn't
-kept backs off to the word's own probability with the weight that makes every context sum to one.
+score_whole() keeps every word and every word pair of both corpora; nothing is cut and no model is broadcast.
+Documents are gathered in blocks of about BLOCK tokens. A block sends its distinct words and pairs with their
+counts to shards chosen by hash; a shard sums them over all blocks and answers each block for its own keys and with its share of the totals, so
+a word or pair has one row a block however often it occurs, and memory is bounded by a block or a shard while their
+numbers grow with the input. Words are told apart by 128 bits of a digest, pairs by 64 bits and their shard.
+With all pairs kept, a context that was seen backs off with weight 1 - WEIGHT, any other with 1.
+
+fit() and score() are the small form: models of a stated capacity that fit in memory. They keep the pairs counted
+at least c times, where c is the smallest count that leaves at most PAIRS of them, and the vocabulary likewise.
 
 Each document ends with a boundary token, so an empty or null text has one token and a score. Words are
 lower-case and separated by ASCII white space. An empty target or background still gives a smoothed model.
@@ -16,11 +20,14 @@ lower-case and separated by ASCII white space. An empty target or background sti
 
 from __future__ import annotations
 
+import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,8 @@ VOCABULARY = 1 << 16
 PAIRS = 1 << 19
 WEIGHT = 0.7
 ALPHA = 0.1
+BLOCK = 1 << 20  # tokens of a block, or one longer document
+SHARD_CHARS = 1 << 22  # characters of both corpora for each shard
 _FLUSH = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -164,3 +173,137 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double").withColumnRenamed("doc_id", id_col)
+
+
+_ROW = "shard int, block long, side int, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary"
+_ANSWER = "shard int, block long, words binary, pairs binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary, total array<bigint>, n_words long"
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_EDGE = b" "  # the boundary; no word has a space
+
+
+def _arrow(schema: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))])
+
+
+def _shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their places: all lowest bytes first."""
+    return len(values).to_bytes(8, "little") + pa.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _grown(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n).T.copy().view("<i8").reshape(n)
+
+
+def _token_pairs(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which neighbours in a block's tokens are of one document: all but a document's end and the next one's start."""
+    inside = np.ones(len(tokens) - 1, bool)
+    inside[np.cumsum(lengths + 1)[:-1] - 1] = False
+    return inside
+
+
+def _blocks(texts: DataFrame, shards: int, side: int) -> DataFrame:
+    """texts (id, binary text) as rows for the shards; those of the background (side 0) carry their block along."""
+    schema = _arrow(_ROW)
+
+    def emit(block: int, ids: list, runs: list[list[int]], known: dict[bytes, int]) -> pa.RecordBatch:
+        lengths = np.array([len(r) - 1 for r in runs])
+        tokens = np.concatenate([np.array(r, np.int64) for r in runs])
+        digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in known), "<u8").reshape(-1, 2)
+        before, after = (x[_token_pairs(tokens, lengths)] for x in (tokens[:-1], tokens[1:]))
+        pairs, pair_counts = np.unique(before * len(known) + after, return_counts=True)
+        a, b = digests[pairs // len(known)], digests[pairs % len(known)]
+        sides = []
+        word_counts = np.bincount(after, minlength=len(known))
+        for keys, spread, counts in ((digests[:, 0], digests[:, 1], word_counts), (a[:, 0] * _MIX[0] + b[:, 0] * _MIX[1], a[:, 1] * _MIX[2] + b[:, 1] * _MIX[3], pair_counts)):
+            shard = ((spread >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
+            sides.append((shard, keys[order].astype("<u8"), counts[order], cuts))
+        (word_shard, wk, wc, wat), (pair_shard, pk, pc, pat) = sides
+        rows = [(s, block, side, wk[wat[s] : wat[s + 1]].tobytes(), _shrunk(wc[wat[s] : wat[s + 1]]), pk[pat[s] : pat[s + 1]].tobytes(), _shrunk(pc[pat[s] : pat[s + 1]]), None, None, None, None) for s in range(shards)]
+        if side == 0:
+            rows.append((block % shards, block, side, None, _shrunk(word_shard), None, None, ids, _shrunk(lengths), _shrunk(tokens), _shrunk(pair_shard)))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+
+        def fresh() -> tuple[list, list, defaultdict, int]:
+            known: defaultdict = defaultdict()
+            known.default_factory = known.__len__
+            known[_EDGE]
+            return [], [], known, 0
+
+        ids, runs, known, total = fresh()
+        for batch in batches:
+            for key, text in zip(batch.column(0), batch.column(1)):
+                words = (text.as_py() or b"").lower().split()
+                ids.append(key.as_py())
+                runs.append([0, *[known[w] for w in words], 0])
+                total += len(words) + 1
+                if total >= BLOCK:
+                    yield emit(block, ids, runs, known)
+                    block += 1
+                    ids, runs, known, total = fresh()
+        if ids:
+            yield emit(block, ids, runs, known)
+
+    return texts.mapInArrow(run, _ROW)
+
+
+def _sum_shard(shard: pa.Table) -> pa.Table:
+    """Sums of all keys of a shard, answered to each block of the background in the order of its keys: two numbers a key."""
+    rows = shard.to_pylist()
+    asked = [r for r in rows if r["ids"] is None]
+    out = [(r["shard"], r["block"], r["word_counts"], None, r["ids"], r["lengths"], r["tokens"], r["pair_shards"], None, None) for r in rows if r["ids"] is not None]
+    answers, totals, n_words = [], np.zeros(2, np.int64), 0
+    for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
+        parts = [np.frombuffer(r[keys], "<u8") for r in asked]
+        number = [_grown(r[counts]) for r in asked]
+        distinct, where = np.unique(np.concatenate([*parts, np.zeros(0, "<u8")]), return_inverse=True)
+        side = np.repeat([r["side"] for r in asked], [len(p) for p in parts]).astype(bool)
+        n = np.concatenate([*number, np.zeros(0, np.int64)])
+        sums = np.stack([np.bincount(where[side == s], n[side == s], len(distinct)) for s in (False, True)], 1).astype(np.int64)
+        if keys == "words":
+            totals, n_words = sums.sum(0), len(distinct)
+        at = np.cumsum([0, *[len(p) for p in parts]])
+        answers.append([_shrunk(sums[where[i:j]].T.ravel()) for i, j in zip(at, at[1:])])
+    out += [(r["shard"], r["block"], w, p, None, None, None, None, totals.tolist(), n_words) for r, w, p in zip(asked, *answers) if r["side"] == 0]
+    schema = _arrow(_ANSWER)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+def score_whole(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, alpha: float = ALPHA) -> DataFrame:
+    """As score(), under the whole bigram models of docs (the background) and of target, which has one text column."""
+    background = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
+    aimed = target.select(F.lit(None).cast("long").alias("id"), F.col(target.columns[0]).cast("string").cast("binary").alias("text"))
+    chars = sum(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for d in (background, aimed))
+    shards = 1 + chars // SHARD_CHARS
+    rows = _blocks(background, shards, 0).unionByName(_blocks(aimed, shards, 1))
+    answers = rows.groupBy("shard").applyInArrow(_sum_shard, _ANSWER)
+    names = ["doc_id", "n_tokens", "ce_target", "ce_background", "score"]
+
+    def judge(block: pa.Table) -> pa.Table:
+        parts = sorted(block.to_pylist(), key=lambda r: (r["ids"] is None, r["shard"]))
+        own, found = parts[0], parts[1:]  # every shard answers every block
+        total = np.sum([r["total"] for r in found], axis=0, dtype=float)
+        size = sum(r["n_words"] for r in found) + 1  # the boundary is among the words already, the unknown word isn't
+        lengths, tokens = _grown(own["lengths"]), _grown(own["tokens"])
+        counts = []
+        for column, shard in (("words", _grown(own["words"])), ("pairs", _grown(own["pair_shards"]))):
+            sums = np.empty((len(shard), 2))
+            sums[np.argsort(shard, kind="stable")] = np.concatenate([_grown(r[column]).reshape(2, -1).T for r in found])
+            counts.append(sums)
+        words, pairs = counts
+        before, after = (x[_token_pairs(tokens, lengths)] for x in (tokens[:-1], tokens[1:]))
+        keys, where = np.unique(before * len(words) + after, return_inverse=True)
+        context = words[keys // len(words)]
+        p = weight * pairs / np.maximum(context, 1) + np.where(context > 0, 1 - weight, 1.0) * (words[keys % len(words)] + alpha) / (total + alpha * size)
+        ends = np.cumsum(lengths)
+        mean = np.add.reduceat(-np.log(p)[where], ends - lengths, axis=0) / lengths[:, None]
+        return pa.table([pa.array(own["ids"], pa.int64()), pa.array(lengths), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 1] - mean[:, 0])], names)
+
+    scored = answers.groupBy("block").applyInArrow(judge, "doc_id long, n_tokens long, ce_target double, ce_background double, score double")
+    return scored.withColumnRenamed("doc_id", id_col)

@@ -44,9 +44,7 @@ def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    models = lm_score.fit(docs.select("text"), _table(spark, sf_dir, "benchmark").select("text"))
-    return lm_score.score(docs, models)
+    return lm_score.score_whole(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").select("text"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
