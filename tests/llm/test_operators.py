@@ -415,3 +415,25 @@ def test_chroma(spark):
     hits = sum((class_of[q], class_of[o]) in found or class_of[q] == class_of[o] for q, o in want)
     assert want and hits / len(want) >= 0.9
     assert class_of[203] == 3
+
+
+def test_chroma_production(spark, monkeypatch):
+    """Every alignment within the production limits, also those that share no integer, with a large group of noisy copies."""
+    monkeypatch.setattr(chroma, "BLOCK", 40)
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, (40, 48))
+    flips = lambda v, share: v ^ ((rng.random((len(v), 32)) < share) * (1 << np.arange(32))).sum(1)
+    prints = {i: v for i, v in enumerate(base)} | {100 + i: flips(base[0], 0.2)[i % 20 :] for i in range(150)} | {300: base[1][:7], 301: base[0][:0]}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in prints.items()], "id long, integers array<bigint>")
+    got = {(r["id"], m["class_id"]): m for r in chroma.align(rows).collect() for m in r["matches"] or []}
+    want = {}
+    for q in (i for i in prints if i % chroma.QUERY_STEP == 0 and len(prints[i]) >= 8):
+        for o in prints:
+            for offset in range(8 - len(prints[o]), len(prints[q]) - 7):
+                x, y = prints[q][max(0, offset) :], prints[o][max(0, -offset) :]
+                n = min(len(x), len(y))
+                errors = int(np.bitwise_count(x[:n] ^ y[:n]).sum()) / (32 * max(1, n))
+                if o != q and n >= 8 and errors <= chroma.MOST_ERRORS:
+                    want.setdefault((q, o), {})[offset] = (n, errors)
+    assert got.keys() == want.keys() and len(want) >= 150
+    assert all(want[k][m["offset"]] == (m["overlap"], m["bit_errors"]) for k, m in got.items())
