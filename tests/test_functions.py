@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from webkb.functions import html_tree as H
@@ -98,6 +99,22 @@ def test_clustered_recall(spark, sf):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_similar_pairs_lose_nothing(spark):
+    """Pairs just above the registered threshold of 0.9: each vector has one partner at a cosine of 0.901 to 0.92."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(150):
+        u, w = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        c = 0.901 + 0.019 * i / 149
+        rows += [(2 * i, u.tolist()), (2 * i + 1, (c * u + (1 - c * c) ** 0.5 * w).tolist())]
+    frame = spark.createDataFrame([*rows, (300, [0.0] * 64)], "vec_id long, vector array<double>")
+    found = vectors.similar_pairs(frame, 0.9).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == [(2 * i, 2 * i + 1) for i in range(150)]
+    assert sorted(vectors.similar_pairs(frame, 0.9, rows=64).collect()) == sorted(found)
+    kept = {r["vec_id"]: r["kept_by"] for r in vectors.deduplicate(frame, 0.9).collect()}
+    assert kept == {i: i - i % 2 for i in range(301)}
+
+
 def test_diversity_goes_negative(spark):
     rows = spark.createDataFrame([(1, i, "p", 1.0 - i / 100, i + 1) for i in range(6)], "query_id int, id int, page string, final_score double, final_rank int")
     got = {r["id"]: r["adjusted"] for r in search.diversify(rows, "page").collect()}

@@ -154,26 +154,30 @@ def lru_trace(accesses: DataFrame, key: str, at: str, most: int) -> DataFrame:
     return last.orderBy(F.desc("last_access"), key).limit(most)
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.95, bands: int = 24, bits: int = 16, seed: int = 7) -> DataFrame:
-    """(a, b, score) with a < b and cosine of `least` or more: candidates share a band of random-hyperplane signs, scores are exact.
+def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024) -> DataFrame:
+    """(a, b, score) with a < b and cosine of `least` or more, exactly: every block of about `rows` vectors meets every other
+    in one matrix product, of which only the pairs found leave the task. Equal vectors belong together beforehand (see deduplicate)."""
+    n = 1 + vectors.count() // rows
+    v = vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).repartition(n, "block")
+    v = v.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("vector").alias("vectors"))
+
+    def unit(found) -> np.ndarray:
+        m = np.array([np.asarray(x, float) for x in found], float)
+        size = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    At a cosine of 0.95 a pair shares a band with a chance of 0.99. Equal vectors belong together beforehand (see deduplicate)."""
-
-    @F.pandas_udf("array<struct<band:int,key:long>>")
-    def keys(found: pd.Series) -> pd.Series:
-        m = np.stack([np.asarray(v, float) for v in found])
-        planes = np.random.default_rng(seed).normal(size=(m.shape[1], bands * bits))
-        signs = (m @ planes > 0).reshape(len(m), bands, bits)
-        packed = signs @ (1 << np.arange(bits, dtype=np.int64))
-        return pd.Series([[{"band": b, "key": int(k)} for b, k in enumerate(row)] for row in packed])
-
-    rows = vectors.select("vec_id", "vector", F.inline(keys("vector")))
-    left = rows.select("band", "key", F.col("vec_id").alias("a"))
-    right = rows.select("band", "key", F.col("vec_id").alias("b"))
-    pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    sides = vectors.select("vec_id", "vector")
-    pairs = pairs.join(sides.select(F.col("vec_id").alias("a"), F.col("vector").alias("va")), "a").join(sides.select(F.col("vec_id").alias("b"), F.col("vector").alias("vb")), "b")
-    return pairs.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("score")).where(F.col("score") >= least)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p, q, ids_p, ids_q, vp, vq in batch[["p", "q", "ids_p", "ids_q", "vp", "vq"]].itertuples(index=False):
+                s = np.round(unit(vp) @ unit(vq).T, 6) + 0.0
+                i, j = np.nonzero(s >= least)
+                a, b = np.asarray(ids_p)[i], np.asarray(ids_q)[j]
+                once = a < b if p == q else np.ones(len(a), bool)
+                yield pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": s[i, j][once]})
+
+    left, right = (v.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"v{x}")) for x in "pq")
+    # all against all, block by block
+    return left.crossJoin(right).where("p <= q").mapInPandas(run, "a long, b long, score double")
 
 
 def deduplicate(vectors: DataFrame, least: float = 0.95) -> DataFrame:
