@@ -6,6 +6,7 @@ from webkb.functions import text as X
 from webkb.functions import urls as U
 from webkb.operators import chunking, graph, memory, navigation, questions, search, vectors
 from webkb.operators import relational as R
+from webkb.plans import retrieval
 from webkb.streaming import ratelimit as L
 
 
@@ -99,6 +100,15 @@ def test_clustered_recall(spark, sf):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_clustered_recall_registered(spark, sf):
+    for size in ("0.01", "0.1"):
+        d = sf.replace("0.001", size)
+        exact, found = ({(r["query_id"], r["vec_id"]) for r in rows.collect()} for rows in (vectors.top_k(*retrieval._vectors(spark, d)[::-1]), retrieval.v8(spark, d)))
+        recall = len(exact & found) / len(exact)
+        print("recall", size, recall)
+        assert recall >= 0.9
+
+
 def test_similar_pairs_lose_nothing(spark):
     """Pairs just above the registered threshold of 0.9: each vector has one partner at a cosine of 0.901 to 0.92."""
     rng = np.random.default_rng(3)
