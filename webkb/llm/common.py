@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session in one process (tests) gets a temporary
+    one; a cluster has to name it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="webkb-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -51,3 +55,17 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
 
 def unpacked(df: DataFrame, columns: list[str], name: str = "_row") -> DataFrame:
     return df.select(*[F.col(f"{name}.`{c}`").alias(c) for c in columns])
+
+
+def keyed(docs: DataFrame, id_col: str) -> tuple[DataFrame, bool]:
+    """docs as _key and _row (all columns packed), the keys unique and in the order of the ids, and whether they are the ids.
+
+    Ids that repeat or are null are replaced by numbers of the rows in the order of (id, null last; hash of the row): one sort,
+    only then. Rows alike in every column come one after the other.
+    """
+    key = F.col(f"`{id_col}`")
+    rows = docs.select(key.alias("_key"), packed(docs))
+    if docs.groupBy(key.alias("id")).count().where("count > 1 OR id IS NULL").isEmpty():
+        return rows, True
+    ordered = rows.withColumn("_hash", F.xxhash64("_row")).orderBy(F.col("_key").asc_nulls_last(), "_hash")
+    return materialise(ordered.select(F.monotonically_increasing_id().alias("_key"), "_row")), False

@@ -10,7 +10,7 @@ its many-rows side is the streamed one, which adaptive execution can split.
 
 Null text counts as empty. Of equal texts the row with the smallest doc_id stays; null ids
 come last. Rows that repeat one doc_id with an equal text are one document and share its
-verdict. An empty table gives an empty result. Extra columns of any name are left alone.
+verdict; drop_duplicates() keeps one of them. An empty table gives an empty result. Extra columns of any name are left alone.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, packed, unpacked
+from .common import SPACE, keyed, unpacked
 
 SALTS = 16
 
@@ -60,7 +60,9 @@ def label_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    rows = _keyed(docs, id_col, text_col, packed(docs)).drop("_text")
-    joined = rows.join(duplicate_groups(docs, id_col, text_col, salts), ["_digest", "_check", "_len"])
-    return unpacked(joined.where(F.col("_id").eqNullSafe(F.col("keep_id"))), docs.columns)
+    """The documents that stay, with all their columns: one row of each group of equal texts, also where ids repeat or are null
+    (of rows with one id, the first by a hash of their columns)."""
+    rows, _ = keyed(docs, id_col)
+    rows = rows.select("_key", F.col(f"_row.`{text_col}`").alias("_text"), "_row")
+    joined = _keyed(rows, "_key", "_text", F.col("_row")).drop("_text").join(duplicate_groups(rows, "_key", "_text", salts), ["_digest", "_check", "_len"])
+    return unpacked(joined.where(F.col("_id") == F.col("keep_id")), docs.columns)

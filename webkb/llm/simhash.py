@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, unpacked
+from .common import keyed, materialise, unpacked
 
 WIDTHS = (13, 13, 13, 13, 12)
 SHIFTS = (0, 13, 26, 39, 52)
@@ -169,16 +169,18 @@ def links(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("key", "left", "right", "fp", "home").mapInPandas(_compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Node v and its label: the smallest node of its component."""
+def components(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """Node v and its label: the first node of its component, by number or by rank (v, rank) with rank ending in the node as v."""
     both = materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("l")))
+    nodes = both.select(F.col("a").alias("v")).distinct()
+    own = nodes.select("v", F.struct("v").alias("l")) if ranks is None else ranks.join(nodes, "v", "left_semi").select("v", F.col("rank").alias("l"))
+    labels = materialise(own)
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "l"), "b").groupBy(F.col("a").alias("v")).agg(F.min("l").alias("m"))
         new = labels.join(near, "v").select("v", F.col("l").alias("was"), F.least("l", "m").alias("l"))
-        new = materialise(new)
-        jump = new.select(F.col("v").alias("l"), F.col("l").alias("up"))
-        step = new.join(jump, "l", "left").select("v", F.least("l", "up").alias("l"), (F.least("l", "up") != F.col("was")).alias("moved"))
+        new = materialise(new.withColumn("to", F.col("l.v")))
+        jump = new.select(F.col("v").alias("to"), F.col("l").alias("up"))
+        step = new.join(jump, "to").select("v", F.least("l", "up").alias("l"), (F.least("l", "up") != F.col("was")).alias("moved"))
         step = materialise(step)
         labels = step.select("v", "l")
         if step.where("moved").isEmpty():
@@ -186,22 +188,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """One row for each document: doc_id, fp and component_id, the smallest doc_id that its links reach."""
+    """One row for each document: doc_id, fp and component_id, the smallest doc_id that its links reach.
+
+    Labels carry that doc_id, so that no group of a whole component is ever formed."""
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(classes))
-    rooted = classes.join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "first", F.coalesce("l", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    ranks = classes.select(F.col("fp").alias("v"), F.struct(F.col("first").isNull().alias("none"), "first", F.col("fp").alias("v")).alias("rank"))
+    labels = components(links(classes), ranks).select(F.col("v").alias("fp"), F.struct("l.first").alias("least"))
+    named = classes.join(labels, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least.first")).alias("component_id"))
     return prints.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The documents that stay, one of each component (the smallest doc_id), with all their columns."""
-    found = near_duplicates(docs, id_col, text_col, shingle)
-    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), packed(docs))
-    return unpacked(rows.join(stay, rows["_id"].eqNullSafe(stay["_id"]), "left_semi"), docs.columns)
+    """The documents that stay, one row of each component (the smallest doc_id), with all their columns, also where ids repeat or
+    are null (of rows with one id, the first by a hash of their columns)."""
+    rows, _ = keyed(docs, id_col)
+    found = near_duplicates(rows.select("_key", F.col(f"_row.`{text_col}`").alias("_text")), "_key", "_text", shingle)
+    stay = found.where(F.col("_key") == F.col("component_id")).select("_key")
+    return unpacked(rows.join(stay, "_key", "left_semi"), docs.columns)
 
 
 def hexed(fp: Column) -> Column:
