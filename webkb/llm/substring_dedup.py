@@ -6,8 +6,8 @@ same document further ahead). Places are judged on the input.
 1. Anchors. Every window of LENGTH bytes has an anchor, its gram of GRAM bytes with the smallest hash (the
    first of equals); consecutive windows with one anchor are a run, and the run's bytes are its fragment.
    Equal windows have equal anchors at the same place, so only fragments with one anchor can share windows.
-2. Classes. Equal fragments (by 112 bits of anchor and fragment hashes) are a class: all but its first
-   fragment are repeats. Each map task settles its own classes and sends one row for each; a shuffle by
+2. Classes. Equal fragments (by 48 bits of the anchor's hash and 64 bits of XXH3 over the fragment's bytes, a function of
+   its own) are a class: all but its first fragment are repeats. Each map task settles its own classes and sends one row for each; a shuffle by
    anchor, read in sorted order row by row, settles the rest. Anchors with one class need no text.
 3. Suffix sorting. The first fragments of the other classes, a few percent, are cut from the texts, the
    gram replaced by one symbol. Those of an anchor meet (those of a very frequent one in blocks of about LIMIT
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +43,6 @@ LIMIT = 2000
 _GRAMS = LENGTH - GRAM + 1  # grams in a window; also the symbols of a window once its gram is one symbol
 _CHUNK = 1 << 23
 _SORT = 1 << 15
-_HALF = 64  # bytes of the hashes that fragment digests are made of
 _PLACE = np.uint64((1 << 24) - 1)
 _SEEDS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 
@@ -52,18 +52,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of every GRAM and of every _HALF bytes, put together from hashes of doubling lengths."""
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of every GRAM bytes, put together from hashes of doubling lengths."""
     count = len(data) - GRAM + 1
     part, size, at, out = _SEEDS[data], 1, 0, None
-    while size < _HALF:
+    while size <= GRAM:
         if GRAM & size:
             piece = part[at : at + count]
             out = piece if out is None else _mix(out * np.uint64(0x5851F42D4C957F2D) + piece)
             at += size
-        part = _mix(part[:-size] * np.uint64(0x27BB2EE687B0B0FD) + part[size:])
+        if 2 * size <= GRAM:
+            part = _mix(part[:-size] * np.uint64(0x27BB2EE687B0B0FD) + part[size:])
         size *= 2
-    return out, part
+    return out
 
 
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +72,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bytes from the first window to the gram."""
     found = []
     for start in range(0, len(data) - LENGTH + 1, _CHUNK):
-        grams, halves = _hashes(data[start : start + _CHUNK + LENGTH - 1])
+        chunk = data[start : start + _CHUNK + LENGTH - 1]
+        grams = _hashes(chunk)
         low = (grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
         size = 1
         while size * 2 <= _GRAMS:
@@ -83,10 +85,8 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.flatnonzero(np.diff(at, prepend=-1))
         windows = np.diff(np.append(first, n))
         shape = windows << 6 | (at[first] - first)
-        # a fragment has LENGTH to LENGTH + _GRAMS - 1 bytes: three overlapping stretches of _HALF cover it
-        digest = _mix(halves[first] * np.uint64(0xD1342543DE82EF95) + halves[first + LENGTH - _HALF])
-        digest = _mix(digest * np.uint64(0xAEF17502108EF2D9) + halves[first + windows - 1 + LENGTH - _HALF])
-        digest = _mix(digest + shape.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        raw, hashed = chunk.tobytes(), xxhash.xxh3_64_intdigest
+        digest = np.array([hashed(raw[i:j], k) for i, j, k in zip(first.tolist(), (first + windows - 1 + LENGTH).tolist(), shape.tolist())], np.uint64)
         found.append(((grams[at[first]] >> np.uint64(16)).view(np.int64), digest.view(np.int64), (first + start) << 12 | shape))
     if not found:
         return (np.zeros(0, np.int64),) * 3
@@ -317,7 +317,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         fragments = fragments.withColumn("block", F.lit(0))
     else:
         blocks = F.coalesce("blocks", F.lit(1))
-        fragments = fragments.join(frequent, "anchor", "left").withColumn("block", F.pmod(F.xxhash64("key"), blocks))
+        fragments = fragments.join(frequent, "anchor", "left").withColumn("block", F.pmod(F.xxhash64("key", "place"), blocks))
         left = resolved(fragments.where("blocks > 1"), True, "key long, first long, digest binary")
         earliest = left.groupBy("digest").agg(F.min(F.struct("key", "first")).alias("e"))
         late = left.join(earliest, "digest").where((F.col("e.key") != F.col("key")) | (F.col("e.first") != F.col("first")))
