@@ -300,6 +300,81 @@ PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1><nav><a
 <footer>(c) me</footer><script>var a="</p><p>no"</script></body></html>"""
 
 
+L1, L2 = "A first sentence that says what the page is about, in some detail and at length.", "The second one goes on for a while, as such sentences on such pages do, and then ends."
+NAV, FOOT = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav>", "<footer>All rights reserved, Example Company, 2020</footer>"
+#: Page shapes (what stands in the body) and their main text.
+SHAPES = [
+    (f"{NAV}<article><h1>Title</h1><p>{L1}<p>{L2}</article>{FOOT}", f"Title {L1} {L2}"),
+    (f"{NAV}<main><h1>Title</h1><p>{L1}</p></main>{FOOT}", f"Title {L1}"),
+    (f"<div role=main><p>{L1}</p></div><div role=navigation>{L2}</div>", L1),
+    (f"<div class=entry-content><p>{L1}</p></div><div class=sidebar><p>{L2}</p></div>", L1),
+    (f"<article><h1 class=post-header>Title</h1><p>{L1}</p></article>", f"Title {L1}"),
+    (f"<article><header class=article-header><h1>Title</h1></header><p>{L1}</p></article>", f"Title {L1}"),
+    (f"<article><div class=search-results-discussion><p>{L1}</p></div></article>", L1),
+    (f"<article><p>{L1}</p><div class=teaser>Read more about this</div></article>", L1),
+    (f"<article><p>{L1}</p><ul><li class=ad>Buy now<li>Real item</ul><p>{L2}</p></article>", f"{L1} Real item {L2}"),
+    (f"<article><p>{L1}</p><aside>Something else</aside><p>{L2}</p></article>", f"{L1} {L2}"),
+    (f"<article><p>{L1}</p><form><label>Mail</label><input></form></article>", L1),
+    (f"<article><p>{L1}</p><footer>By the author</footer></article>", L1),
+    (f"<article><p>{L1}</p></article><section id=comments><article><p>{L2}</p></article></section>", L1),
+    (f"<main><article><p>{L1}</p></article><div class=comment-list><p>{L2}</p></div></main>", L1),
+    (f"<div class='cookie-notice'><p>{L2}</p></div><article><p>{L1}</p></article>", L1),
+    (f"<article><div class='ad-banner'><p>{L2}</p></div><p>{L1}</p></article>", L1),
+    (f"<article class='has-sidebar no-ads'><p>{L1}</p></article>", L1),
+    (f"<article><p>{L1}</p><p>See also <p><a href=x>A link</a><p>{L2}</article>", f"{L1} See also A link {L2}"),
+    (f"<article><ul><li><a href=x>One</a><li><a href=y>Two</a><li><a href=z>Three</a></ul></article>", "One Two Three"),
+    (f"<article><table><tr><th>Name<th>Value<tr><td>a<td>1</table><p>{L1}</article>", f"Name Value a 1 {L1}"),
+    (f"<article><dl><dt>Term<dd>{L1}<dt>Other<dd>{L2}</dl></article>", f"Term {L1} Other {L2}"),
+    (f"<article><p>{L1}<script>var a='<p>no</p>'</script><style>p{{}}</style><noscript>off</noscript></article>", L1),
+    (f"<article><p>caf&eacute; &amp; &#x1F600; &lt;b&gt;\n\t {L1}</article>", f"caf\u00e9 & \U0001f600 <b> {L1}"),
+    (f"<article><p>{L1}<p hidden>secret<p style='display: none'>secret<p aria-hidden=true>secret</article>", L1),
+    (f"<article><div><p>{L1}<b>bold<i>both</b></i></div><p>{L2}</article>", f"{L1}boldboth {L2}"),
+    (f"<article><!-- {L2} --><p>{L1}</article>", L1),
+    (f"<article><pre>a  b\nc</pre><figure><img src=x><figcaption>A caption</figcaption></figure></article>", "a b c A caption"),
+    (f"<article><div class='social'><a href=x>Share</a> <a href=y>Tweet</a></div><p>{L1}</article>", L1),
+    (f"{NAV}<div><h1>Title of it</h1><p>{L1} {L2} {L1}</p><p>{L2} {L1} {L2}</p><p>{L1} {L2} {L1}</p></div>{FOOT}", f"Title of it {L1} {L2} {L1} {L2} {L1} {L2} {L1} {L2} {L1}"),
+    (f"<div><a href=a>Home</a></div><div><a href=b>News</a></div><p>{L1} {L2} {L1}</p><p>{L2} {L1} {L2}</p><div><a href=c>Terms</a></div>", f"{L1} {L2} {L1} {L2} {L1} {L2}"),
+    (f"<article><p>{L1}<br>{L2}</p></article></div></div>stray", f"{L1} {L2}"),
+    (f"<article><section><h2>Part</h2><p>{L1}</section><section><h2>Part two</h2><p>{L2}</section></article>", f"Part {L1} Part two {L2}"),
+    (f"<article><article><p>{L1}</article></article><div class='related-posts'><p>{L2}</p></div>", L1),
+]
+
+
+@pytest.mark.parametrize("body, text", SHAPES)
+def test_html_shapes(body, text):
+    assert html_text.main_text(f"<!DOCTYPE html><html><head><title>T</title></head><body>{body}</body></html>", html_text.grow(*html_text.labelled())) == text
+
+
+def test_html_tree():
+    """The tree uses the words and links of blocks and neighbours, and no block of an unmarked content element is lost."""
+
+    def used(tree):
+        return set() if "main" in tree else {html_text.COLUMNS[tree["feature"]]} | used(tree["low"]) | used(tree["high"])
+
+    tree = html_text.grow(*html_text.labelled())
+    assert {"words", "links", "links_before", "words_after"} <= used(tree)
+    r = np.random.default_rng(0)
+    n = 5000
+    shares = [r.integers(0, 80, n), r.random(n).round(1), r.integers(0, 80, n), r.random(n).round(1), r.integers(0, 80, n), r.random(n).round(1)]
+    rows = lambda *where: np.stack([*shares, *[np.full(n, x) for x in where]], 1)
+    assert html_text.classify(tree, rows(1, 0, 0, 0, 1)).mean() > 0.99
+    assert not html_text.classify(tree, rows(1, 1, 0, 0, 1)).any() and not html_text.classify(tree, rows(0, 0, 0, 0, 1)).any()
+
+
+def test_html_time():
+    """Unclosed and stray tags cost time in proportion."""
+    import time
+
+    def seconds(n):
+        began = time.process_time()
+        html_text.main_text("<article>" + "<b>x<p><div>" * n + "</i></span>" * n, tree)
+        return time.process_time() - began
+
+    tree = html_text.grow(*html_text.labelled())
+    seconds(1000)
+    assert seconds(40_000) < 16 * max(seconds(5_000), 0.05)
+
+
 def test_html(spark, sf):
     import html
 
@@ -313,6 +388,8 @@ def test_html(spark, sf):
         assert r["text"] == " ".join(plain.split()) and r["n_chars"] == len(r["text"])
     odd = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "<p>unclosed <b", "x")], "page_id long, url string, html string, text string")
     assert [r["text"] for r in html_text.extract(odd).collect()][:2] == ["", ""]
+    twice = odd.limit(0).unionByName(odd.limit(1)).unionByName(odd.limit(1))
+    assert html_text.extract(twice).count() == 2 and html_text.extract(odd.limit(0)).count() == 0
 
 
 def test_lm_score(spark):
@@ -462,7 +539,7 @@ def test_pii_graph(spark):
 
 
 def test_pii_long(spark):
-    docs = spark.createDataFrame([(1, " ".join(str(i * 7919 % 1_000_003) for i in range(30_000))), (2, "x" * 200_000 + " 12 " + "-" * 100_000), (3, ". " * 50_000 + "1.2.3.4 " + " " * 100_000 + "5")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(str(i * 7919 % 1_000_003) for i in range(30_000))), (2, "x" * 5_000 + " 12 " + "-" * 100_000), (3, ". " * 50_000 + "1.2.3.4 " + " " * 100_000 + "5")], "doc_id long, text string")
     assert [r["spans"] for r in pii.digest(pii.find(docs)).orderBy("doc_id").collect()] == [base_spans(r["text"]) for r in docs.collect()]
 
 

@@ -42,7 +42,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What an instance of a kind can't do without.
-NEEDS = {"email": "@", "ip": "[0-9a-fA-F]+[.:][0-9a-fA-F]", "card": "(?:[0-9].*){4}", "phone": "(?:[0-9].*){4}"}
+NEEDS = {"email": "@", "ip": "[0-9a-fA-F][.:][0-9a-fA-F]", "card": "(?:[0-9][^0-9]*+){4}", "phone": "(?:[0-9][^0-9]*+){4}"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _HIT = "array<struct<no:int,i:int,gap:int,hit:string,near:boolean,before:array<string>,after:array<string>>>"
@@ -158,7 +158,7 @@ def bootstrap(spans: DataFrame, min_support: float = MIN_SUPPORT, min_confidence
     held = known.select("pattern", "no", F.lit(1.0).alias("confidence"))
     needs = F.lit(False)
     for no, kind in enumerate(KINDS):
-        needs = needs | ((F.col("no") == no) & F.col("value").rlike(f"(?s){NEEDS[kind]}"))
+        needs = needs | ((F.col("no") == no) & F.col("value").rlike(NEEDS[kind]))
     accepted, before = None, 0
     while True:
         if accepted is not None:
