@@ -94,3 +94,19 @@ def is_allowed(url: Column, domains: Sequence[str] = (), excluded: Sequence[str]
 def page_number(url: Column) -> Column:
     """The page number in a URL by the first pattern that finds one."""
     return F.coalesce(*[F.nullif(F.regexp_extract(url, p, 1), F.lit("")) for p in PAGE_NUMBERS]).cast("int")
+
+
+def with_page_number(url: Column, number: Column) -> Column:
+    """The URL with another page number, put where page_number() reads it; null where there is none."""
+    out = F.lit(None).cast("string")
+    for p in reversed(PAGE_NUMBERS):
+        head = p.replace(r"(\d+)", "")
+        lead = head.replace("[?&]", "([?&])") if head.startswith("[") else f"({head})"
+        put = F.regexp_replace(url, lead + r"\d+", F.concat(F.lit("$1" + head.removeprefix("[?&]") if head.startswith("[") else "$1"), number.cast("string")))
+        out = F.when(url.rlike(p), put).otherwise(out)
+    return out
+
+
+def pagination_urls(url: Column, most: int) -> Column:
+    """The URLs of the next `most` pages."""
+    return F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: with_page_number(url, page_number(url) + i))

@@ -46,26 +46,26 @@ def fetch_outcome(status: Column, kind: Column) -> Column:
     return F.struct((F.coalesce(status < 400, F.lit(False)) & kind.isNull()).alias("ok"), retry.isNotNull().alias("retryable"), retry.alias("retry_after"))
 
 
-def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int = 500, max_depth: int = 10, allowed: Callable[[Column], Column] = is_allowed) -> DataFrame:
+def crawl(pages: DataFrame, links: DataFrame, seeds: DataFrame, max_pages: int | None = 500, max_depth: int = 10, allowed: Callable[[Column], Column] = is_allowed) -> DataFrame:
     """Visited pages (norm_url, depth, priority, discovered, parent) of a breadth-first crawl over known pages.
 
     pages: (page_id, norm_url); links: (source_page_id, target_url); seeds: (norm_url). Every level is one join of the
-    frontier with the links, an anti-join with what was seen, and a bounded top; only counts reach the driver.
+    frontier with the links, an anti-join with what was seen, and a bounded top (none: no bound); only counts reach the driver.
     """
     known = pages.select("page_id", "norm_url")
     first = seeds.select(normalize_url(F.col("norm_url")).alias("norm_url"), F.lit(0).alias("priority"), F.lit(0).cast("long").alias("discovered"), F.lit(None).cast("string").alias("parent"))
     nothing = first.select("norm_url").limit(0)
     front = materialise(next_frontier(first, nothing, allowed, 0, max_depth, max_pages))
-    visited, left = front, max_pages - front.count()
+    visited, left = front, max_pages and max_pages - front.count()
     depth = 1
-    while depth <= max_depth and left > 0:
+    while depth <= max_depth and left != 0:
         found = front.join(known, "norm_url").join(links, F.col("page_id") == F.col("source_page_id"))
         found = found.select(F.col("target_url"), F.lit(50).alias("priority"), F.col("page_id").alias("discovered"), F.col("norm_url").alias("parent")).withColumnRenamed("target_url", "norm_url")
         front = materialise(next_frontier(found, visited, allowed, depth, max_depth, left))
         count = front.count()
         if not count:
             break
-        visited, left, depth = materialise(visited.unionByName(front)), left - count, depth + 1
+        visited, left, depth = materialise(visited.unionByName(front)), left and left - count, depth + 1
     return visited
 
 

@@ -78,6 +78,43 @@ def find_paths(edges: DataFrame, source: str, target: str, max_depth: int = 4) -
     return tree.select(F.col("node").alias("src"), "depth", "path").join(last, "src").select((F.col("depth") + 1).alias("depth"), F.array_join(F.concat("path", F.array("label")), "/").alias("path"))
 
 
+def find_path_to(edges: DataFrame, source: str, target: str, max_depth: int = 4) -> DataFrame:
+    """(depth, entities, description): a path of fewest edges, the first found; entities in order, and the path drawn with
+    its predicates as `a -[p]-> b <-[q]- c`. No row if there is none."""
+    start = edges.sparkSession.createDataFrame([(source.strip().lower(),)], "start string")
+    level = start.select(F.lit(0).alias("depth"), F.col("start").alias("node"), F.array("start").alias("entities"), F.col("start").alias("description"), F.array().cast("array<bigint>").alias("order"))
+    steps, goal = both_ways(edges), target.strip().lower()
+    seen = level
+    for depth in range(1, max_depth + 1):
+        if goal == source.strip().lower():
+            break
+        near = level.join(steps, F.col("node") == F.col("src"))
+        arrow = F.when(F.col("way") == 0, F.concat(F.lit(" -["), "label", F.lit("]-> "))).otherwise(F.concat(F.lit(" <-["), F.expr("substring(label, 5)"), F.lit("]- ")))
+        near = near.select(F.lit(depth).alias("depth"), F.col("dst").alias("node"), F.concat("entities", F.array("dst")).alias("entities"), F.concat("description", arrow, "dst").alias("description"), F.concat("order", F.array(F.col("way").cast("bigint"), F.col("id").cast("bigint"))).alias("order"))
+        first = F.row_number().over(Window.partitionBy("node").orderBy("order"))
+        level = near.join(seen.select("node"), "node", "left_anti").withColumn("_f", first).where("_f = 1").drop("_f")
+        seen = seen.unionByName(level)
+    return seen.where(F.col("node") == goal).select("depth", "entities", "description")
+
+
+def edges_by(edges: DataFrame, ids: Sequence[int] | None = None, predicate: str | None = None, page: int | None = None, limit: int | None = None) -> DataFrame:
+    """Relationships by id, by predicate (the first `limit` by id) or by source page."""
+    if ids is not None:
+        edges = edges.where(F.col("id").isin(list(ids)))
+    if predicate is not None:
+        edges = edges.where(F.col("predicate") == predicate)
+    if page is not None:
+        edges = edges.where(F.col("source_page_id") == page)
+    return edges if limit is None else edges.orderBy("id").limit(limit)
+
+
+def nodes_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Names at either end of edges with id and type from nodes (normalized_name, id, entity_type); unknown ones are 0 and "unknown"."""
+    names = edges.select(F.lower("subject_name").alias("name")).union(edges.select(F.lower("object_name"))).distinct()
+    found = names.join(nodes.select(F.col("normalized_name").alias("name"), "id", "entity_type"), "name", "left")
+    return found.select("name", F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
+
+
 def subgraph(edges: DataFrame, center: str, radius: int = 2, max_nodes: int = 50) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around a center: nodes in order of discovery up to max_nodes, edges once for each
     (subject, object, predicate), the first by id with its confidence as weight."""

@@ -20,12 +20,15 @@ URL_TOPICS = {
     "legal": ["privacy", "terms", "legal", "policy", "gdpr", "cookies"],
 }
 NEGATIVE = ("login", "logout", "signin", "signout", "register", "signup", "cart", "checkout", "account", "profile", "settings", "share", "print", "download", "subscribe", "newsletter")
-GOAL_STOP_WORDS = tuple(
-    """the a an is are was were be been have has had do does did will would could should may might must shall can to of in for on with at by from
-    as into through during before after above below between under again further then once here there when where why how all each few more most
-    other some such no nor not only own same so than too very just and but if or because until while what which who whom this that these those am i
-    me my myself we our ours you your yours he him his she her hers it its they them their find get look want need information about page website""".split()
-)
+GOAL_STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may",
+    "might", "must", "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after",
+    "above", "below", "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "just", "and", "but", "if", "or",
+    "because", "until", "while", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "i", "me", "my", "myself", "we", "our",
+    "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "it", "its", "they", "them", "their", "find", "get", "look", "want",
+    "need", "information", "about", "page", "website",
+)
 ELEMENT_SCORES = {"navigation_link": 0.8, "pagination": 0.7, "load_more": 0.75, "tab": 0.6, "accordion": 0.5, "content_link": 0.4}
 IMPORTANT = ("main", "primary", "home", "about", "product", "service")
 NOISE = ("social", "share", "tweet", "facebook", "twitter", "instagram")
@@ -143,11 +146,11 @@ def explore(elements: DataFrame, page: str = "page_id", clicks: int = 5) -> Data
     return rows.withColumn("place", place).where((F.col("action") == "navigate") | (F.col("place") <= clicks))
 
 
-def next_frontier(found: DataFrame, seen: DataFrame, allowed: Callable[[Column], Column], depth: int, max_depth: int, budget: int) -> DataFrame:
+def next_frontier(found: DataFrame, seen: DataFrame, allowed: Callable[[Column], Column], depth: int, max_depth: int, budget: int | None) -> DataFrame:
     """New URLs (norm_url, depth, priority, parent) of one step of a crawl: allowed, unseen, once each, best first, within the budget."""
     if depth > max_depth:
         return found.limit(0)
     rows = found.where(allowed(F.col("norm_url"))).groupBy("norm_url").agg(F.min(F.struct("priority", "discovered", "parent")).alias("b"))
     rows = rows.join(seen.select("norm_url"), "norm_url", "left_anti")
     rows = rows.select("norm_url", F.lit(depth).alias("depth"), "b.priority", "b.discovered", "b.parent")
-    return rows.orderBy("priority", "discovered", "norm_url").limit(budget)
+    return rows if budget is None else rows.orderBy("priority", "discovered", "norm_url").limit(budget)

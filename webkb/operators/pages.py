@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import html_tree as H
 from ..functions.text import clean, summary, word_count
 from ..functions.udf import arrow_udf
-from ..functions.urls import normalize_url
+from ..functions.urls import domain, normalize_url
 
 BLOCK = "struct<block_type:string,text:string,tag_name:string,level:int,attributes:map<string,string>,links:int,position:int>"
 LINK = "struct<url:string,text:string,title:string,rel:string>"
@@ -90,9 +90,44 @@ def fast_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
 
 
+# Fixed patterns of the fast link scan.
+ANCHOR = r"(?is)<a(\s[^>]*)>(.*?)</a>"
+ATTRIBUTE = r"""(?i)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def _attribute(text: Column, name: str) -> Column:
+    pattern = ATTRIBUTE.replace("{name}", name)
+    return F.concat(*[F.regexp_extract(text, pattern, i) for i in (1, 2, 3)])
+
+
 def raw_links(pages: DataFrame) -> DataFrame:
-    """(page_id, position, href) by a pattern, as written."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("position", "href"))
+    """(page_id, position, href, rel, title, text, same_domain) of anchors with an href by a pattern, as written."""
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1)).alias("attrs"), F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)).alias("inner"))
+    rows = pages.select("page_id", "url", F.posexplode(found).alias("position", "a"))
+    rows = rows.select("page_id", "url", "position", _attribute(F.col("a.attrs"), "href").alias("href"), _attribute(F.col("a.attrs"), "rel").alias("rel"), _attribute(F.col("a.attrs"), "title").alias("title"), clean(F.regexp_replace("a.inner", "<[^>]*>", " ")).alias("text"))
+    near = ~F.col("href").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//") | (domain(F.col("href")) == domain(F.col("url")))
+    return rows.where("href <> ''").withColumn("same_domain", near).drop("url")
+
+
+# Fixed patterns: signs of navigation in static markup.
+NAVIGATION = {
+    "pagination": r"(?i)(?:class|id|aria-label)\s*=\s*[^>]*(?:pagination|pager|page-numbers)|rel\s*=\s*.?(?:next|prev)\b",
+    "infinite_scroll": r"(?i)infinite[-_]?scroll|data-(?:next-page|infinite)",
+    "load_more": r"(?i)<(?:button|a)\b[^>]*>\s*(?:load|show|view|see)\s+more\b|load[-_]more",
+    "tabs": r"(?i)role\s*=\s*.?tab(?:list)?\b|class\s*=\s*[^>]*\b(?:nav-tabs|tab-list)\b",
+    "accordion": r"(?i)<details\b|class\s*=\s*[^>]*\baccordion|aria-expanded\s*=",
+}
+
+
+def navigation_patterns(html: Column) -> dict[str, Column]:
+    """Whether a page has pagination, infinite scrolling, a load-more button, tabs or accordions."""
+    return {name: F.coalesce(html.rlike(pattern), F.lit(False)) for name, pattern in NAVIGATION.items()}
+
+
+def visible_text(html: Column) -> Column:
+    """Text without scripts, styles, comments and tags, by patterns; white space becomes one space."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<head\b.*?</head>", " ")
+    return clean(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
 
 
 def parse_dates(text: Column) -> Column:

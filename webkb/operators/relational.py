@@ -88,3 +88,39 @@ def timing_metrics(rows: DataFrame, name: str, value: str) -> DataFrame:
     """Count, total, extremes and mean of each timer, rounded half to even."""
     v = F.col(value)
     return rows.groupBy(name).agg(F.count(v).alias("count"), F.bround(F.sum(v), 2).alias("total"), F.bround(F.min(v), 2).alias("min"), F.bround(F.max(v), 2).alias("max"), F.bround(F.avg(v), 2).alias("avg"))
+
+
+def search_entities(entities: DataFrame, query: str, entity_type: str | None = None, limit: int = 20) -> DataFrame:
+    """Entities whose name holds the query in any case, one for each normalised name whatever its types: the first id's name
+    and type, page ids in order, mentions; most mentioned first."""
+    rows = entities.where(F.lower("name").contains(query.strip().lower()))
+    rows = rows if entity_type is None else rows.where(F.col("entity_type") == entity_type)
+    return entity_nodes(rows).orderBy(F.desc("mentions"), "normalized_name").limit(limit)
+
+
+def mentions(lines: DataFrame) -> DataFrame:
+    """(name_key, type, name, mentions) of entity lines (place, type, name): names in any case, the first spelling kept."""
+    rows = lines.groupBy(F.lower("name").alias("name_key"), "type")
+    return rows.agg(F.min_by("name", "place").alias("name"), F.count(F.lit(1)).alias("mentions"))
+
+
+def unique_facts(lines: DataFrame, key: str, fact: str = "fact", place: str = "place") -> DataFrame:
+    """The first of each key's facts that are equal in any case."""
+    return first_by(lines.withColumn("_low", F.lower(fact)), [key, "_low"], place).drop("_low")
+
+
+def update_status(rows: DataFrame, condition: Column, status: str, column: str = "status") -> DataFrame:
+    """rows with a new status where the condition holds; nothing else changes."""
+    return rows.withColumn(column, F.when(condition, status).otherwise(F.col(column)))
+
+
+def with_pages(hits: DataFrame, pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """hits with the url and title of their page, empty where there is none."""
+    joined = hits.join(pages.select(key, "url", "title"), key, "left")
+    return joined.withColumn("url", F.coalesce("url", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
+
+
+def rates(rows: DataFrame, key: str, **conditions: Column) -> DataFrame:
+    """Rows of each key and, in per cent, how many meet each condition."""
+    n = F.count(F.lit(1))
+    return rows.groupBy(key).agg(n.alias("decisions"), *[F.round(100.0 * F.count_if(c) / n, 6).alias(name) for name, c in conditions.items()])

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import materialise
 
 # Ranking constants and source weights.
 K1, B = 1.2, 0.75
+MOST_TERMS = 5000  # query terms that go into the scan
 SOURCES = ("vector", "keyword", "graph")
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "graph": 0.1}
 
@@ -20,16 +24,33 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return exploded.groupBy("id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", require_all: bool = False) -> DataFrame:
+def _query_postings(terms: DataFrame, docs: DataFrame, id_col: str, text_col: str, most_terms: int) -> tuple[DataFrame, DataFrame]:
+    """Postings (id, term, doc_len, tf) of the query terms, and one row (docs, mean_len) of all documents; texts are read once.
+
+    Up to most_terms terms go into the scan as a set, so that other words never leave their array; more meet the exploded
+    words in a join."""
+    wanted = terms.select("term").distinct()
+    known = [r["term"] for r in wanted.limit(most_terms + 1).collect()]
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
+    if len(known) <= most_terms:
+        hits = F.filter("words", lambda w: w.isin(known)) if known else F.array().cast("array<string>")
+        kept = materialise(words.select("id", F.size("words").alias("doc_len"), hits.alias("hits")))
+        found = kept.select("id", "doc_len", F.explode("hits").alias("term"))
+    else:
+        kept = words.select("id", F.size("words").alias("doc_len"))
+        found = words.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term")).join(wanted, "term")
+    totals = kept.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))
+    return found.groupBy("id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")), totals
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", require_all: bool = False, most_terms: int = MOST_TERMS) -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, query): Okapi BM25 over distinct query terms.
 
-    Only postings of query terms are shuffled: the terms' small table meets the exploded words before they are counted.
+    Only postings of query terms are shuffled, see _query_postings().
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    sized = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")).withColumn("doc_len", F.size("words"))
-    totals = docs.select(F.regexp_count(F.lower(F.col(text_col)), F.lit(r"[\p{L}\p{N}_]+")).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean_len"))
-    words = sized.select("id", "doc_len", F.explode("words").alias("term")).join(terms.select("term").distinct(), "term")
-    hits = words.groupBy("term", "id", "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    terms = materialise(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
+    hits, totals = _query_postings(terms, docs, id_col, text_col, most_terms)
+    hits = materialise(hits)
     spread = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     one = hits.join(spread, "term").crossJoin(totals)  # totals is one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -111,3 +132,34 @@ def first_variant(hits: DataFrame) -> DataFrame:
     """Hits of several query variants, each document once: by the earliest variant, then rank."""
     place = F.row_number().over(Window.partitionBy("query_id", "id").orderBy("variant", "rank"))
     return hits.withColumn("_p", place).where("_p = 1").drop("_p")
+
+
+def retrieve(
+    queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], k: int = 10, min_score: float = 0.3, min_fused_score: float = 0.0,
+    id_col: str = "doc_id", text_col: str = "text", page_col: str = "page_id",
+) -> DataFrame:
+    """Hybrid retrieval: (query_id, id, final_score, adjusted, diverse_rank), the k best documents of each query.
+
+    queries: (query_id, semantic, keywords), the arrays of texts to search by vector (the first three) and by keyword (the
+    first five). docs need id_col, text_col and page_col. A document counts for its first variant in either search; both are
+    fused by reciprocal ranks, thinned for pages, and cut. min_score holds for similarities, as fused ranks stay far below it.
+    """
+    from .vectors import search_text
+
+    def variants(column: str, most: int) -> DataFrame:
+        rows = queries.select("query_id", F.posexplode(F.slice(column, 1, most)).alias("variant", "query"))
+        return rows.withColumn("key", F.concat_ws(":", "query_id", "variant"))
+
+    def merged(hits: DataFrame, rows: DataFrame) -> DataFrame:
+        found = hits.withColumnRenamed("query_id", "key").join(rows.select("key", "query_id", "variant"), "key")
+        first = first_variant(found)
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("variant", "rank"))
+        return first.withColumn("rank", rank).select("query_id", "id", "score", "rank")
+
+    by_vector, by_word = variants("semantic", 3), variants("keywords", 5)
+    near = search_text(by_vector.select(F.col("key").alias("query_id"), "query"), docs, embed, k, min_score, id_col, text_col)
+    words = bm25(by_word.select(F.col("key").alias("query_id"), "query"), docs, k, id_col, text_col)
+    fused = fuse({"vector": merged(near, by_vector), "keyword": merged(words, by_word)})
+    paged = fused.join(docs.select(F.col(id_col).alias("id"), F.col(page_col).alias("page_id")), "id")
+    thin = diversify(paged, "page_id").where((F.col("diverse_rank") <= k) & (F.col("adjusted") >= min_fused_score))
+    return thin.select("query_id", "id", "final_score", "adjusted", "diverse_rank")

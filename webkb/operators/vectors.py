@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.udf import arrow_udf
 
-QUERY_BLOCK = 512
+QUERY_BLOCK, VECTOR_BLOCK = 512, 4096  # vectors compared at once
+_WORDS = re.compile(r"\w+")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,21 +44,25 @@ def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(1e-10)) * F.greatest(norm(b), F.lit(1e-10)))
 
 
+def _blocks(rows: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    """rows (key, vector, g) in groups of about `size`, each one array."""
+    n = 1 + rows.count() // size
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).repartition(n, "block")
+    return dealt.groupBy("block").agg(F.collect_list(F.struct(key, "vector", "g")).alias(name)).select(name)
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False, group: str | None = None, min_score: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): the k best vectors for each query, ties by id.
 
-    queries: (query_id, vector); vectors: (vec_id, vector). Queries are cut into blocks of QUERY_BLOCK rows.
-    Every block meets every partition of the vectors in one matrix product, of which only each query's k best
-    leave the task; a window merges them. Neither side is broadcast whole or collected. Filters belong before
-    this call. group: a column both sides have; equal values are left out.
+    queries: (query_id, vector); vectors: (vec_id, vector). Every block of QUERY_BLOCK queries meets every block of
+    VECTOR_BLOCK vectors in one matrix product, of which only each query's k best leave the task; a window merges them. The
+    work is queries times vectors; neither side is broadcast whole or collected. Filters belong before this call.
+    group: a column both sides have; equal values are left out.
     """
     n = F.lit(None).cast("long") if group is None else F.col(group).cast("long")
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["vec_id"].dataType.simpleString()
     q = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), n.alias("g"))
-    q = q.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("query_id"), F.lit(64))).orderBy("query_id")) - 1) / QUERY_BLOCK)).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64)))
-    q = q.groupBy("part", "block").agg(F.collect_list(F.struct("query_id", "vector", "g")).alias("queries"))
     v = vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), n.alias("g"))
-    v = v.withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, 8))))
-    v = v.groupBy("slot", F.floor(F.col("vec_id") / 20000).alias("range")).agg(F.collect_list(F.struct("vec_id", "vector", "g")).alias("vectors"))
 
     def unit(rows) -> np.ndarray:
         m = np.array([np.asarray(r["vector"], float) for r in rows], float)
@@ -81,11 +87,35 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, metric: str = "co
                 yield out[np.isfinite(out["score"])]
 
     # a stated set of queries against all vectors, block by block
-    hits = q.crossJoin(v).select("queries", "vectors").mapInPandas(run, "query_id long, vec_id long, score double")
+    both = _blocks(v, "vec_id", VECTOR_BLOCK, "vectors").crossJoin(_blocks(q, "query_id", QUERY_BLOCK, "queries"))
+    hits = both.select("queries", "vectors").mapInPandas(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked if min_score is None else ranked.where(F.col("score") >= min_score)
 
 
+def search_text(queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], k: int = 10, min_score: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(query_id, id, score, rank) for queries (query_id, query): both sides embedded by the given column function, then top_k()."""
+    asked = queries.select("query_id", embed(F.col("query")).alias("vector"))
+    held = docs.select(F.col(id_col).alias("vec_id"), embed(F.col(text_col)).alias("vector"))
+    return top_k(asked, held, k, min_score=min_score).withColumnRenamed("vec_id", "id")
+
+
+def select_vectors(index: DataFrame, page_ids: Sequence[int] | None = None, crawl: Column | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """The vectors a search may find, before it ranks: of some pages, of a crawl, without some ids."""
+    if page_ids is not None:
+        index = index.where(F.col("page_id").isin(list(page_ids)))
+    if crawl is not None:
+        index = index.where(crawl)
+    return index if exclude is None else remove(index, exclude)
+
+
+def similarity_matrix(vectors: DataFrame) -> DataFrame:
+    """(a, b, score, similar) of every pair of a small set, both ways; 0.7 or more is similar."""
+    pairs = similar_pairs(vectors, -2.0).select("a", "b", "score")
+    own = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.round(similarity(F.col("vector"), F.col("vector")), 6).alias("score"))
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).unionByName(own).withColumn("similar", F.col("score") >= 0.7)
+
+
 def build_lists(vectors: DataFrame, clusters: int = 100, sample: int = 100_000, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
     """(vectors with cluster, centroids): k-means on a bounded sample, every vector in the list of its best centroid.
 
@@ -134,15 +164,26 @@ def cluster_texts(vectors: DataFrame, clusters: int, seed: int = 42) -> DataFram
     return KMeans(k=clusters, seed=seed, predictionCol="label").fit(rows).transform(rows).select("vec_id", "label")
 
 
-@arrow_udf("array<float>")
+@arrow_udf("array<double>")
 def hash_embedding(texts: pd.Series) -> pd.Series:
-    """A deterministic stand-in for an embedding model: signed word hashes in 64 places, unit length."""
+    """A deterministic stand-in for an embedding model: words counted with a sign in one of 64 places, both from the word's
+    MD5, scaled to unit length. Null and wordless texts are zero."""
+    known: dict[str, tuple[int, int]] = {}
+
+    def code(word: str) -> tuple[int, int]:
+        if len(known) > 1 << 18:
+            known.clear()
+        if word not in known:
+            digest = hashlib.md5(word.encode()).digest()
+            known[word] = digest[0] % 64, 1 if digest[1] < 128 else -1
+        return known[word]
 
     def one(text: str | None) -> np.ndarray:
-        v = np.zeros(64, np.float32)
-        for word in (text or "").lower().split():
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-            v[h % 64] += 1 if h >> 63 else -1
+        found = [known.get(w) or code(w) for w in _WORDS.findall((text or "").lower())]
+        if not found:
+            return np.zeros(64)
+        places, signs = np.array(found).T
+        v = np.bincount(places, signs, 64)
         return v / max(1e-10, float(np.linalg.norm(v)))
 
     return texts.map(one)
@@ -215,8 +256,22 @@ def remove(index: DataFrame, ids: DataFrame) -> DataFrame:
     return index.join(ids.select("vec_id").distinct(), "vec_id", "left_anti")
 
 
-def index_stats(index: DataFrame) -> DataFrame:
-    return index.agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("vector")).alias("dimensions"), F.sum(F.size("vector").cast("long") * 4).alias("bytes"))
+def index_stats(index: DataFrame, most: int = 50_000) -> DataFrame:
+    """usage: the share of `most` vectors, in per cent."""
+    n = F.count(F.lit(1))
+    return index.agg(n.alias("vectors"), F.max(F.size("vector")).alias("dimensions"), F.sum(F.size("vector").cast("long") * 4).alias("bytes"), F.round(n * 100.0 / most, 2).alias("usage"))
+
+
+def newest(index: DataFrame, most: int = 50_000) -> DataFrame:
+    """The vectors of the largest ids, newest first."""
+    return index.orderBy(F.desc("vec_id")).limit(most)
+
+
+def evicted(accesses: DataFrame, key: str, at: str, most: int, batch: int = 5000) -> DataFrame:
+    """The keys a full store of `most` gives up for the next one: the least recently used, `batch` or all of them."""
+    held = lru_trace(accesses, key, at, most)
+    full = held.agg((F.count(F.lit(1)) >= most).alias("full"))  # one row
+    return held.crossJoin(full).where("full").drop("full").orderBy("last_access", key).limit(min(batch, most))
 
 
 def wants_lists(count: int, clusters: int = 100, least: int = 1000) -> int:

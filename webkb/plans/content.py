@@ -109,7 +109,9 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"), X.word_count(F.col("text")).alias("words"))
 
 
-@query("x2_fallback_answer")
+@query("x2_fallback_answer", """WITH w AS (SELECT doc_id, trim(text) AS t, substr(trim(text), 1, 400) AS h, coalesce(source, '') AS title FROM documents),
+    k AS (SELECT *, greatest(CASE WHEN strpos(h, '. ') = 0 THEN -1 ELSE length(h) - strpos(reverse(h), ' .') - 1 END, CASE WHEN strpos(h, '? ') = 0 THEN -1 ELSE length(h) - strpos(reverse(h), ' ?') - 1 END, CASE WHEN strpos(h, '! ') = 0 THEN -1 ELSE length(h) - strpos(reverse(h), ' !') - 1 END) AS stop, CASE WHEN strpos(h, ' ') = 0 THEN -1 ELSE length(h) - strpos(reverse(h), ' ') END AS space FROM w)
+    SELECT doc_id, CASE WHEN length(t) <= 400 THEN t WHEN stop > 200 THEN substr(h, 1, stop + 1) WHEN space > 280 THEN substr(h, 1, space) || '...' ELSE h || '...' END || CASE WHEN title = '' THEN '' ELSE chr(10) || chr(10) || '[Source: ' || title || ']' END AS answer FROM k""")
 def x2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.fallback_answer(F.col("text"), F.col("source")).alias("answer"))
 
@@ -166,12 +168,46 @@ def e9(spark: SparkSession, d: str) -> DataFrame:
     return pages.link_rows(table(spark, d, "pages"))
 
 
-@query("s9_raw_links", r"""SELECT page_id, CAST(i - 1 AS INTEGER) AS position, hrefs[i] AS href FROM (SELECT page_id, hrefs, unnest(range(1, len(hrefs) + 1)) AS i
-    FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1) AS hrefs FROM pages))""")
+def _attr(name: str, text: str = "attrs") -> str:
+    pattern = pages.ATTRIBUTE.replace("{name}", name).replace("'", "''")
+    return "(" + " || ".join(f"regexp_extract({text}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+
+
+_ANCHORS = f"""WITH a AS (SELECT page_id, url, i - 1 AS position, tags[i] AS attrs, inn[i] AS inner_html FROM (SELECT *, unnest(range(1, len(tags) + 1)) AS i
+    FROM (SELECT page_id, url, regexp_extract_all(html, '{pages.ANCHOR}', 1) AS tags, regexp_extract_all(html, '{pages.ANCHOR}', 2) AS inn FROM pages))),
+    r AS (SELECT page_id, url, CAST(position AS INTEGER) AS position, {_attr("href")} AS href, {_attr("rel")} AS rel, {_attr("title")} AS title,
+      trim(regexp_replace(regexp_replace(inner_html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM a) """
+
+
+@query("s9_raw_links", _ANCHORS + r"""SELECT page_id, position, href, rel, title, text, NOT regexp_matches(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')
+    OR lower(regexp_extract(href, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS same_domain FROM r WHERE href <> ''""")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     return pages.raw_links(table(spark, d, "pages"))
 
 
+#: The links of these pages begin with a slash; each target once, in page order.
+_LINKS = _ANCHORS + r""", b AS (SELECT page_id, position, text, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host, href, rel FROM r WHERE starts_with(href, '/')),
+    t AS (SELECT page_id, position, text, rel, scheme || '://' || CASE WHEN scheme = 'http' THEN regexp_replace(host, ':80$', '') ELSE regexp_replace(host, ':443$', '') END || coalesce(nullif(regexp_replace(href, '/+$', ''), ''), '/') AS target FROM b),
+    l AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY position) - 1 AS INTEGER) AS position, target, text FROM (SELECT *, row_number() OVER (PARTITION BY page_id, target ORDER BY position) AS f FROM t) WHERE f = 1) """
+
+
+def _hits(words: list[str], text: str) -> str:
+    return "(" + (" + ".join(f"CAST(contains({text}, '{w}') AS INTEGER)" for w in words) or "0") + ")"
+
+
+def _some(words: list[str], text: str) -> str:
+    return "(" + (" OR ".join(f"contains({text}, '{w}')" for w in words) or "false") + ")"
+
+
+_WORDS, _TOPICS = navigation.goal_terms(GOAL), navigation._topics(GOAL)
+_N = float(max(1, len(_WORDS)))
+_TERMS = "list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda w: regexp_matches(w, '^[a-z]{2,}$') AND NOT list_contains([" + ", ".join(f"'{w}'" for w in navigation.GOAL_STOP_WORDS) + "], w))"
+_OVERLAP = "len(list_distinct(list_filter(" + _TERMS + ", lambda w: list_contains([" + ", ".join(f"'{w}'" for w in dict.fromkeys(_WORDS)) + "], w))))"
+_TOPIC_SCORE = "CASE " + " ".join(f"WHEN {_hits(p, 'lower(target)')} + {_hits(p, 'lower(text)')} > 0 THEN CAST(0.3 AS DOUBLE) * least(({_hits(p, 'lower(target)')} + {_hits(p, 'lower(text)')}) / {len(p)}.0::DOUBLE, 1.0)" for p in _TOPICS) + " ELSE 0.0::DOUBLE END"
+_LINK_SCORE = f"""round(greatest(0.0, least(1.0, {_OVERLAP} / {_N}::DOUBLE * 0.4::DOUBLE + {_hits(_WORDS, "lower(text)")} / {_N}::DOUBLE * 0.2::DOUBLE + {_TOPIC_SCORE} + least({_hits(list(navigation.NEGATIVE), "lower(target)")}, 2) * -0.2::DOUBLE
+    + CASE WHEN length(text) > 3 AND NOT starts_with(text, 'http') AND NOT starts_with(text, 'www') THEN 0.1::DOUBLE ELSE 0.0 END)), 6)"""
+
+
 @query("e17_main_container")
 def e17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.best_container("html").alias("b")).select("page_id", "b.*")
@@ -182,29 +218,47 @@ def m1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.page_metadata("html").alias("m")).select("page_id", "m.title", "m.description", "m.charset", "m.canonical", "m.language", "m.best_title", "m.keywords", "m.ld_types")
 
 
-@query("n1_assess_pages")
+@query("n1_assess_pages", f"""WITH p AS (SELECT doc_id, lower(substr(text, 1, 80)) AS title, lower(text) AS low, lower('https://example.com/' || coalesce(source, '') || '/contact/' || doc_id) AS url FROM documents),
+    s AS (SELECT doc_id, round(least({_hits(_WORDS, "title")} / {_N}::DOUBLE, 1.0) * 0.4::DOUBLE + least({_hits(_WORDS, "low")} / {_N}::DOUBLE, 1.0) * 0.3::DOUBLE + CASE WHEN {_some([w for t in _TOPICS for w in t], "url")} THEN 0.2::DOUBLE ELSE 0.0 END
+      + least({_hits(_WORDS, "substr(low, 1, 500)")} / {_N}::DOUBLE, 1.0) * 0.1::DOUBLE, 6) AS score FROM p)
+    SELECT doc_id, score, CASE WHEN score >= 0.6 THEN 'yes' WHEN score >= 0.3 THEN 'partially' ELSE 'no' END AS relevance,
+      round(CASE WHEN score >= 0.6 THEN least(0.9::DOUBLE, 0.7::DOUBLE + score * 0.2::DOUBLE) WHEN score >= 0.3 THEN 0.5::DOUBLE + score * 0.3::DOUBLE ELSE greatest(0.3::DOUBLE, score + 0.2::DOUBLE) END, 6) AS confidence FROM s""")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "pages").select("page_id", "url", pages.fast_title(F.col("html")).alias("title"), F.col("html").alias("content"))
+    """Whole texts as pages, each with a title and a URL."""
+    url = F.concat(F.lit("https://example.com/"), F.coalesce("source", F.lit("")), F.lit("/contact/"), F.col("doc_id").cast("string"))
+    rows = table(spark, d, "documents").select("doc_id", url.alias("url"), F.substring("text", 1, 80).alias("title"), F.col("text").alias("content"))
+    return navigation.assess(rows, GOAL).select("doc_id", "score", "relevance", "confidence")
+
+
+@query("n1_assess_html")
+def n1_html(spark: SparkSession, d: str) -> DataFrame:
+    rows = pages.extract(table(spark, d, "pages")).select("page_id", "url", "title", F.col("main_text").alias("content"))
     return navigation.assess(rows, GOAL).select("page_id", "score", "relevance", "confidence")
 
 
-@query("n2_prioritize_links")
+@query("n2_prioritize_links", _LINKS + f""", s AS (SELECT page_id, position, {_LINK_SCORE} AS score FROM (SELECT *, text AS anchor FROM l)),
+    w AS (SELECT *, round(least(0.9::DOUBLE, max(score) OVER (PARTITION BY page_id) + avg(CAST(score >= 0.5 AS INTEGER)) OVER (PARTITION BY page_id) * 0.2::DOUBLE), 6) AS confidence, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, position) AS place FROM s)
+    SELECT page_id, position, score, confidence, CAST(place AS INTEGER) AS place FROM w WHERE place <= 10""")
 def n2(spark: SparkSession, d: str) -> DataFrame:
     return navigation.prioritize(pages.link_rows(table(spark, d, "pages")).withColumnRenamed("source_page_id", "page_id"), GOAL).select("page_id", "position", "score", "confidence", "place")
 
 
-@query("n3_visit_decision")
+@query("n3_visit_decision", _LINKS + f""", s AS (SELECT page_id, position, text, target, {_LINK_SCORE} AS priority FROM l),
+    h AS (SELECT *, round(least(1.0, greatest(0.0, {_hits(_WORDS, "lower(text || ' ' || target)")} / {_N}::DOUBLE * 0.5::DOUBLE + CASE WHEN {_some([w for t in _TOPICS for w in t], "lower(target)")} THEN 0.3::DOUBLE ELSE 0.0 END + priority * 0.2::DOUBLE + CASE WHEN {_some(list(navigation.NEGATIVE), "lower(target)")} THEN -0.3::DOUBLE ELSE 0.0 END)), 6) AS heuristic FROM s)
+    SELECT page_id AS source_page_id, position, priority, heuristic, CASE WHEN heuristic >= 0.4 THEN true WHEN heuristic >= 0.2 THEN priority >= 0.3 ELSE false END AS visit FROM h""")
 def n3(spark: SparkSession, d: str) -> DataFrame:
     rows = pages.link_rows(table(spark, d, "pages")).withColumn("priority", F.round(navigation.link_score(GOAL, F.col("anchor_text"), F.col("target_url")), 6))
     return rows.select("source_page_id", "position", "priority", navigation.visit_decision(GOAL, F.col("anchor_text"), F.col("target_url"), F.col("priority")).alias("v")).select("source_page_id", "position", "priority", "v.heuristic", "v.visit")
 
 
-@query("n4_goal_terms", f"""SELECT conv_id, turn, CAST(len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z]{{2,}}$') AND NOT list_contains([{", ".join(f"'{w}'" for w in navigation.GOAL_STOP_WORDS)}], w))) AS INTEGER) AS n_terms FROM conversations""")
+@query("n4_goal_terms", "SELECT conv_id, turn, array_to_string(" + _TERMS + ", ' ') AS terms FROM conversations")
 def n4(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(navigation.terms(F.col("text"))).alias("n_terms"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(navigation.terms(F.col("text")), " ").alias("terms"))
 
 
-@query("u6_element_priority")
+@query("u6_element_priority", _LINKS + f""", k AS (SELECT page_id, position, CASE WHEN regexp_matches(target, '[?&]page=[0-9]|[?&]p=[0-9]|/page/[0-9]|/p/[0-9]|-page-[0-9]|_page_[0-9]') THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AS base, CASE WHEN regexp_matches(target, '[?&]page=[0-9]|[?&]p=[0-9]|/page/[0-9]|/p/[0-9]|-page-[0-9]|_page_[0-9]') THEN 'pagination' ELSE 'navigation_link' END AS kind, text FROM l),
+    p AS (SELECT page_id, position, kind, round(greatest(0.0, least(1.0, base + CASE WHEN {_some(list(navigation.IMPORTANT), "lower(text)")} THEN 0.1::DOUBLE ELSE 0.0 END - CASE WHEN {_some(list(navigation.NOISE), "lower(text)")} THEN 0.2::DOUBLE ELSE 0.0 END)), 6) AS priority FROM k)
+    SELECT page_id, position, kind, priority, 'navigate' AS action, CAST(row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, position) AS INTEGER) AS place FROM p""")
 def u6(spark: SparkSession, d: str) -> DataFrame:
     links = pages.link_rows(table(spark, d, "pages")).select(F.col("source_page_id").alias("page_id"), "position", F.when(U.page_number(F.col("target_url")).isNotNull(), "pagination").otherwise("navigation_link").alias("kind"), F.col("target_url").alias("href"), F.lit("").alias("selector"), F.col("anchor_text").alias("text"))
     return navigation.explore(links).select("page_id", "position", "kind", "priority", "action", "place")
@@ -225,9 +279,9 @@ def q4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q5_key_terms", r"""WITH w AS (SELECT conv_id, turn, regexp_split_to_array(trim(regexp_replace(lower(text), '[^\p{L}\p{N}_\s-]', ' ', 'g')), '\s+') AS ws FROM conversations WHERE role = 'user')
-    SELECT conv_id, turn, CAST(len(list_distinct(list_filter(ws, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains([STOP], w)))) AS INTEGER) AS n_terms FROM w""".replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(questions.STOP_WORDS))))
+    SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: length(w) > 2 AND NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains([STOP], w)))), ' ') AS terms FROM w""".replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(questions.STOP_WORDS))))
 def q5(spark: SparkSession, d: str) -> DataFrame:
-    return _asked(spark, d).select("conv_id", "turn", F.size(questions.key_terms(F.col("query"))).alias("n_terms"))
+    return _asked(spark, d).select("conv_id", "turn", F.array_join(F.array_sort(questions.key_terms(F.col("query"))), " ").alias("terms"))
 
 
 @query("q7_constraints", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\b(recent|latest|new|current)\b') THEN 'recent' WHEN regexp_matches(lower(text), '\b(old|previous|past|earlier|before)\b') THEN 'past'
@@ -261,19 +315,44 @@ def e10(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.posexplode(pages.parse_page("html", "url")["images"]).alias("position", "i")).select("page_id", "position", "i.*")
 
 
-@query("u5_pagination_links")
+_NUMBERED = [(p, p.replace(r"(\d+)", "")) for p in U.PAGE_NUMBERS]
+_NEXT = "CASE " + " ".join(f"WHEN regexp_matches(url, '{p}') THEN regexp_replace(url, '({h}){chr(92)}d+', {chr(39)}{chr(92)}1{chr(39)} || CAST(CAST(regexp_extract(url, '{p}', 1) AS INTEGER) + i AS VARCHAR), 'g')" for p, h in _NUMBERED) + " END"
+
+
+@query("u5_pagination_urls", "SELECT page_id, CAST(i - 1 AS INTEGER) AS position, " + _NEXT + " AS next_url FROM pages, (SELECT unnest([1, 2, 3]) AS i) WHERE regexp_matches(url, '" + "|".join(p for p, _ in _NUMBERED) + "')")
 def u5(spark: SparkSession, d: str) -> DataFrame:
-    rows = pages.link_rows(table(spark, d, "pages"))
-    number = U.page_number(F.col("target_url"))
-    nearby = F.lower("anchor_text").isin("next", "previous", "prev", "older", "newer") | F.col("rel").rlike(r"\b(next|prev)\b")
-    return rows.where(number.isNotNull() | nearby).select("source_page_id", "position", "target_url", number.alias("page_number"))
+    rows = table(spark, d, "pages").where(U.page_number(F.col("url")).isNotNull())
+    return rows.select("page_id", F.posexplode(U.pagination_urls(F.col("url"), 3)).alias("position", "next_url"))
+
+
+@query("u5_navigation_patterns", "SELECT page_id, " + ", ".join(f"regexp_matches(html, '{p}') AS {n}" for n, p in pages.NAVIGATION.items()) + " FROM pages")
+def u5b(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", *[c.alias(n) for n, c in pages.navigation_patterns(F.col("html")).items()])
 
 
-@query("s3_crawl")
+@query("s8_visible_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>|<head\b.*?</head>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def s8(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", pages.visible_text(F.col("html")).alias("text"))
+
+
+@query("s3_crawl", _NORM + """, h AS (SELECT domain, min(norm_url) AS norm_url FROM n GROUP BY domain) SELECT norm_url, 0 AS depth, 0 AS priority FROM h WHERE """ + f"NOT ({_BAD.replace('url,', 'norm_url,')})")
 def s3(spark: SparkSession, d: str) -> DataFrame:
+    """From the first page of every domain; the links of these pages lead to no known page, so that the crawl visits the seeds."""
+    rows = table(spark, d, "pages")
+    known = rows.select("page_id", U.normalize_url(F.col("url")).alias("norm_url"), U.domain(F.col("url")).alias("domain"))
+    seeds = known.groupBy("domain").agg(F.min("norm_url").alias("norm_url")).select("norm_url")
+    return crawl.crawl(known, pages.link_rows(rows).select("source_page_id", "target_url"), seeds, max_pages=None, max_depth=0).select("norm_url", "depth", "priority")
+
+
+@query("s3_crawl_links", _LINKS + _NORM.replace("WITH p AS", ", p AS", 1) + f""", h AS (SELECT domain, min(norm_url) AS norm_url FROM n GROUP BY domain), o AS (SELECT norm_url FROM h WHERE NOT ({_BAD.replace('url,', 'norm_url,')})),
+    x AS (SELECT DISTINCT target AS norm_url FROM o JOIN n USING (norm_url) JOIN l USING (page_id) WHERE target NOT IN (SELECT norm_url FROM o) AND NOT ({_BAD.replace('url,', 'target,')}))
+    SELECT norm_url, 0 AS depth FROM o UNION ALL SELECT norm_url, 1 FROM x""")
+def s3b(spark: SparkSession, d: str) -> DataFrame:
+    """The same, one level further."""
     rows = table(spark, d, "pages")
-    known = rows.select("page_id", U.normalize_url(F.col("url")).alias("norm_url"))
-    return crawl.crawl(known, pages.link_rows(rows).select("source_page_id", "target_url"), known.where("page_id % 50 = 0").select("norm_url"))
+    known = rows.select("page_id", U.normalize_url(F.col("url")).alias("norm_url"), U.domain(F.col("url")).alias("domain"))
+    seeds = known.groupBy("domain").agg(F.min("norm_url").alias("norm_url")).select("norm_url")
+    return crawl.crawl(known, pages.link_rows(rows).select("source_page_id", "target_url"), seeds, max_pages=None, max_depth=1).select("norm_url", "depth")
 
 
 @query("f9_robots_filter")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import questions as Q
 from ..operators import search as S
 from ..operators import vectors as V
 from ..sources.tables import table
@@ -40,10 +41,10 @@ def v1(spark: SparkSession, d: str) -> DataFrame:
     return V.top_k(queries, all_, 10)
 
 
-@query("v2_euclidean_top_k", _VEC.replace("round(list_dot_product(q.e, n.e) / (q.m * n.m), 6)", "round(1 / (1 + sqrt(greatest(0, 2 - 2 * list_dot_product(q.e, n.e) / (q.m * n.m)))), 4)") + "SELECT query_id, count(*) AS hits, max(rank) AS last FROM (" + _TOP.format(where="query_id <> vec_id") + ") GROUP BY query_id")
+@query("v2_euclidean_top_k", _VEC.replace("round(list_dot_product(q.e, n.e) / (q.m * n.m), 6)", "round(1 / (1 + sqrt(greatest(0, 2 - 2 * list_dot_product(q.e, n.e) / (q.m * n.m)))), 6)") + _TOP.format(where="query_id <> vec_id"))
 def v2(spark: SparkSession, d: str) -> DataFrame:
     all_, queries = _vectors(spark, d)
-    return V.top_k(queries, all_, 10, "euclidean", exclude_self=True).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("rank").alias("last"))
+    return V.top_k(queries, all_, 10, "euclidean", exclude_self=True)
 
 
 @query("v3_filtered_top_k", _VEC + _TOP.format(where="vl IN (0, 1, 2) AND vec_id % 7 <> 0"))
@@ -65,9 +66,18 @@ def v8(spark: SparkSession, d: str) -> DataFrame:
     return V.probe(queries, listed, centers, probes=80)  # 10 find 0.5 to 0.6 of the exact top 10
 
 
-@query("v12_embed_texts")
+def _embedding(table_: str, key: str, name: str) -> str:
+    """Two CTEs, `name`c and `name`: the hash embeddings e (not scaled) of a table's texts by key as id, and their lengths m."""
+    place, sign = "CAST('0x' || substr(h, 1, 2) AS INTEGER) % 64", "CASE WHEN substr(h, 3, 1) < '8' THEN 1 ELSE -1 END"
+    sums = ", ".join(f"coalesce(sum(s) FILTER (p = {i}), 0)" for i in range(64))
+    return f"""{name}c AS (SELECT id, [{sums}] AS c FROM (SELECT id, {place} AS p, {sign} AS s FROM (SELECT {key} AS id, md5(unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS h FROM {table_})) GROUP BY id),
+    {name} AS (SELECT id, e, greatest(sqrt(list_dot_product(e, e)), 1e-10) AS m FROM (SELECT t.{key} AS id, list_transform(coalesce(c, list_transform(range(64), lambda x: 0)), lambda x: CAST(x AS DOUBLE)) AS e FROM {table_} t LEFT JOIN {name}c ON id = t.{key}))"""
+
+
+@query("v12_embed_texts", "WITH " + _embedding("documents", "doc_id", "de") + " SELECT id AS doc_id, i - 1 AS place, round(e[i] / m, 6) AS value FROM (SELECT id, e, m, unnest(range(1, 65)) AS i FROM de) WHERE e[i] <> 0")
 def v12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", V.hash_embedding("text").alias("embedding"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(V.hash_embedding("text")).alias("place", "value"))
+    return rows.where("value <> 0").select("doc_id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 @query("v11_lru_trace", "SELECT user_id, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, user_id LIMIT 50")
@@ -113,18 +123,21 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """Two rankings of the same documents: by BM25, and by the number of distinct query terms they hold."""
-    keyword = S.bm25(_questions(spark, d), table(spark, d, "documents"))
-    terms = _questions(spark, d).select("query_id", F.explode(F.array_distinct(S.tokens(F.col("query")))).alias("term"))
-    words = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(S.tokens(F.col("text")))).alias("term"))
-    hits = words.join(terms, "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return {"vector": hits.withColumn("rank", rank).where("rank <= 10").select("query_id", "id", "score", "rank"), "keyword": keyword}
-
-
-_LEGS = _BM25 + """, k AS (""" + _RANKED + r"""),
-    h AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS score FROM p JOIN t USING (term) GROUP BY 1, 2),
-    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM h) WHERE rank <= 10),
+    """Two rankings of the same documents: by the similarity of embeddings, and by BM25."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return {"vector": V.search_text(_questions(spark, d), docs, V.hash_embedding), "keyword": S.bm25(_questions(spark, d), docs)}
+
+
+_NEAR = """(SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
+    FROM (SELECT q.id AS query_id, x.id, round(list_dot_product(q.e, x.e) / (q.m * x.m), 6) AS score FROM {queries} q, de x))"""
+
+
+@query("v4_search_text", "WITH " + _embedding("documents", "doc_id", "de") + ", " + _embedding("benchmark", "item_id", "qe") + " SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM " + _NEAR.format(queries="qe") + " WHERE rank <= 5 AND score >= 0.2")
+def v4(spark: SparkSession, d: str) -> DataFrame:
+    return V.search_text(_questions(spark, d), table(spark, d, "documents"), V.hash_embedding, 5, 0.2)
+
+
+_LEGS = _BM25 + ", " + _embedding("documents", "doc_id", "de") + ", " + _embedding("benchmark", "item_id", "qe") + ", k AS (" + _RANKED + "), v AS (SELECT * FROM " + _NEAR.format(queries="qe") + """ WHERE rank <= 10),
     u AS (SELECT query_id, id, score, rank, 0 AS source, 0.6 / 0.9 AS weight FROM v UNION ALL SELECT query_id, id, score, rank, 1, 0.3 / 0.9 FROM k) """
 _FINAL = "SELECT query_id, id, final_score, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, first, id) AS final_rank FROM ({}) "
 _RRF = "SELECT query_id, id, round(sum(weight / (60 + rank)), 9) AS final_score, min({'source': source, 'rank': rank}) AS first FROM u GROUP BY 1, 2"
@@ -175,7 +188,7 @@ def r8(spark: SparkSession, d: str) -> DataFrame:
     return S.confidence(_fused(spark, d), answered=F.lit(True))
 
 
-@query("r9_context_text")
+@query("r9_context_text", _DIVERSE + "SELECT query_id, string_agg('[' || coalesce(page_id, '') || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY final_rank) AS context FROM (SELECT fd.*, text FROM fd JOIN documents ON id = doc_id) WHERE final_rank <= 5 GROUP BY query_id")
 def r9(spark: SparkSession, d: str) -> DataFrame:
     return S.context_text(_fused(spark, d), "page_id", "text")
 
@@ -186,7 +199,7 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return V.deduplicate(all_.select("vec_id", "vector"), 0.9)
 
 
-@query("a11_index_stats", "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dimensions, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes FROM embeddings")
+@query("a11_index_stats", "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dimensions, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes, round(count(*) * 100.0 / 50000, 2) AS usage FROM embeddings")
 def a11(spark: SparkSession, d: str) -> DataFrame:
     return V.index_stats(_vectors(spark, d)[0])
 
@@ -202,3 +215,58 @@ def d2(spark: SparkSession, d: str) -> DataFrame:
     legs = _legs(spark, d)
     both = legs["vector"].withColumn("variant", F.lit(0)).unionByName(legs["keyword"].withColumn("variant", F.lit(1)))
     return S.first_variant(both).select("query_id", "id", "variant")
+
+
+@query("v11_evicted", "SELECT user_id, last_access FROM (SELECT user_id, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, user_id LIMIT 50) ORDER BY last_access, user_id LIMIT 20")
+def v11b(spark: SparkSession, d: str) -> DataFrame:
+    return V.evicted(table(spark, d, "events"), "user_id", "event_id", 50, 20)
+
+
+@query("v13_similarity_matrix", """WITH c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY label, i), v AS (SELECT label, list(m ORDER BY i) AS e FROM c GROUP BY label)
+    SELECT a, b, score, score >= 0.7 AS similar FROM (SELECT CAST(p.label AS BIGINT) AS a, CAST(q.label AS BIGINT) AS b, round(list_dot_product(p.e, q.e) / (sqrt(list_dot_product(p.e, p.e)) * sqrt(list_dot_product(q.e, q.e))), 6) AS score FROM v p, v q)""")
+def v13(spark: SparkSession, d: str) -> DataFrame:
+    """The mean vectors of the labels against each other."""
+    means = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = means.groupBy(F.col("label").cast("long").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
+    return V.similarity_matrix(means)
+
+
+@query("f10_search_filter", _VEC + _TOP.format(where="vl = 3 AND vec_id % 11 <> 0").replace("rank <= 10", "rank <= 10 AND score >= 0.1"))
+def f10(spark: SparkSession, d: str) -> DataFrame:
+    all_, queries = _vectors(spark, d)
+    allowed = V.select_vectors(all_.withColumn("page_id", F.col("label")), page_ids=[3], exclude=all_.where("vec_id % 11 = 0").select("vec_id"))
+    return V.top_k(queries, allowed, 10, min_score=0.1)
+
+
+@query("s15_newest_vectors", "SELECT vec_id FROM embeddings ORDER BY vec_id DESC LIMIT 50000")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    return V.newest(_vectors(spark, d)[0].select("vec_id"))
+
+
+_R7 = """WITH t AS (SELECT DISTINCT key AS query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]+')) AS term FROM kv),
+""" + _BM25[_BM25.index("    dt AS"):]
+
+
+@query("r7_retrieve", "WITH sv AS (SELECT item_id AS query_id, variant, item_id || ':' || variant AS key, CASE variant WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 100) ELSE substr(text, 40, 100) END AS text FROM benchmark, (SELECT unnest([0, 1, 2]) AS variant)), "
+    "kv AS (SELECT item_id AS query_id, variant, item_id || ':' || variant AS key, CASE variant WHEN 0 THEN text ELSE substr(text, 1, 60) END AS query FROM benchmark, (SELECT unnest([0, 1]) AS variant)), "
+    + _R7[5:] + ", " + _embedding("documents", "doc_id", "de") + ", " + _embedding("sv", "key", "qe") + ", ks AS (" + _RANKED + "), vs AS (SELECT * FROM " + _NEAR.format(queries="qe") + """ WHERE rank <= 10 AND score >= 0.3),
+    k1 AS (SELECT kv.query_id, kv.variant, ks.id, ks.score, ks.rank FROM ks JOIN kv ON kv.key = ks.query_id), v1 AS (SELECT sv.query_id, sv.variant, vs.id, vs.score, vs.rank FROM vs JOIN sv ON sv.key = vs.query_id),
+    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY variant, rank) AS b FROM k1) WHERE b = 1),
+    v AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY variant, rank) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY variant, rank) AS b FROM v1) WHERE b = 1),
+    u AS (SELECT query_id, id, score, place AS rank, 0 AS source, 0.6 / 0.9 AS weight FROM v UNION ALL SELECT query_id, id, score, place, 1, 0.3 / 0.9 FROM k), fr AS (""" + _FINAL.format(_RRF) + """), fd AS (SELECT fr.*, source AS page_id FROM fr JOIN documents ON id = doc_id),
+    a AS (SELECT *, round(final_score * (1 - 0.3 * (row_number() OVER (PARTITION BY query_id, page_id ORDER BY final_rank) - 1)), 9) AS adjusted FROM fd)
+    SELECT query_id, id, final_score, adjusted, CAST(diverse_rank AS INTEGER) AS diverse_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, final_rank) AS diverse_rank FROM a) WHERE diverse_rank <= 10 AND adjusted >= 0""")
+def r7(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid retrieval for every benchmark text, with cuts of it as variants."""
+    text = F.col("text")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(text, F.substring(text, 1, 100), F.substring(text, 40, 100)).alias("semantic"), F.array(text, F.substring(text, 1, 60)).alias("keywords"))
+    return S.retrieve(asked, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding)
+
+
+@query("r7_ask")
+def r7_ask(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way from a question: parse, expand, search both ways, fuse, thin."""
+    asked = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
+    wide = Q.expand(Q.parse(asked))
+    variants = wide.select("query_id", Q.all_queries(F.col("query"), F.col("search_queries"), F.col("reformulations")).alias("semantic"), F.col("keyword_queries").alias("keywords"))
+    return S.retrieve(variants, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding)

@@ -1,20 +1,24 @@
 """Keyed state machines of a crawl: adaptive rate limits, token buckets, queue life cycles, page states.
 
-One pure step function serves the batch replay (grouped map, ordered by time) and the stream
-(applyInPandasWithState); both give the same rows. Keys are domains or URLs; a group is its own event log, so it
-arrives in order in batches and only the small state is held.
+One pure step function serves the batch replay and the stream (applyInPandasWithState); both give the same rows. In a
+batch the rows are dealt by key and sorted by key and time; a task reads them in order, batch by batch, and holds one small
+state, so a key with a third of all rows takes one task long but no memory. In a stream, rows of one trigger are
+taken in order of (ts, seq); a row that comes in a later trigger is taken then, whatever its time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+T = TypeVar("T")
+
 
 # The default limits.
 @dataclass
@@ -62,21 +66,43 @@ OUT = "domain string, seq long, ts double, ok boolean, wait double, delay double
 STATE = "delay double, streak int, last double, until double, requests long, errors long"
 
 
-def _advance(domain: str, rows: pd.DataFrame, state: DomainState, limits: Limits) -> pd.DataFrame:
-    out = []
-    for seq, ts, ok, retry in zip(rows["seq"], rows["ts"], rows["ok"], rows["retry_after"]):
-        wait = step(state, float(ts), bool(ok), retry, limits)
-        out.append((domain, int(seq), float(ts), bool(ok), round(wait, 6), round(state.delay, 6), state.streak))
-    return pd.DataFrame(out, columns=["domain", "seq", "ts", "ok", "wait", "delay", "streak"])
+def fold(rows: DataFrame, key: str, order: list[str], schema: str, fresh: Callable[[], T], advance: Callable[[T, tuple], tuple]) -> DataFrame:
+    """One row out for each row in: advance(state, row) with the key's own state, rows in order; the key comes first."""
+    columns = rows.columns
+    place = columns.index(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, now = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                if state is None or row[place] != now:
+                    state, now = fresh(), row[place]
+                out.append((now, *advance(state, row)))
+            yield pd.DataFrame(out, columns=names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _log(log: DataFrame) -> DataFrame:
+    return log.select(F.coalesce("domain", F.lit("")).alias("domain"), F.col("seq").cast("long").alias("seq"), F.col("ts").cast("double").alias("ts"), "ok", F.col("retry_after").cast("double").alias("retry_after"))
+
+
+def _fetched(state: DomainState, seq: int, ts: float, ok: bool, retry: float | None, limits: Limits) -> tuple:
+    wait = step(state, float(ts), bool(ok), retry, limits)
+    return int(seq), float(ts), bool(ok), round(wait, 6), round(state.delay, 6), state.streak
 
 
 def replay(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Waits and delays of a fetch log (domain, seq, ts, ok, retry_after), each domain in order of (ts, seq)."""
+    """Waits and delays of a fetch log (domain, seq, ts, ok, retry_after), each domain in order of (ts, seq); no domain is ""."""
+    return fold(_log(log), "domain", ["ts", "seq"], OUT, lambda: DomainState(delay=limits.base), lambda state, row: _fetched(state, *row[1:], limits))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return _advance(key[0], rows.sort_values(["ts", "seq"]), DomainState(delay=limits.base), limits)
 
-    return log.groupBy("domain").applyInPandas(run, OUT)
+def acquire_waits(log: DataFrame, delay: float = 1.0) -> DataFrame:
+    """(domain, seq, wait) with a fixed delay and no back-off: how long each request waits for the one before it."""
+    still = Limits(base=delay, least=delay, most=delay, factor=1.0, recovery=1.0)
+    return replay(log.withColumn("retry_after", F.lit(None).cast("double")), still).select("domain", "seq", "wait")
 
 
 def replay_stream(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -84,8 +110,9 @@ def replay_stream(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         state = DomainState(*held.get) if held.exists else DomainState(delay=limits.base)
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])
-        yield _advance(key[0], rows, state, limits)
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"])  # what one trigger brings of a key
+        out = [(key[0], *_fetched(state, *row, limits)) for row in rows[["seq", "ts", "ok", "retry_after"]].itertuples(index=False, name=None)]
+        yield pd.DataFrame(out, columns=["domain", "seq", "ts", "ok", "wait", "delay", "streak"])
         held.update(tuple(asdict(state).values()))
 
     return log.groupBy("domain").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
@@ -94,19 +121,15 @@ def replay_stream(log: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def token_bucket(log: DataFrame, rate: float = 1.0, burst: float = 5.0) -> DataFrame:
     """(domain, seq, wait, tokens): a bucket refills by rate up to burst; a request without a token waits for one."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        tokens, last, out = burst, None, []
-        for seq, ts in rows.sort_values(["ts", "seq"])[["seq", "ts"]].itertuples(index=False):
-            now = float(ts) if last is None else max(float(ts), last)
-            if last is not None:
-                tokens = min(burst, tokens + (now - last) * rate)
-            wait = 0.0 if tokens >= 1 else (1 - tokens) / rate
-            tokens = tokens - 1 if tokens >= 1 else 0.0
-            last = now + wait
-            out.append((key[0], int(seq), round(wait, 6), round(tokens, 6)))
-        return pd.DataFrame(out, columns=["domain", "seq", "wait", "tokens"])
+    def advance(state: list, row: tuple) -> tuple:
+        tokens, last = state
+        now = row[2] if last is None else max(row[2], last)
+        tokens = tokens if last is None else min(burst, tokens + (now - last) * rate)
+        wait, tokens = (0.0, tokens - 1) if tokens >= 1 else ((1 - tokens) / rate, 0.0)
+        state[:] = tokens, now + wait
+        return int(row[1]), round(wait, 6), round(tokens, 6)
 
-    return log.groupBy("domain").applyInPandas(run, "domain string, seq long, wait double, tokens double")
+    return fold(_log(log), "domain", ["ts", "seq"], "domain string, seq long, wait double, tokens double", lambda: [burst, None], advance)
 
 
 def queue_states(events: DataFrame, most_retries: int = 3) -> DataFrame:
@@ -144,17 +167,17 @@ def page_states(states: DataFrame, least: float = 0.9, keep: int = 5) -> DataFra
     """(url, seq, is_new): a state is new unless one of the last `keep` new states of its url has its hash, or element count
     and text length that are similar on average."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        near = lambda a, b: 1.0 if a == b else min(a, b) / max(a, b, 1)
-        for r in rows.sort_values("seq").itertuples(index=False):
-            known = any(r.hash == h or (near(r.elements, e) + near(r.length, n)) / 2 >= least for h, e, n in kept)
-            if not known:
-                kept = [*kept, (r.hash, r.elements, r.length)][-keep:]
-            out.append((key[0], int(r.seq), not known))
-        return pd.DataFrame(out, columns=["url", "seq", "is_new"])
-
-    return states.groupBy("url").applyInPandas(run, "url string, seq long, is_new boolean")
+    near = lambda a, b: 1.0 if a == b else min(a, b) / max(a, b, 1)
+
+    def advance(kept: list, row: tuple) -> tuple:
+        _, seq, hash_, elements, length = row
+        known = any(hash_ == h or (near(elements, e) + near(length, n)) / 2 >= least for h, e, n in kept)
+        if not known:
+            kept[:] = [*kept, (hash_, elements, length)][-keep:]
+        return int(seq), not known
+
+    rows = states.select(F.coalesce("url", F.lit("")).alias("url"), "seq", "hash", "elements", "length")
+    return fold(rows, "url", ["seq"], "url string, seq long, is_new boolean", list, advance)
 
 
 def retry_delay(status: str = "status_code", kind: str = "error_kind"):
