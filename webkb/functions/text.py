@@ -113,7 +113,7 @@ def facts(text: Column) -> Column:
 def entities(text: Column) -> Column:
     """Lines of the form `TYPE: name` as (type, name)."""
     kinds = F.create_map(*[F.lit(x) for pair in ENTITY_TYPES.items() for x in pair])
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda t: t.rlike(r"^(\w+):\s*(.+)$"))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda t: t.rlike(r"^(\w+):\s*(.+)$"))
     each = F.transform(lines, lambda t: F.struct(F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(t, r"^(\w+):", 1))), F.lit("other")).alias("type"), F.trim(F.regexp_extract(t, r"^\w+:\s*(.+)$", 1)).alias("name")))
     return F.filter(each, lambda e: F.length(e["name"]) > 1)
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_uncertain
+from ..functions.text import cited, is_uncertain
+from .prompts import render
 
 Model = Callable[[str, str], str]
 SYSTEM = "Answer from the given context only."
@@ -26,7 +27,7 @@ def ask(model: Model, system: str = SYSTEM):
 
 
 def prompt(question: Column, context: Column) -> Column:
-    return F.concat(F.lit("Context:\n"), context, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer:"))
+    return render("answer_question", context=context, question=question)
 
 
 def direct(rows: DataFrame, model: Model) -> DataFrame:
@@ -50,3 +51,21 @@ def map_reduce(rows: DataFrame, model: Model, most: int = 5) -> DataFrame:
     parts = parts.withColumn("part", ask(model)(prompt(F.col("question"), F.col("context")))).where(~is_uncertain(F.col("part")))
     joined = parts.groupBy("query_id", "question").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "part"))), lambda x: x["part"]), "\n\n").alias("context"))
     return joined.select("query_id", ask(model)(prompt(F.col("question"), F.col("context"))).alias("answer"))
+
+
+def with_sources(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (query_id, question, sources: array of (title, text)) with answer and cited, the numbers of the sources it names."""
+    numbered = F.array_join(F.transform("sources", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["title"], F.lit("\n"), x["text"])), "\n\n")
+    out = rows.withColumn("answer", ask(model)(render("answer_with_sources", sources=numbered, question=F.col("question"))))
+    found = F.transform("sources", lambda x, i: F.when(cited(F.col("answer"), i + 1, x["title"]), i + 1))
+    return out.withColumn("cited", F.array_compact(found))
+
+
+def follow_up(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (query_id, question, history, context) with answer: the last turns of the session stand before the context."""
+    return rows.withColumn("answer", ask(model)(render("conversational_follow_up", history=F.col("history"), context=F.col("context"), question=F.col("question"))))
+
+
+def compare(rows: DataFrame, model: Model) -> DataFrame:
+    """rows (query_id, question, first, second, context) with answer."""
+    return rows.withColumn("answer", ask(model)(render("compare_pages", first=F.col("first"), second=F.col("second"), context=F.col("context"), question=F.col("question"))))

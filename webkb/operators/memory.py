@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def transcript(entries: DataFrame, session: str = "session", order: str = "posit
     return rows.select(session, F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("transcript"))
 
 
+def messages(entries: DataFrame, roles: list[str] | None = None) -> DataFrame:
+    """Entries of some roles, or all."""
+    return entries if roles is None else entries.where(F.col("role").isin(roles))
+
+
+def set_summary(sessions: DataFrame, summaries: DataFrame, session: str = "session") -> DataFrame:
+    """sessions with the new summaries (session, summary); others keep theirs."""
+    new = summaries.select(session, F.col("summary").alias("_new"))
+    return sessions.join(new, session, "left").withColumn("summary", F.coalesce("_new", "summary")).drop("_new")
+
+
+def summarize_if_needed(entries: DataFrame, summarizer: Callable[[str], str], least: int = 2000, session: str = "session") -> DataFrame:
+    """(session, summary) of the sessions with `least` tokens or more: an injected summarizer reads their transcript."""
+    wanted = needs_summary(session_stats(entries, session), least).select(session)
+    call = F.pandas_udf(lambda texts: texts.map(summarizer), "string")
+    return transcript(entries.join(wanted, session, "left_semi"), session).select(session, call("transcript").alias("summary"))
+
+
 def needs_summary(stats: DataFrame, least: int = 2000) -> DataFrame:
     return stats.where(F.col("total_tokens") >= least)
 

@@ -154,3 +154,31 @@ def next_frontier(found: DataFrame, seen: DataFrame, allowed: Callable[[Column],
     rows = rows.join(seen.select("norm_url"), "norm_url", "left_anti")
     rows = rows.select("norm_url", F.lit(depth).alias("depth"), "b.priority", "b.discovered", "b.parent")
     return rows if budget is None else rows.orderBy("priority", "discovered", "norm_url").limit(budget)
+
+
+def parsed_assessment(answer: Column) -> Column:
+    """(relevance, found) a model's lines name: the last line that settles the relevance counts, found are the parts of the
+    last line numbered 2 or with `found:`, unless it says there are none."""
+    lines = F.transform(F.split(F.trim(answer), "\n"), lambda x: F.trim(x))
+
+    def level(line: Column) -> Column:
+        low = F.lower(line)
+        relevant = low.contains("relevant")
+        return F.when(low.contains("yes") & relevant, "yes").when(low.contains("partially"), "partially").when(low.contains("no") & (relevant | low.startswith("1")), "no")
+
+    levels = F.array_compact(F.transform(lines, level))
+    named = F.filter(lines, lambda x: x.startswith("2.") | F.lower(x).contains("found:"))
+    parts = F.transform(named, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
+    said = F.filter(parts, lambda x: ~F.lower(x).isin("none", "n/a", ""))
+    found = F.filter(F.transform(F.split(F.try_element_at(said, F.lit(-1)), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.struct(F.coalesce(F.try_element_at(levels, F.lit(-1)), F.lit("no")).alias("relevance"), F.coalesce(found, F.array().cast("array<string>")).alias("found"))
+
+
+def parsed_priorities(answer: Column, most: Column) -> Column:
+    """(number, score, reason) of every `number: score - reason` in a model's answer, scores from 0 to 1, best first; numbers
+    beyond the links there are don't count."""
+    pattern = r"(\d+)[:.]?\s*(\d+(?:\.\d+)?)\s*[-–]?\s*([^\n]+)?"
+    group = lambda i: F.regexp_extract_all(answer, F.lit(pattern), F.lit(i))
+    rows = F.transform(F.arrays_zip(group(1).alias("n"), group(2).alias("s"), group(3).alias("r")), lambda x, i: F.struct((-x["s"].cast("double")).alias("down"), i.alias("at"), x["n"].cast("int").alias("number"), F.trim(F.coalesce(x["r"], F.lit(""))).alias("reason")))
+    kept = F.filter(F.array_sort(rows), lambda x: x["number"].between(1, most))
+    return F.transform(kept, lambda x: F.struct(x["number"].alias("number"), F.round(-x["down"] / 10, 6).alias("score"), x["reason"].alias("reason")))

@@ -268,11 +268,6 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("query"))
 
 
-@query("q1_parse_questions")
-def q1(spark: SparkSession, d: str) -> DataFrame:
-    return questions.parse(_asked(spark, d)).drop("query")
-
-
 @query("q4_intent", "SELECT conv_id, turn, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f" THEN '{name}'" for name, words in questions.INTENTS) + " ELSE 'information_seeking' END AS intent FROM conversations WHERE role = 'user'")
 def q4(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", questions.intent(F.col("query")).alias("intent"))
@@ -293,12 +288,6 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("conv_id", "turn", questions.time_constraint(q).alias("time_constraint"), questions.limit_constraint(q).alias("limit_constraint"), questions.scope_constraint(q).alias("scope"))
 
 
-@query("q9_expand_queries")
-def q9(spark: SparkSession, d: str) -> DataFrame:
-    rows = questions.expand(questions.parse(_asked(spark, d)))
-    return rows.select("conv_id", "turn", "search_queries", "reformulations", questions.all_queries(F.col("normalized_query"), F.col("search_queries"), F.col("reformulations")).alias("variants"))
-
-
 @query("q2_normalize_question", r"""SELECT conv_id, turn, CASE WHEN NOT ends_with(t, '?') AND regexp_matches(lower(t), '^(what|where|when|why|how|who|which|is|are|was|were|do|does|did|can|could|will|would|should|has|have) ') THEN t || '?' ELSE t END AS normalized
     FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user')""")
 def q2(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import content, graphs, relational, retrieval, streams
+from . import asking, content, graphs, relational, retrieval, streams
 
 QUERIES, ORACLE_SQL = {}, {}
-for area in (content, relational, retrieval, graphs, streams):
+for area in (asking, content, relational, retrieval, graphs, streams):
     QUERIES |= area.QUERIES
     ORACLE_SQL |= area.ORACLE_SQL
 

@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import memory
 from ..operators import relational as R
+from ..operators.pages import fast_title
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -47,7 +48,7 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f3_update_status", _PAGES + "SELECT page_id, CASE WHEN status = 'pending' AND depth <= 2 THEN 'crawled' ELSE status END AS status FROM pg")
 def f3(spark: SparkSession, d: str) -> DataFrame:
-    return _pages(spark, d).select("page_id", F.when((F.col("status") == "pending") & (F.col("depth") <= 2), "crawled").otherwise(F.col("status")).alias("status"))
+    return R.update_status(_pages(spark, d), (F.col("status") == "pending") & (F.col("depth") <= 2), "crawled").select("page_id", "status")
 
 
 @query("f4_active_crawls", _PAGES + "SELECT domain, max(page_id) AS started FROM pg WHERE status IN ('crawled', 'pending') GROUP BY domain ORDER BY started DESC")
@@ -55,10 +56,10 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).where(F.col("status").isin("crawled", "pending")).groupBy("domain").agg(F.max("page_id").alias("started")).orderBy(F.desc("started"))
 
 
-@query("f5_like_search", "SELECT p_partkey, p_name, p_size FROM part WHERE lower(p_name) LIKE '%1%' ORDER BY p_size DESC, p_partkey LIMIT 20")
+@query("f5_like_search", "SELECT p_partkey, p_name, p_size FROM part WHERE lower(p_name) LIKE '%ing%' ORDER BY p_size DESC, p_partkey LIMIT 20")
 def f5(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", "p_name", "p_size", F.lower("p_name").alias("n"))
-    return R.like_search(rows, "n", " 1 ", [F.desc("p_size"), F.col("p_partkey")], 20).drop("n")
+    return R.like_search(rows, "n", " ING ", [F.desc("p_size"), F.col("p_partkey")], 20).drop("n")
 
 
 @query("t1_pages_by_crawl", _PAGES + "SELECT * FROM (SELECT domain, page_id, row_number() OVER (PARTITION BY domain ORDER BY page_id) AS place FROM pg) WHERE place > 2 AND place <= 7")
@@ -122,11 +123,22 @@ def a9(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.countDistinct("session").alias("sessions"), F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("long").alias("total_tokens"))
 
 
-@query("a12_entity_mentions", r"""SELECT name_key, first_spelling, mentions FROM (SELECT lower(w) AS name_key, arg_min(w, doc_id) AS first_spelling, count(*) AS mentions
-    FROM (SELECT doc_id, split_part(text, ' ', 1) AS w FROM documents) GROUP BY 1)""")
+@query("a5_search_entities", _ENT + """SELECT normalized_name, arg_min(name, id) AS name, arg_min(entity_type, id) AS entity_type, min(id) AS id, array_to_string(list_sort(list(DISTINCT page_id)), ',') AS page_ids, CAST(sum(mentions) AS BIGINT) AS mentions
+    FROM ent WHERE lower(name) LIKE '%#1%' GROUP BY 1 ORDER BY mentions DESC, normalized_name LIMIT 20""")
+def a5(spark: SparkSession, d: str) -> DataFrame:
+    return R.search_entities(_entities(spark, d), " Brand#1 ".replace("Brand", ""))
+
+
+_LINES = r"""WITH x AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[\p{L}]{6,}')) AS name FROM conversations) """
+
+
+@query("a12_entity_mentions", _LINES + "SELECT lower(name) AS name_key, 'word' AS type, arg_min(name, {'c': conv_id, 't': turn, 'n': name}) AS name, count(*) AS mentions FROM x GROUP BY 1")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("w"))
-    return rows.groupBy(F.lower("w").alias("name_key")).agg(F.min_by("w", "doc_id").alias("first_spelling"), F.count(F.lit(1)).alias("mentions"))
+    """Entity lines as a model writes them, here of every long word of every turn, read by the parser of model output."""
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}]{6,}"), F.lit(0))
+    lines = table(spark, d, "conversations").select("conv_id", "turn", F.explode(X.entities(F.array_join(F.transform(words, lambda w: F.concat(F.lit("word: "), w)), "\n"))).alias("e"))
+    rows = lines.select(F.struct("conv_id", "turn", F.col("e.name").alias("n")).alias("place"), F.lit("word").alias("type"), F.col("e.name").alias("name"))
+    return R.mentions(rows)
 
 
 @query("a14_metrics", "SELECT event_type, count(value) AS count, round_even(sum(value), 2) AS total, round_even(min(value), 2) AS min, round_even(max(value), 2) AS max, round_even(avg(value), 2) AS avg FROM events GROUP BY event_type")
@@ -139,10 +151,11 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy(F.col("user_id").alias("domain")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("event_type") == "error").alias("errors"))
 
 
-@query("j1_embeddings_of_chunks", "SELECT vec_id, source FROM embeddings JOIN documents ON vec_id = doc_id WHERE doc_id % 3 = 0 ORDER BY vec_id DESC LIMIT 50000")
+@query("j1_embeddings_of_chunks", _PAGES + "SELECT vec_id, source FROM embeddings JOIN documents ON vec_id = doc_id JOIN pg ON page_id = doc_id WHERE status = 'indexed' ORDER BY vec_id DESC")
 def j1(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "documents").select("doc_id", "source").where("doc_id % 3 = 0")
-    return table(spark, d, "embeddings").select("vec_id").join(chunks, F.col("vec_id") == F.col("doc_id")).select("vec_id", "source").orderBy(F.desc("vec_id")).limit(50_000)
+    """The embeddings of the chunks of indexed pages, newest first."""
+    chunks = table(spark, d, "documents").select("doc_id", "source").join(_pages(spark, d).where("status = 'indexed'").select(F.col("page_id").alias("doc_id")), "doc_id")
+    return table(spark, d, "embeddings").select("vec_id").join(chunks, F.col("vec_id") == F.col("doc_id")).select("vec_id", "source").orderBy(F.desc("vec_id"))
 
 
 @query("j3_embeddings_of_domain", _PAGES + """SELECT vec_id, source, url FROM embeddings JOIN documents ON vec_id = doc_id JOIN pg ON doc_id = page_id
@@ -216,10 +229,13 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return memory.fit_history(_entries(spark, d), 200).select("session", "position")
 
 
-@query("w6_fit_contexts")
+@query("w6_fit_contexts", _CONV.replace("WITH e", "WITH RECURSIVE e") + """, o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY position) AS no FROM e),
+    g AS (SELECT DISTINCT session, 0::BIGINT AS no, 0::BIGINT AS used, ''::VARCHAR AS taken FROM o UNION ALL
+      SELECT o.session, o.no, CASE WHEN g.used + o.tokens <= 200 THEN g.used + o.tokens ELSE g.used END, CASE WHEN g.used + o.tokens <= 200 THEN g.taken || ',' || (o.no - 1) ELSE g.taken END FROM g JOIN o ON o.session = g.session AND o.no = g.no + 1)
+    SELECT l.session, CASE WHEN f.tokens > 200 THEN '0' ELSE substr(l.taken, 2) END AS taken FROM (SELECT session, arg_max(taken, no) AS taken FROM g GROUP BY session) l JOIN o f ON f.session = l.session AND f.no = 1""")
 def w6(spark: SparkSession, d: str) -> DataFrame:
     rows = _entries(spark, d).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("position", "tokens"))).alias("items"))
-    return rows.select("session", memory.fit_contexts(F.transform("items", lambda x: x["tokens"]), 200).alias("taken"))
+    return rows.select("session", F.array_join(F.transform(memory.fit_contexts(F.transform("items", lambda x: x["tokens"]), 200), lambda i: i.cast("string")), ",").alias("taken"))
 
 
 @query("b2_session_stats", _CONV + "SELECT session, count(*) AS entries, count(*) FILTER (role = 'user') AS turn_count, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM e GROUP BY session")
@@ -234,8 +250,8 @@ def b1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a13_unique_facts", "SELECT conv_id, lower(text) AS fact, min(turn) AS turn FROM conversations WHERE length(text) > 15 AND length(text) < 500 GROUP BY 1, 2")
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "conversations").where((F.length("text") > 15) & (F.length("text") < 500)).select("conv_id", F.lower("text").alias("fact"), "turn")
-    return R.first_by(rows, ["conv_id", "fact"], "turn")
+    rows = table(spark, d, "conversations").where((F.length("text") > 15) & (F.length("text") < 500)).select("conv_id", F.col("text").alias("fact"), "turn")
+    return R.unique_facts(rows, "conv_id", place="turn").withColumn("fact", F.lower("fact"))
 
 
 @query("f15_new_content", r"""WITH h AS (SELECT doc_id, substr(sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))), 1, 16) AS c FROM documents)
@@ -251,10 +267,10 @@ def j2(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(_pages(spark, d).where(F.col("domain").endswith(".org")), F.col("doc_id") == F.col("page_id")).select("vec_id", "domain")
 
 
-@query("j5_hits_with_pages", "SELECT doc_id, coalesce(url, '') AS url FROM documents LEFT JOIN pages ON doc_id = page_id")
+@query("j5_hits_with_pages", "SELECT doc_id, coalesce(url, '') AS url, coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title FROM documents LEFT JOIN pages ON doc_id = page_id")
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "pages").select("page_id", "url"), F.col("doc_id") == F.col("page_id"), "left")
-    return rows.select("doc_id", F.coalesce("url", F.lit("")).alias("url"))
+    hits = table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("page_id"))
+    return R.with_pages(hits, table(spark, d, "pages").select("page_id", "url", fast_title(F.col("html")).alias("title"))).select("doc_id", "url", "title")
 
 
 @query("s18_stored_pages", "SELECT page_id, substr(html, 1, 50000) AS html FROM pages")
@@ -262,9 +278,9 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.substring("html", 1, 50_000).alias("html"))
 
 
-@query("a16_decision_stats", "SELECT event_type, count(*) AS decisions, round(100.0 * count(*) FILTER (value > 50) / count(*), 6) AS share FROM events GROUP BY event_type")
+@query("a16_decision_stats", "SELECT event_type, count(*) AS decisions, round(100.0 * count(*) FILTER (value > 50) / count(*), 6) AS model_share, round(100.0 * count(*) FILTER (user_id % 2 = 0) / count(*), 6) AS success_rate FROM events GROUP BY event_type")
 def a16(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("decisions"), F.round(100.0 * F.count_if(F.col("value") > 50) / F.count(F.lit(1)), 6).alias("share"))
+    return R.rates(table(spark, d, "events"), "event_type", model_share=F.col("value") > 50, success_rate=F.col("user_id") % 2 == 0)
 
 
 @query("b3_build_context")
@@ -284,10 +300,10 @@ def a19(spark: SparkSession, d: str) -> DataFrame:
     return memory.session_stats(_entries(spark, d)).select("session", "turn_count")
 
 
-@query("d1_ordered_union", "SELECT conv_id, CAST(count(DISTINCT lower(text)) AS INTEGER) AS variants FROM conversations GROUP BY conv_id")
+@query("d1_ordered_union", "SELECT conv_id, string_agg(q, '|' ORDER BY turn) AS variants FROM (SELECT conv_id, lower(text) AS q, min(turn) AS turn FROM conversations GROUP BY 1, 2) GROUP BY conv_id")
 def d1(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.lower("text").alias("q")))).alias("qs"))
-    return rows.select("conv_id", F.size(F.array_distinct(F.transform("qs", lambda x: x["q"]))).alias("variants"))
+    return rows.select("conv_id", F.array_join(F.array_distinct(F.transform("qs", lambda x: x["q"])), "|").alias("variants"))
 
 
 @query("j12_unvisited_links", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -300,3 +316,18 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
 def j13(spark: SparkSession, d: str) -> DataFrame:
     used = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
     return table(spark, d, "part").join(used, "p_partkey", "left_semi").select("p_partkey")
+
+
+@query("a2_chunk_count", "SELECT count(*) AS chunks, count(DISTINCT source) AS pages FROM documents")
+def a2(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("source").alias("pages"))
+
+
+@query("b2_user_queries", "SELECT conv_id AS session, turn AS position, text AS content FROM conversations WHERE role = 'user'")
+def b2b(spark: SparkSession, d: str) -> DataFrame:
+    return memory.messages(_entries(spark, d), ["user"]).select("session", "position", "content")
+
+
+@query("b2_needs_summary", _CONV + "SELECT session, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM e GROUP BY session HAVING sum(tokens) >= 100")
+def b2c(spark: SparkSession, d: str) -> DataFrame:
+    return memory.needs_summary(memory.session_stats(_entries(spark, d)), 100).select("session", "total_tokens")

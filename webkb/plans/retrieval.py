@@ -193,10 +193,19 @@ def r9(spark: SparkSession, d: str) -> DataFrame:
     return S.context_text(_fused(spark, d), "page_id", "text")
 
 
-@query("d5_greedy_dedup")
+@query("d5_greedy_dedup", _VEC.replace("WITH v", "WITH RECURSIVE v").replace(" WHERE q.vec_id % 50 = 0", " WHERE n.vec_id < q.vec_id") + """, p AS (SELECT query_id AS id, list(vec_id) AS near FROM s WHERE score >= 0.4 GROUP BY query_id), o AS (SELECT vec_id AS id, coalesce(near, []) AS near, row_number() OVER (ORDER BY vec_id) AS no FROM embeddings LEFT JOIN p ON id = vec_id),
+    g AS (SELECT 0::BIGINT AS no, []::BIGINT[] AS kept, NULL::BIGINT AS id, NULL::BIGINT AS kept_by UNION ALL
+      SELECT no, CASE WHEN first IS NULL THEN list_append(kept, id) ELSE kept END, id, coalesce(first, id) FROM (SELECT o.no, o.id, g.kept, list_min(list_filter(o.near, lambda x: list_contains(g.kept, x))) AS first FROM g JOIN o ON o.no = g.no + 1))
+    SELECT id AS vec_id, kept_by FROM g WHERE id IS NOT NULL""")
 def d5(spark: SparkSession, d: str) -> DataFrame:
+    """At a threshold that some of these vectors reach."""
     all_, _ = _vectors(spark, d)
-    return V.deduplicate(all_.select("vec_id", "vector"), 0.9)
+    return V.deduplicate(all_.select("vec_id", "vector"), 0.4)
+
+
+@query("j11_similar_pairs", _VEC.replace(" WHERE q.vec_id % 50 = 0", " WHERE q.vec_id < n.vec_id") + "SELECT query_id AS a, vec_id AS b, score FROM s WHERE score >= 0.35")
+def j11(spark: SparkSession, d: str) -> DataFrame:
+    return V.similar_pairs(_vectors(spark, d)[0].select("vec_id", "vector"), 0.35)
 
 
 @query("a11_index_stats", "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INTEGER) AS dimensions, CAST(sum(len(embedding) * 4) AS BIGINT) AS bytes, round(count(*) * 100.0 / 50000, 2) AS usage FROM embeddings")

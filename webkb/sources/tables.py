@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,3 +36,24 @@ def compact(spark: SparkSession, path: str, out: str, files: int) -> None:
 def write_vectors(listed: DataFrame, path: str) -> None:
     """Vectors by cluster, so that a probe reads its lists only."""
     listed.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+
+def save_index(listed: DataFrame, centers, path: str, metric: str = "cosine") -> None:
+    """A vector index as tables: vectors by cluster, centroids, and one row that says what they are."""
+    spark = listed.sparkSession
+    write_vectors(listed, f"{path}/vectors")
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(centers)]
+    spark.createDataFrame(rows, "cluster int, center array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    dims = len(rows[0][1]) if rows else 0
+    spark.createDataFrame([(dims, "ivf" if len(rows) > 1 else "flat", metric, len(rows))], "dimensions int, kind string, metric string, clusters int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_index(spark: SparkSession, path: str):
+    """(vectors with cluster, centroids as a list in order, meta row) of a saved index; the centroids are few, as build_lists() makes them."""
+    centers = [r["center"] for r in spark.read.parquet(f"{path}/centroids").orderBy("cluster").collect()]
+    return spark.read.parquet(f"{path}/vectors"), centers, spark.read.parquet(f"{path}/meta").first()
+
+
+def on_page(pages: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a stream that hands every batch of pages to a callback; stopped and started again, it goes on after the last batch."""
+    return pages.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
