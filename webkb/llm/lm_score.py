@@ -6,9 +6,12 @@ minus that under the background model: the lower, the closer to the target.
 
 score_whole() keeps every word and every word pair of both corpora; nothing is cut and no model is broadcast.
 Documents are gathered in blocks of about BLOCK tokens. A block sends its distinct words and pairs with their
-counts to shards chosen by hash; a shard sums them over all blocks and answers each block for its own keys and with its share of the totals, so
-a word or pair has one row a block however often it occurs, and memory is bounded by a block or a shard while their
-numbers grow with the input. Words are told apart by 128 bits of a digest, pairs by 64 bits and their shard.
+counts to shards chosen by hash, one row for each shard it has something for, so that rows are never more than its keys. A
+shard sums them and answers each block for its own keys. Very frequent words and pairs come from every block; so a
+shard's blocks are first summed in groups of GROUP, which send one row each, and the sums go back the same way. A word
+or pair thus has one row a block however often it occurs, and memory is bounded by a block, a shard or a group while their
+numbers grow with the input. Words are told apart by 128 bits of a digest, pairs by 64 bits and their shard. The
+totals, words of both corpora and distinct words, come from a count of word digests before.
 With all pairs kept, a context that was seen backs off with weight 1 - WEIGHT, any other with 1.
 
 fit() and score() are the small form: models of a stated capacity that fit in memory. They keep the pairs counted
@@ -21,7 +24,7 @@ lower-case and separated by ASCII white space. An empty target or background sti
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,6 +42,7 @@ WEIGHT = 0.7
 ALPHA = 0.1
 BLOCK = 1 << 20  # tokens of a block, or one longer document
 SHARD_CHARS = 1 << 22  # characters of both corpora for each shard
+GROUP = 1 << 12  # blocks that a shard sums at once
 _FLUSH = 1 << 20
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -175,8 +179,9 @@ def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ce_target double, ce_background double, score double").withColumnRenamed("doc_id", id_col)
 
 
-_ROW = "shard int, block long, side int, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary"
-_ANSWER = "shard int, block long, words binary, pairs binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary, total array<bigint>, n_words long"
+_ROW = "shard long, block long, side int, words binary, word_counts binary, pairs binary, pair_counts binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary"
+_ANSWER = "shard long, block long, words binary, pairs binary, ids array<bigint>, lengths binary, tokens binary, pair_shards binary"
+_SUMS = "shard long, group long, words binary, word_sums binary, pairs binary, pair_sums binary"
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _EDGE = b" "  # the boundary; no word has a space
 
@@ -203,6 +208,16 @@ def _token_pairs(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return inside
 
 
+class _Cuts:
+    """Where a shard begins in sorted shard numbers."""
+
+    def __init__(self, ordered: np.ndarray):
+        self.ordered = ordered
+
+    def __getitem__(self, shard: int) -> int:
+        return int(np.searchsorted(self.ordered, shard))
+
+
 def _blocks(texts: DataFrame, shards: int, side: int) -> DataFrame:
     """texts (id, binary text) as rows for the shards; those of the background (side 0) carry their block along."""
     schema = _arrow(_ROW)
@@ -219,10 +234,12 @@ def _blocks(texts: DataFrame, shards: int, side: int) -> DataFrame:
         for keys, spread, counts in ((digests[:, 0], digests[:, 1], word_counts), (a[:, 0] * _MIX[0] + b[:, 0] * _MIX[1], a[:, 1] * _MIX[2] + b[:, 1] * _MIX[3], pair_counts)):
             shard = ((spread >> np.uint64(17)) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            cuts = np.concatenate([[0], np.cumsum(np.bincount(shard, minlength=shards))])
-            sides.append((shard, keys[order].astype("<u8"), counts[order], cuts))
+            sides.append((shard, keys[order].astype("<u8"), counts[order], _Cuts(shard[order])))
         (word_shard, wk, wc, wat), (pair_shard, pk, pc, pat) = sides
-        rows = [(s, block, side, wk[wat[s] : wat[s + 1]].tobytes(), _shrunk(wc[wat[s] : wat[s + 1]]), pk[pat[s] : pat[s + 1]].tobytes(), _shrunk(pc[pat[s] : pat[s + 1]]), None, None, None, None) for s in range(shards)]
+        rows = [
+            (s, block, side, wk[wat[s] : wat[s + 1]].tobytes(), _shrunk(wc[wat[s] : wat[s + 1]]), pk[pat[s] : pat[s + 1]].tobytes(), _shrunk(pc[pat[s] : pat[s + 1]]), None, None, None, None)
+            for s in np.union1d(word_shard, pair_shard).tolist()
+        ]
         if side == 0:
             rows.append((block % shards, block, side, None, _shrunk(word_shard), None, None, ids, _shrunk(lengths), _shrunk(tokens), _shrunk(pair_shard)))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -253,43 +270,116 @@ def _blocks(texts: DataFrame, shards: int, side: int) -> DataFrame:
     return texts.mapInArrow(run, _ROW)
 
 
+def _both(parts: list[bytes], counts: list[np.ndarray], sides: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of parts, their (background, target) sums, and where each key of the parts is among them. A part is counts of
+    one side, or sums of both (no side)."""
+    keys = [np.frombuffer(p, "<u8") for p in parts]
+    distinct, where = np.unique(np.concatenate([*keys, np.zeros(0, "<u8")]), return_inverse=True)
+    pairs = [c.reshape(2, -1) if s is None else np.stack([c * (s == 0), c * (s == 1)]) for c, s in zip(counts, sides)]
+    both = np.concatenate([*pairs, np.zeros((2, 0), np.int64)], 1)
+    return distinct, np.stack([np.bincount(where, n, len(distinct)) for n in both], 1).astype(np.int64), where
+
+
+def _asked(shard: pa.Table) -> list[dict]:
+    return [r for r in shard.to_pylist() if r["ids"] is None]
+
+
+def _answers(rows: list[dict], sums: dict[str, tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    """What each block of the background gets from a shard: two numbers a key, in the order of its keys; its own row comes along."""
+    out = [(r["shard"], r["block"], r["word_counts"], None, r["ids"], r["lengths"], r["tokens"], r["pair_shards"]) for r in rows if r["ids"] is not None]
+    for r in rows:
+        if r["ids"] is None and r["side"] == 0:
+            out.append((r["shard"], r["block"], *(_shrunk(n[np.searchsorted(keys, np.frombuffer(r[c], "<u8"))].T.ravel()) for c, (keys, n) in sums.items()), None, None, None, None))
+    schema = _arrow(_ANSWER)
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema) if out else schema.empty_table()
+
+
 def _sum_shard(shard: pa.Table) -> pa.Table:
-    """Sums of all keys of a shard, answered to each block of the background in the order of its keys: two numbers a key."""
+    """Sums of all keys of a shard, answered to its blocks."""
     rows = shard.to_pylist()
     asked = [r for r in rows if r["ids"] is None]
-    out = [(r["shard"], r["block"], r["word_counts"], None, r["ids"], r["lengths"], r["tokens"], r["pair_shards"], None, None) for r in rows if r["ids"] is not None]
-    answers, totals, n_words = [], np.zeros(2, np.int64), 0
-    for keys, counts in (("words", "word_counts"), ("pairs", "pair_counts")):
-        parts = [np.frombuffer(r[keys], "<u8") for r in asked]
-        number = [_grown(r[counts]) for r in asked]
-        distinct, where = np.unique(np.concatenate([*parts, np.zeros(0, "<u8")]), return_inverse=True)
-        side = np.repeat([r["side"] for r in asked], [len(p) for p in parts]).astype(bool)
-        n = np.concatenate([*number, np.zeros(0, np.int64)])
-        sums = np.stack([np.bincount(where[side == s], n[side == s], len(distinct)) for s in (False, True)], 1).astype(np.int64)
-        if keys == "words":
-            totals, n_words = sums.sum(0), len(distinct)
-        at = np.cumsum([0, *[len(p) for p in parts]])
-        answers.append([_shrunk(sums[where[i:j]].T.ravel()) for i, j in zip(at, at[1:])])
-    out += [(r["shard"], r["block"], w, p, None, None, None, None, totals.tolist(), n_words) for r, w, p in zip(asked, *answers) if r["side"] == 0]
-    schema = _arrow(_ANSWER)
+    sums = {c: _both([r[c] for r in asked], [_grown(r[n]) for r in asked], [r["side"] for r in asked])[:2] for c, n in (("words", "word_counts"), ("pairs", "pair_counts"))}
+    return _answers(rows, sums)
+
+
+def _sum_group(shard: pa.Table) -> pa.Table:
+    """Sums of the keys of one group of a shard's blocks."""
+    asked = _asked(shard)
+    row: list = [int(shard["shard"][0].as_py()), int(shard["group"][0].as_py())]
+    for c, n in (("words", "word_counts"), ("pairs", "pair_counts")):
+        keys, sums, _ = _both([r[c] for r in asked], [_grown(r[n]) for r in asked], [r["side"] for r in asked])
+        row += [keys.tobytes(), _shrunk(sums.T.ravel())]
+    schema = _arrow(_SUMS)
+    return pa.Table.from_arrays([pa.array([c], f.type) for c, f in zip(row, schema)], schema=schema)
+
+
+def _sum_groups(groups: pa.Table) -> pa.Table:
+    """Sums over a shard's groups, answered to each group."""
+    rows = groups.to_pylist()
+    out: list[list] = [[r["shard"], r["group"]] for r in rows]
+    for c, n in (("words", "word_sums"), ("pairs", "pair_sums")):
+        _, sums, where = _both([r[c] for r in rows], [_grown(r[n]) for r in rows], [None] * len(rows))
+        at = np.cumsum([0, *[len(r[c]) // 8 for r in rows]])
+        for r, o, i, j in zip(rows, out, at, at[1:]):
+            o += [r[c], _shrunk(sums[where[i:j]].T.ravel())]
+    schema = _arrow(_SUMS)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
-def score_whole(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, alpha: float = ALPHA) -> DataFrame:
+def _answer_group(shard: pa.Table, sums: pa.Table) -> pa.Table:
+    """A group's blocks and the sums of its keys to the answers to its blocks."""
+    found = sums.to_pylist()[0]
+    return _answers(shard.to_pylist(), {c: (np.frombuffer(found[c], "<u8"), _grown(found[n]).reshape(2, -1).T) for c, n in (("words", "word_sums"), ("pairs", "pair_sums"))})
+
+
+def _totals(texts: DataFrame) -> DataFrame:
+    """side, high, low, n: the digests of the words of texts (side, binary text) and the boundary, with their numbers; some come more
+    than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: tuple[Counter, Counter] = Counter(), Counter()
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for side, found in enumerate(counts):
+                digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in found), "<i8").reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array([side] * len(found), pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found.values(), pa.int64())], ["side", "high", "low", "n"])
+                found.clear()
+
+        for batch in batches:
+            for side, text in zip(batch.column(0), batch.column(1)):
+                found = counts[side.as_py()]
+                found.update((text.as_py() or b"").lower().split())
+                found[_EDGE] += 1
+            if sum(map(len, counts)) > _FLUSH // 4:
+                yield from emit()
+        yield from emit()
+
+    return texts.mapInArrow(run, "side int, high long, low long, n long")
+
+
+def score_whole(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, alpha: float = ALPHA, group: int = GROUP) -> DataFrame:
     """As score(), under the whole bigram models of docs (the background) and of target, which has one text column."""
     background = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     aimed = target.select(F.lit(None).cast("long").alias("id"), F.col(target.columns[0]).cast("string").cast("binary").alias("text"))
     chars = sum(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for d in (background, aimed))
     shards = 1 + chars // SHARD_CHARS
+    words = _totals(background.select(F.lit(0).alias("side"), "text").unionByName(aimed.select(F.lit(1).alias("side"), "text")))
+    words = words.groupBy("high", "low").agg(*[F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}") for side in (0, 1)])
+    counted = words.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("words")).first()
+    total, size = np.array([counted["n0"], counted["n1"]], float), counted["words"] + 1  # the unknown word isn't among them, the boundary is
     rows = _blocks(background, shards, 0).unionByName(_blocks(aimed, shards, 1))
-    answers = rows.groupBy("shard").applyInArrow(_sum_shard, _ANSWER)
+    if (counted["n0"] + counted["n1"]) // BLOCK <= group:
+        answers = rows.groupBy("shard").applyInArrow(_sum_shard, _ANSWER)
+    else:
+        many = 1 + (counted["n0"] + counted["n1"]) // BLOCK // group
+        dealt = rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(many)))
+        sums = dealt.groupBy("shard", "group").applyInArrow(_sum_group, _SUMS).groupBy("shard").applyInArrow(_sum_groups, _SUMS)
+        answers = dealt.groupBy("shard", "group").cogroup(sums.groupBy("shard", "group")).applyInArrow(_answer_group, _ANSWER)
     names = ["doc_id", "n_tokens", "ce_target", "ce_background", "score"]
 
     def judge(block: pa.Table) -> pa.Table:
         parts = sorted(block.to_pylist(), key=lambda r: (r["ids"] is None, r["shard"]))
-        own, found = parts[0], parts[1:]  # every shard answers every block
-        total = np.sum([r["total"] for r in found], axis=0, dtype=float)
-        size = sum(r["n_words"] for r in found) + 1  # the boundary is among the words already, the unknown word isn't
+        own, found = parts[0], parts[1:]  # from every shard that the block has keys of
         lengths, tokens = _grown(own["lengths"]), _grown(own["tokens"])
         counts = []
         for column, shard in (("words", _grown(own["words"])), ("pairs", _grown(own["pair_shards"]))):
