@@ -443,6 +443,9 @@ def test_lm_score_whole(spark, tmp_path, monkeypatch):
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ce_background"], r["ce_target"]) for r in queries.op7_lm_score(spark, str(tmp_path)).collect()))
     want = sorted((i, len(t) - 1, loss(0, t), loss(1, t)) for i, t in zip([*range(len(texts)), -1, 7], corpora[0]))
     assert len(got) == len(want) and np.allclose(np.array(got), np.array(want))
+    docs, aimed = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/benchmark.parquet").select("text")
+    again = lm_score.score_whole(docs, aimed, group=3)  # in groups of blocks
+    assert np.allclose(sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ce_background"], r["ce_target"]) for r in again.collect()), np.array(want))
     none = lm_score.score_whole(empty_docs(spark), empty_docs(spark).select("text"))
     assert none.count() == 0 and lm_score.score_whole(odd_docs(spark), empty_docs(spark).select("text")).count() == odd_docs(spark).count()
 
@@ -561,9 +564,9 @@ def test_chroma(spark):
                 if n >= 8 and np.bitwise_count((x[:n] ^ y[:n]).astype(np.uint64)).sum() / (32 * n) <= 0.15 and o != q:
                     want.add((q, o))
     rows_out = chroma.align(chroma.fingerprints(media, "id", "audio"), query_step=step).collect()
-    assert len(rows_out) == len(rows)
+    assert len({r["id"] for r in rows_out}) == len(rows)
     class_of = {r["id"]: r["class_id"] for r in rows_out}
-    found = {(r["class_id"], m["class_id"]) for r in rows_out for m in r["matches"] or []}
+    found = {(r["class_id"], r["match_id"]) for r in rows_out if r["match_id"] is not None}
     hits = sum((class_of[q], class_of[o]) in found or class_of[q] == class_of[o] for q, o in want)
     assert want and hits / len(want) >= 0.9
     assert class_of[203] == 3
@@ -577,7 +580,7 @@ def test_chroma_production(spark, monkeypatch):
     flips = lambda v, share: v ^ ((rng.random((len(v), 32)) < share) * (1 << np.arange(32))).sum(1)
     prints = {i: v for i, v in enumerate(base)} | {100 + i: flips(base[0], 0.2)[i % 20 :] for i in range(150)} | {300: base[1][:7], 301: base[0][:0]}
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in prints.items()], "id long, integers array<bigint>")
-    got = {(r["id"], m["class_id"]): m for r in chroma.align(rows).collect() for m in r["matches"] or []}
+    got = {(r["id"], r["match_id"]): r for r in chroma.align(rows).collect() if r["match_id"] is not None}
     want = {}
     for q in (i for i in prints if i % chroma.QUERY_STEP == 0 and len(prints[i]) >= 8):
         for o in prints:
@@ -588,4 +591,7 @@ def test_chroma_production(spark, monkeypatch):
                 if o != q and n >= 8 and errors <= chroma.MOST_ERRORS:
                     want.setdefault((q, o), {})[offset] = (n, errors)
     assert got.keys() == want.keys() and len(want) >= 150
+    odd = spark.createDataFrame([(50, [1, 2] * 5, 1), (50, [1, 2] * 5, 2), (None, [1, 2] * 5, 3), (7, [1, 3] * 5, 4), (8, [], 5)], "id long, integers array<bigint>, votes int")
+    assert sorted(str((r["id"], r["match_id"])) for r in chroma.align(odd.drop("votes")).collect()) == ["(50, 7)", "(50, 7)", "(7, None)", "(8, None)", "(None, None)"]
+    assert chroma.align(rows.limit(0)).count() == 0
     assert all(want[k][m["offset"]] == (m["overlap"], m["bit_errors"]) for k, m in got.items())
