@@ -28,6 +28,7 @@ from .common import packed, unpacked
 
 PASSAGE = 64
 SAMPLE = 4096
+BAG = 1024  # passages of a document that are learnt from
 FOLDS = 5
 ACCEPT = 0.3
 _SINGLES = b".,!?|*#$%&'\"-_/=<>()"
@@ -133,8 +134,9 @@ def held_out(key: Column) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % FOLDS == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> GatedAttention:
-    """Fit on at most `sample` labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> GatedAttention:
+    """Fit on at most `sample` labelled documents outside the held-out fold; of a document with more than `bag` passages, on
+    `bag` evenly spaced ones."""
     open_rows = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").cast("double").alias("_y"))
     open_rows = open_rows.where(F.col("_id").isNotNull() & F.col("_y").isNotNull() & ~held_out(F.col("_id")))
     chosen = open_rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
@@ -143,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [passages(t.as_py()).tobytes() for t in batch.column(2)]
+            bags = [passages(t.as_py()) for t in batch.column(2)]
+            data = [(x if len(x) <= bag else x[np.linspace(0, len(x) - 1, bag).astype(int)]).tobytes() for x in bags]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(data, pa.binary())], ["_id", "_y", "x"])
 
     got = sorted((r["_id"], r["_y"], bytes(r["x"])) for r in rows.mapInArrow(run, "_id long, _y double, x binary").toLocalIterator())
