@@ -163,11 +163,6 @@ def e3(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.fast_title(F.col("html")).alias("title"))
 
 
-@query("e9_links")
-def e9(spark: SparkSession, d: str) -> DataFrame:
-    return pages.link_rows(table(spark, d, "pages"))
-
-
 def _attr(name: str, text: str = "attrs") -> str:
     pattern = pages.ATTRIBUTE.replace("{name}", name).replace("'", "''")
     return "(" + " || ".join(f"regexp_extract({text}, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
@@ -208,6 +203,11 @@ _LINK_SCORE = f"""round(greatest(0.0, least(1.0, {_OVERLAP} / {_N}::DOUBLE * 0.4
     + CASE WHEN length(text) > 3 AND NOT starts_with(text, 'http') AND NOT starts_with(text, 'www') THEN 0.1::DOUBLE ELSE 0.0 END)), 6)"""
 
 
+@query("e9_links", _LINKS + "SELECT page_id AS source_page_id, position, target AS target_url, text AS anchor_text FROM l")
+def e9(spark: SparkSession, d: str) -> DataFrame:
+    return pages.link_rows(table(spark, d, "pages")).select("source_page_id", "position", "target_url", "anchor_text")
+
+
 @query("e17_main_container")
 def e17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.best_container("html").alias("b")).select("page_id", "b.*")
@@ -344,7 +344,7 @@ def s3b(spark: SparkSession, d: str) -> DataFrame:
     return crawl.crawl(known, pages.link_rows(rows).select("source_page_id", "target_url"), seeds, max_pages=None, max_depth=1).select("norm_url", "depth")
 
 
-@query("f9_robots_filter")
+@query("f9_robots_filter", _NORM + f"SELECT page_id, CASE WHEN domain LIKE '%.com' THEN 2.0 END AS crawl_delay FROM n WHERE scheme IN ('http', 'https') AND domain <> '' AND NOT ({_BAD}) AND NOT (domain LIKE '%.com' AND path LIKE '/fr%')")
 def f9(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "pages").select("page_id", "url")
     site = F.lower(F.regexp_extract("url", r"^([a-zA-Z]+://[^/?#]*)", 1)).alias("site")
