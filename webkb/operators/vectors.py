@@ -277,3 +277,12 @@ def evicted(accesses: DataFrame, key: str, at: str, most: int, batch: int = 5000
 def wants_lists(count: int, clusters: int = 100, least: int = 1000) -> int:
     """How many clusters an index of `count` vectors gets: none below `least`, at most a tenth of the vectors."""
     return min(clusters, count // 10) if count >= least else 0
+
+
+def indexed_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, clusters: int = 100, share: float = 0.8) -> DataFrame:
+    """top_k() exactly for an index too small for lists (see wants_lists()), else by probing this share of them."""
+    wanted = wants_lists(vectors.count(), clusters)
+    if not wanted:
+        return top_k(queries, vectors, k)
+    listed, centers = build_lists(vectors.select("vec_id", "vector"), wanted)
+    return probe(queries, listed, centers, k, max(1, round(share * wanted)))
