@@ -79,10 +79,11 @@ def block_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.inline(parse_page("html", "url")["blocks"]))
 
 
-def link_rows(pages: DataFrame, max_text: int = 200) -> DataFrame:
-    """(source_page_id, position, target_url, anchor_text, rel): every link of each page once, targets normalised."""
+def link_rows(pages: DataFrame, max_text: int | None = None) -> DataFrame:
+    """(source_page_id, position, target_url, anchor_text, rel): every link of each page once, targets normalised; texts are cut
+    at max_text if one is given."""
     rows = pages.select(F.col("page_id").alias("source_page_id"), F.posexplode(parse_page("html", "url")["links"]).alias("position", "l"))
-    return rows.select("source_page_id", "position", normalize_url(F.col("l.url")).alias("target_url"), F.substring("l.text", 1, max_text).alias("anchor_text"), "l.rel")
+    return rows.select("source_page_id", "position", normalize_url(F.col("l.url")).alias("target_url"), (F.col("l.text") if max_text is None else F.substring("l.text", 1, max_text)).alias("anchor_text"), "l.rel")
 
 
 def fast_title(html: Column) -> Column:

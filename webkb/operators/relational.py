@@ -124,3 +124,13 @@ def rates(rows: DataFrame, key: str, **conditions: Column) -> DataFrame:
     """Rows of each key and, in per cent, how many meet each condition."""
     n = F.count(F.lit(1))
     return rows.groupBy(key).agg(n.alias("decisions"), *[F.round(100.0 * F.count_if(c) / n, 6).alias(name) for name, c in conditions.items()])
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among the seen ones, such as links that were not visited."""
+    return rows.join(seen.select(key).distinct(), key, "left_anti")
+
+
+def present(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """rows whose key others have, each once."""
+    return rows.join(others.select(key).distinct(), key, "left_semi")

@@ -171,6 +171,37 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
     return chunking.token_chunk_rows(table(spark, d, "documents"), "doc_id", "text", 256, _count)
 
 
-@query("x4_split_contexts")
+@query("x4_split_contexts", """WITH RECURSIVE o AS (SELECT doc_id, ps[i] AS p, i AS no FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10) || chr(10)) AS ps, unnest(range(1, len(string_split(coalesce(text, ''), chr(10) || chr(10))) + 1)) AS i FROM documents)),
+    g AS (SELECT doc_id, no, 0 AS position, length(p) AS used FROM o WHERE no = 1 UNION ALL
+      SELECT o.doc_id, o.no, CASE WHEN g.used + length(o.p) > 1500 THEN g.position + 1 ELSE g.position END, CASE WHEN g.used + length(o.p) > 1500 THEN length(o.p) ELSE g.used + length(o.p) END FROM g JOIN o ON o.doc_id = g.doc_id AND o.no = g.no + 1)
+    SELECT doc_id, CAST(position AS INTEGER) AS position, string_agg(p, chr(10) || chr(10) ORDER BY no) AS text FROM g JOIN o USING (doc_id, no) GROUP BY doc_id, position""")
 def x4(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_rows(table(spark, d, "documents"), "doc_id", "text")
+
+
+def _kept(parts: str, low: int, high: int) -> str:
+    return f"list_filter({parts}, lambda t: length(t) > {low} AND length(t) < {high})"
+
+
+_KINDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in X.ENTITY_TYPES.items()) + "}"
+_LINES = "string_split(text, chr(10))"
+_FACTS = _kept(f"list_transform({_LINES}, lambda t: trim(regexp_replace(trim(t), '^[.\\-•*0-9)]+|[.\\-•*]+$', '', 'g')))", 15, 500)
+_FIRST_LINE = "regexp_replace(string_split(lower(trim(text)), chr(10))[1], '^\\.+|\\.+$', '', 'g')"
+
+
+@query("x3_model_output", f"""SELECT conv_id, turn, array_to_string(list_slice({_kept("list_transform(string_split(text, ','), lambda t: regexp_replace(trim(t), '^[.\\-•*]+|[.\\-•*]+$', '', 'g'))", 1, 100)}, 1, 10), '|') AS topics,
+    array_to_string(list_slice({_kept(f"list_transform({_LINES}, lambda t: regexp_replace(trim(t), '^[.\\-•*1-9)]+|[.\\-•*1-9)]+$', '', 'g'))", 10, 500)}, 1, 5), '|') AS key_points,
+    array_to_string(list_filter({_FACTS}, lambda t, i: list_position(list_transform({_FACTS}, lambda f: lower(f)), lower(t)) = i), '|') AS facts,
+    array_to_string(list_transform(list_filter(list_transform({_LINES}, lambda t: trim(t)), lambda t: regexp_matches(t, '^(\\w+):\\s*(.+)$') AND length(trim(regexp_extract(t, '^\\w+:\\s*(.+)$', 1))) > 1), lambda t: coalesce({_KINDS}[lower(regexp_extract(t, '^(\\w+):', 1))], 'other') || ':' || trim(regexp_extract(t, '^\\w+:\\s*(.+)$', 1))), '|') AS entities,
+    CASE WHEN length({_FIRST_LINE}) < 50 THEN {_FIRST_LINE} ELSE 'article' END AS category, {" OR ".join(f"contains(lower(text), '{u.replace(chr(39), chr(39) * 2)}')" for u in X.UNCERTAIN)} AS uncertain FROM conversations""")
+def x3(spark: SparkSession, d: str) -> DataFrame:
+    t, joined = F.col("text"), lambda c: F.array_join(c, "|")
+    rows = table(spark, d, "conversations")
+    return rows.select("conv_id", "turn", joined(X.topics(t)).alias("topics"), joined(X.key_points(t)).alias("key_points"), joined(X.facts(t)).alias("facts"), joined(F.transform(X.entities(t), lambda e: F.concat_ws(":", e["type"], e["name"]))).alias("entities"), X.category(t).alias("category"), X.is_uncertain(t).alias("uncertain"))
+
+
+@query("x5_relationship_lines", "SELECT c_custkey, c_name AS subject, 'in' AS predicate, c_mktsegment AS object FROM customer")
+def x5(spark: SparkSession, d: str) -> DataFrame:
+    """Relations written as a model writes them, among lines of other kinds, and read again."""
+    said = F.concat(F.lit("Here they are:\n"), "c_name", F.lit(" -> in -> "), "c_mktsegment", F.lit("\n- a -> b\n"))
+    return table(spark, d, "customer").select("c_custkey", F.inline(X.relationships(said)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import chunking, crawl, navigation, pages, questions
+from ..operators import relational as R
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -116,12 +117,6 @@ def x2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.fallback_answer(F.col("text"), F.col("source")).alias("answer"))
 
 
-@query("x3_model_output")
-def x3(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", X.topics(t).alias("topics"), X.key_points(t).alias("key_points"), X.facts(t).alias("facts"), X.entities(t).alias("entities"), X.relationships(t).alias("relationships"), X.category(t).alias("category"), X.is_uncertain(t).alias("uncertain"))
-
-
 @query("c2_fixed_chunks", """SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, CAST(i * 900 AS INTEGER) AS start_char, CAST(least(i * 900 + 1000, length(text)) AS INTEGER) AS end_char,
     substr(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS text FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 100) / 900.0) AS BIGINT)))) AS i FROM documents WHERE trim(text) <> '')""")
 def c2(spark: SparkSession, d: str) -> DataFrame:
@@ -208,6 +203,14 @@ def e9(spark: SparkSession, d: str) -> DataFrame:
     return pages.link_rows(table(spark, d, "pages")).select("source_page_id", "position", "target_url", "anchor_text")
 
 
+@query("j12_unvisited_links", _LINKS + _NORM.replace("WITH p AS", ", p AS", 1) + "SELECT page_id, position, target AS norm_url FROM l WHERE target NOT IN (SELECT norm_url FROM n)")
+def j12(spark: SparkSession, d: str) -> DataFrame:
+    """Links that lead to none of the pages there are."""
+    rows = table(spark, d, "pages")
+    links = pages.link_rows(rows).select(F.col("source_page_id").alias("page_id"), "position", F.col("target_url").alias("norm_url"))
+    return R.unseen(links, rows.select(U.normalize_url(F.col("url")).alias("norm_url")), "norm_url").select("page_id", "position", "norm_url")
+
+
 @query("e17_main_container")
 def e17(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", pages.best_container("html").alias("b")).select("page_id", "b.*")

@@ -243,8 +243,8 @@ def b2(spark: SparkSession, d: str) -> DataFrame:
     return memory.session_stats(_entries(spark, d))
 
 
-@query("b1_transcript", _CONV + "SELECT session, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY position) AS transcript FROM e WHERE role IN ('user', 'assistant') GROUP BY session")
-def b1(spark: SparkSession, d: str) -> DataFrame:
+@query("b2_transcript", _CONV + "SELECT session, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY position) AS transcript FROM e WHERE role IN ('user', 'assistant') GROUP BY session")
+def b2t(spark: SparkSession, d: str) -> DataFrame:
     return memory.transcript(_entries(spark, d))
 
 
@@ -283,8 +283,15 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return R.rates(table(spark, d, "events"), "event_type", model_share=F.col("value") > 50, success_rate=F.col("user_id") % 2 == 0)
 
 
-@query("b3_build_context")
-def b3(spark: SparkSession, d: str) -> DataFrame:
+@query("b1_build_context", _CONV.replace("WITH e", "WITH RECURSIVE e") + """, t AS (SELECT * FROM e WHERE role IN ('user', 'assistant')),
+    s AS (SELECT *, sum(tokens) OVER w AS total, row_number() OVER w AS b, count(*) OVER (PARTITION BY session) AS n, last_value(tokens) OVER (PARTITION BY session ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS newest FROM t WINDOW w AS (PARTITION BY session ORDER BY position DESC)),
+    h AS (SELECT session, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY position) AS history, sum(tokens) AS tokens FROM s WHERE total <= 430 OR (newest > 430 AND n >= 2 AND b <= 2) GROUP BY session),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY position) AS no, first_value(tokens) OVER (PARTITION BY session ORDER BY position) AS lead_tokens FROM e WHERE role = 'assistant'),
+    g AS (SELECT DISTINCT session, 0::BIGINT AS no, 0::BIGINT AS used, false AS took FROM o UNION ALL
+      SELECT o.session, o.no, CASE WHEN g.used + o.tokens <= 574 THEN g.used + o.tokens ELSE g.used END, g.used + o.tokens <= 574 FROM g JOIN o ON o.session = g.session AND o.no = g.no + 1),
+    c AS (SELECT session, string_agg(text, chr(10) || chr(10) ORDER BY no) AS context, sum(tokens) AS tokens FROM o JOIN g USING (session, no) WHERE CASE WHEN lead_tokens > 574 THEN no = 1 ELSE took END GROUP BY session)
+    SELECT session, coalesce(history, '') AS history, coalesce(context, '') AS context, CAST(coalesce(h.tokens, 0) + coalesce(c.tokens, 0) AS BIGINT) AS tokens FROM h FULL JOIN c USING (session)""")
+def b1(spark: SparkSession, d: str) -> DataFrame:
     entries = _entries(spark, d)
     contexts = entries.where("role = 'assistant'").select("session", F.col("position").alias("place"), F.col("content").alias("text"), "tokens")
     return memory.build_context(entries, contexts, 2048, 100)
@@ -306,16 +313,10 @@ def d1(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(F.array_distinct(F.transform("qs", lambda x: x["q"])), "|").alias("variants"))
 
 
-@query("j12_unvisited_links", "SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
-def j12(spark: SparkSession, d: str) -> DataFrame:
-    seen = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, d, "orders").join(seen, "o_custkey", "left_anti").select("o_orderkey")
-
-
 @query("j13_semi_join", "SELECT p_partkey FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    used = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(used, "p_partkey", "left_semi").select("p_partkey")
+    used = table(spark, d, "lineitem").where("l_quantity > 45").withColumnRenamed("l_partkey", "p_partkey")
+    return R.present(table(spark, d, "part").select("p_partkey"), used, "p_partkey")
 
 
 @query("a2_chunk_count", "SELECT count(*) AS chunks, count(DISTINCT source) AS pages FROM documents")

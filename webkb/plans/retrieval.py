@@ -226,7 +226,7 @@ def d2(spark: SparkSession, d: str) -> DataFrame:
     return S.first_variant(both).select("query_id", "id", "variant")
 
 
-@query("v11_evicted", "SELECT user_id, last_access FROM (SELECT user_id, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, user_id LIMIT 50) ORDER BY last_access, user_id LIMIT 20")
+@query("v11_evicted", "SELECT user_id, last_access FROM (SELECT user_id, max(event_id) AS last_access FROM events GROUP BY user_id ORDER BY last_access DESC, user_id LIMIT 50) WHERE (SELECT count(DISTINCT user_id) FROM events) >= 50 ORDER BY last_access, user_id LIMIT 20")
 def v11b(spark: SparkSession, d: str) -> DataFrame:
     return V.evicted(table(spark, d, "events"), "user_id", "event_id", 50, 20)
 
