@@ -13,7 +13,8 @@ A block holds about BLOCK documents whatever the source's size, so a hot source
 Random numbers are hashes of document ids: reruns and retried tasks agree.
 
 Null text has size 0, a null source is a source of its own (the last), documents of size 0 take 0
-words, rows that repeat a doc_id are rounded as rows of their own. An empty table gives no rows.
+words, rows that repeat a doc_id are rounded as rows of their own. An empty table gives no rows. Extra columns are left
+alone, whatever their names. Sources are few: the windows that fill the targets run over one row for each.
 """
 
 from __future__ import annotations

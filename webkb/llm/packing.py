@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into sequences, in bulk-synchronous rounds.
+"""Best-fit packing of documents into sequences, in rounds over length classes.
 
 Documents become token pieces of at most `capacity`. Pieces and gaps (open sequences) are held in the
 order of their length; lengths are whole numbers up to the capacity, so a sorted run is a class (length)
@@ -8,12 +8,14 @@ gap, and the gaps shrink before the next round. With one class a round this equa
 
 The rounds work on run lengths: at most `capacity` classes of pieces and of gaps, whatever the number of
 documents. That is all the driver holds: a histogram with at most `capacity` rows in, and runs (class,
-first rank, first sequence, count) out. The rows themselves are ranked by Spark: range sort by
-(length, bucket, doc_id, piece) with the buckets' counts as offsets, so that a class with a third of all
+first rank, first sequence, count) out. The rows themselves are ranked by Spark: a window over
+(length, hash bucket) with the buckets' counts as offsets, so that a class with a third of all
 rows is many tasks. Each row then finds its run by binary search.
 
+The rounds are a loop on the driver, not distributed sweeps; see the README for the form that was tried and its figures.
+
 A full piece fills a sequence of its own. Null text is one end token. Rows that repeat a doc_id are
-packed as rows of their own. An empty table gives no rows.
+packed as rows of their own, null ids too; extra columns are left alone, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ The model is fitted on the driver on a bounded sample of labelled documents (SAM
 passage features Spark computes; scoring is a map over all documents, without a shuffle.
 
 Null text counts as empty. Null or repeated labels: nulls are left out, repeats train repeatedly. Without
-any label of a class every score is 0.5. An empty table gives no rows.
+any label of a class every score is 0.5. An empty table gives no rows. Very long texts have as many passages as they need; of a
+labelled one, BAG are learnt from. Rows that repeat a doc_id are scored one by one; extra columns are left alone.
 """
 
 from __future__ import annotations

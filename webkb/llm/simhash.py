@@ -13,7 +13,7 @@ key. A block pair reports a spanning forest of its links, not all pairs, which l
 are. Components come from minimum labels with pointer jumping, each round written to the shared folder.
 
 Null and wordless texts have fingerprint zero and are linked like any other. An empty table gives no rows.
-Rows that repeat a doc_id stay rows; null ids come last.
+Rows that repeat a doc_id stay rows; null ids come last. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ same document further ahead). Places are judged on the input.
 No group of copies needs one task: tasks send one of each kind, sorted rows are read with a constant state,
 and blocks bound what is sorted at once. The texts are shuffled once: both joins use the same exchange.
 Null text counts as empty. If ids repeat or are null, rows are first put in an order of their own: by id (null
-last), then text; equal rows come one after the other. An empty table gives no rows.
+last), then text; equal rows come one after the other. An empty table gives no rows. Extra columns are left alone.
 """
 
 from __future__ import annotations
