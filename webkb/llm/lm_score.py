@@ -11,20 +11,22 @@ shard sums them and answers each block for its own keys. Very frequent words and
 shard's blocks are first summed in groups of GROUP, which send one row each, and the sums go back the same way. A word
 or pair thus has one row a block however often it occurs, and memory is bounded by a block, a shard or a group while their
 numbers grow with the input. Words are told apart by 128 bits of a digest, pairs by 64 bits and their shard. The
-totals, words of both corpora and distinct words, come from a count of word digests before.
+totals, words of both corpora and distinct words (by 64 bits), are counted before.
 With all pairs kept, a context that was seen backs off with weight 1 - WEIGHT, any other with 1.
 
 fit() and score() are the small form: models of a stated capacity that fit in memory. They keep the pairs counted
 at least c times, where c is the smallest count that leaves at most PAIRS of them, and the vocabulary likewise.
 
 Each document ends with a boundary token, so an empty or null text has one token and a score. Words are
-lower-case and separated by ASCII white space. An empty target or background still gives a smoothed model.
+lower-case and separated by ASCII white space. An empty target or background still gives a smoothed model. Rows that
+repeat a doc_id, or have none, are documents of their own; extra columns are left alone. A document longer than a
+block is a block of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise
+from .common import SPACE, WORD, materialise
 
 VOCABULARY = 1 << 16
 PAIRS = 1 << 19
@@ -332,46 +334,40 @@ def _answer_group(shard: pa.Table, sums: pa.Table) -> pa.Table:
     return _answers(shard.to_pylist(), {c: (np.frombuffer(found[c], "<u8"), _grown(found[n]).reshape(2, -1).T) for c, n in (("words", "word_sums"), ("pairs", "pair_sums"))})
 
 
-def _totals(texts: DataFrame) -> DataFrame:
-    """side, high, low, n: the digests of the words of texts (side, binary text) and the boundary, with their numbers; some come more
-    than once."""
+def _distinct_words(texts: DataFrame) -> int:
+    """How many distinct words binary texts have, by 64 bits of a digest; the boundary is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: tuple[Counter, Counter] = Counter(), Counter()
+        known: set[bytes] = {_EDGE}
 
-        def emit() -> Iterator[pa.RecordBatch]:
-            for side, found in enumerate(counts):
-                digests = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in found), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([side] * len(found), pa.int32()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(found.values(), pa.int64())], ["side", "high", "low", "n"])
-                found.clear()
+        def emit() -> pa.RecordBatch:
+            digests = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in known)
+            known.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.frombuffer(digests, "<i8"))], ["word"])
 
         for batch in batches:
-            for side, text in zip(batch.column(0), batch.column(1)):
-                found = counts[side.as_py()]
-                found.update((text.as_py() or b"").lower().split())
-                found[_EDGE] += 1
-            if sum(map(len, counts)) > _FLUSH // 4:
-                yield from emit()
-        yield from emit()
+            for text in batch.column(0):
+                known.update((text.as_py() or b"").lower().split())
+            if len(known) > _FLUSH:
+                yield emit()
+        yield emit()
 
-    return texts.mapInArrow(run, "side int, high long, low long, n long")
+    return texts.mapInArrow(run, "word long").distinct().count()
 
 
 def score_whole(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", weight: float = WEIGHT, alpha: float = ALPHA, group: int = GROUP) -> DataFrame:
     """As score(), under the whole bigram models of docs (the background) and of target, which has one text column."""
     background = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("text"))
     aimed = target.select(F.lit(None).cast("long").alias("id"), F.col(target.columns[0]).cast("string").cast("binary").alias("text"))
-    chars = sum(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for d in (background, aimed))
-    shards = 1 + chars // SHARD_CHARS
-    words = _totals(background.select(F.lit(0).alias("side"), "text").unionByName(aimed.select(F.lit(1).alias("side"), "text")))
-    words = words.groupBy("high", "low").agg(*[F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0)).alias(f"n{side}") for side in (0, 1)])
-    counted = words.agg(F.coalesce(F.sum("n0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.count(F.lit(1)).alias("words")).first()
-    total, size = np.array([counted["n0"], counted["n1"]], float), counted["words"] + 1  # the unknown word isn't among them, the boundary is
+    tokens = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) + 1
+    sized = [d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(tokens), F.lit(0))).first() for d in (background, aimed)]
+    shards, total = 1 + sum(chars for chars, _ in sized) // SHARD_CHARS, np.array([n for _, n in sized], float)
+    size = _distinct_words(background.select("text").unionByName(aimed.select("text"))) + 1  # and the unknown word
     rows = _blocks(background, shards, 0).unionByName(_blocks(aimed, shards, 1))
-    if (counted["n0"] + counted["n1"]) // BLOCK <= group:
+    many = 1 + int(total.sum()) // BLOCK // group
+    if many == 1:
         answers = rows.groupBy("shard").applyInArrow(_sum_shard, _ANSWER)
     else:
-        many = 1 + (counted["n0"] + counted["n1"]) // BLOCK // group
         dealt = rows.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(many)))
         sums = dealt.groupBy("shard", "group").applyInArrow(_sum_group, _SUMS).groupBy("shard").applyInArrow(_sum_groups, _SUMS)
         answers = dealt.groupBy("shard", "group").cogroup(sums.groupBy("shard", "group")).applyInArrow(_answer_group, _ANSWER)
