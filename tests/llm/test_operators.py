@@ -564,9 +564,10 @@ def test_chroma(spark):
                 if n >= 8 and np.bitwise_count((x[:n] ^ y[:n]).astype(np.uint64)).sum() / (32 * n) <= 0.15 and o != q:
                     want.add((q, o))
     rows_out = chroma.align(chroma.fingerprints(media, "id", "audio"), query_step=step).collect()
-    assert len({r["id"] for r in rows_out}) == len(rows)
+    assert len(rows_out) == len(rows)
     class_of = {r["id"]: r["class_id"] for r in rows_out}
-    found = {(r["class_id"], r["match_id"]) for r in rows_out if r["match_id"] is not None}
+    found = {(r["class_id"], r["match_id"]) for r in chroma.alignments(chroma.fingerprints(media, "id", "audio"), query_step=step).collect()}
+    assert all(r["n_matches"] == sum(c == r["id"] for c, _ in found) for r in rows_out)
     hits = sum((class_of[q], class_of[o]) in found or class_of[q] == class_of[o] for q, o in want)
     assert want and hits / len(want) >= 0.9
     assert class_of[203] == 3
@@ -580,7 +581,7 @@ def test_chroma_production(spark, monkeypatch):
     flips = lambda v, share: v ^ ((rng.random((len(v), 32)) < share) * (1 << np.arange(32))).sum(1)
     prints = {i: v for i, v in enumerate(base)} | {100 + i: flips(base[0], 0.2)[i % 20 :] for i in range(150)} | {300: base[1][:7], 301: base[0][:0]}
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in prints.items()], "id long, integers array<bigint>")
-    got = {(r["id"], r["match_id"]): r for r in chroma.align(rows).collect() if r["match_id"] is not None}
+    got = {(r["class_id"], r["match_id"]): r for r in chroma.alignments(rows).collect()}
     want = {}
     for q in (i for i in prints if i % chroma.QUERY_STEP == 0 and len(prints[i]) >= 8):
         for o in prints:
@@ -591,6 +592,10 @@ def test_chroma_production(spark, monkeypatch):
                 if o != q and n >= 8 and errors <= chroma.MOST_ERRORS:
                     want.setdefault((q, o), {})[offset] = (n, errors)
     assert got.keys() == want.keys() and len(want) >= 150
+    for r in chroma.align(rows).collect():
+        mine = [m for (q, _), m in got.items() if q == r["id"]]
+        best = min(mine, key=lambda m: (-m["votes"], m["bit_errors"], m["match_id"]), default=None)
+        assert r["n_matches"] == len(mine) and (best is None and r["match_id"] is None or all(best[c] == r[c] for c in ("match_id", "offset", "overlap", "votes", "bit_errors")))
     odd = spark.createDataFrame([(50, [1, 2] * 5, 1), (50, [1, 2] * 5, 2), (None, [1, 2] * 5, 3), (7, [1, 3] * 5, 4), (8, [], 5)], "id long, integers array<bigint>, votes int")
     assert sorted(str((r["id"], r["match_id"])) for r in chroma.align(odd.drop("votes")).collect()) == ["(50, 7)", "(50, 7)", "(7, None)", "(8, None)", "(None, None)"]
     assert chroma.align(rows.limit(0)).count() == 0
