@@ -12,7 +12,7 @@ from ..sources.shared import materialise
 
 # Ranking constants and source weights.
 K1, B = 1.2, 0.75
-MOST_TERMS = 5000  # query terms that go into the scan
+MOST_TERMS = 32  # query terms that go into the scan, where each word is compared with them one by one
 SOURCES = ("vector", "keyword", "graph")
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "graph": 0.1}
 
