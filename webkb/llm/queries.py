@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chroma, exact_dedup, html_text, lm_score, mixing, packing, pii, quality, simhash, substring_dedup
+from . import alignment, chroma, exact_dedup, html_text, jaccard, lm_score, mixing, packing, pii, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,7 +64,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op6_chroma, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup, op11_alignment)}
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op6_chroma, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup, op11_alignment, op12_jaccard)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
@@ -73,4 +77,30 @@ ORACLE_SQL = {
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         WINDOW g AS (PARTITION BY t)
     """,
+    "op12_jaccard": r"""
+        WITH RECURSIVE
+        w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ),
+        s AS (
+            SELECT doc_id, list_distinct(CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_transform(range(1, len(w) - 2), lambda i: concat_ws(' ', w[i], w[i + 1], w[i + 2], w[i + 3]))
+            END) AS s
+            FROM w
+        ),
+        e AS (SELECT doc_id, unnest(s) AS h FROM s),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (h) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS (
+            SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+            WHERE 100 * c >= 85 * (len(a.s) + len(b.s) - c)
+        ),
+        way AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT x, y FROM way UNION SELECT r.x, way.y FROM r JOIN way ON way.x = r.y)
+        SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id
+        FROM s LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = s.doc_id
+    """,
 }
