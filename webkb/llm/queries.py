@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chroma, exact_dedup, html_text, jaccard, lm_score, mixing, packing, pii, quality, simhash, substring_dedup
+from . import alignment, chroma, exact_dedup, html_text, jaccard, lm_score, mixing, packing, phrases, pii, quality, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,11 @@ def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op6_chroma, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup, op11_alignment, op12_jaccard)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mix_sources, op4_best_fit_packing, op5_quality_mil, op6_chroma, op7_lm_score, op8_pii, op9_simhash, op10_exact_dedup, op11_alignment, op12_jaccard, op13_phrases)}
 
 ORACLE_SQL = {
     "op10_exact_dedup": r"""
@@ -103,4 +107,38 @@ ORACLE_SQL = {
         SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(m.y, s.doc_id)) AS component_id
         FROM s LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY x) m ON m.x = s.doc_id
     """,
+    "op13_phrases": r"""
+        WITH
+        t AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ),
+        p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+        w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+        g AS (
+            SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+            UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w
+            UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w
+            UNION ALL SELECT lang, 4, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) FROM w
+        ),
+        f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+        u AS MATERIALIZED (
+            SELECT lang, phrase, a, i, array_to_string(w[1:i], ' ') AS x, array_to_string(w[i + 1:k], ' ') AS y
+            FROM (SELECT *, unnest(range(1, k)) AS i FROM c)
+        ),
+        s AS (
+            SELECT u.lang, u.phrase, a, l.f AS l, r.f AS r, ((a::HUGEINT * 2000000) // (l.f + r.f))::BIGINT AS score, i
+            FROM u JOIN f l ON l.lang = u.lang AND l.phrase = x JOIN f r ON r.lang = u.lang AND r.phrase = y
+        ),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+        x AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+            FROM (SELECT lang, k, w, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL
+        ),
+        o AS (SELECT b.* FROM b LEFT JOIN x USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM o JOIN n USING (lang) QUALIFY rank <= 2000
+    """,
 }
