@@ -9,10 +9,11 @@ most (tau), so of tau + 1 slabs it agrees on one entirely; spare slabs make sure
 have more empty slabs than that, and then empty slabs count too. A slab's content is a bucket. Sets that link meet in a bucket; a set near
 the lower end of its band also stands in the band below. Nothing is capped: hot buckets are counted and joined, never gathered.
 
-Two steps keep large groups of near copies from being compared all with all. First each set of a bucket is checked against the bucket's
-smallest one. What these links leave in different components meets in the lower part of the tree: a box tree over the points of
-a bucket's block, joined with itself or with another block's, skips boxes of one component and boxes that can't share enough. Survivors are
-verified by their whole sets. So every pair that links is either checked or already joined by other links.
+Below a bucket stands a box tree over its points. It is joined with itself, and boxes that can't share enough are left aside. What a bucket
+finds is kept as a spanning forest, never as pairs, and the forests' components are clusters: every pair that links is inside one. A cluster's
+sets come together once, in a task of its own, where a tree over finer points picks pairs of different components and whole sets
+decide them. Buckets and clusters of more than a block are compared by pairs of blocks; buckets of that size first check each set against
+the bucket's smallest one, so that a bucket in one component needs no more.
 
 Sets are compared as 64-bit hashes of their shingles, classes of equal sets by 128 bits. A text with fewer words than a shingle is one
 shingle; without words it has the empty set, which links with nothing, not even with another. Null counts as empty. Rows that repeat
@@ -35,8 +36,10 @@ from .simhash import components
 
 SHINGLE = 4
 THRESHOLD = 85
-GROUPS = 32
+GROUPS = 32  # of the points in buckets
+FINE = 256  # of the points in clusters
 BLOCK = 1024
+BLOCK_SHINGLES = 4_000_000
 LEAF = 16
 _CACHED = 1 << 20
 _KEY = (1 << 48) - 1
@@ -110,8 +113,8 @@ def slab_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     return (np.concatenate(keys) & np.uint64(_KEY)).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
-def point(hashes: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(hashes) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def _sets(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
@@ -214,32 +217,86 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest one that the pairs (u, v) connect it to."""
+    label = np.arange(n)
+    while len(u):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        label = label[label]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    while (label != label[label]).any():
+        label = label[label]
+    return label
+
+
+def _sides(group: pa.Table) -> list[np.ndarray] | None:
+    """Places of a group's rows (.., left, right, side) by block; none if a block has no rows to meet."""
+    side = group.column("side").to_numpy()
+    found = [np.flatnonzero(side == s) for s in np.unique(side)]
+    return None if len(found) == 1 and group.column("left")[0] != group.column("right")[0] else found
+
+
 def _candidates(rows: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b), a < b, of different components that may link: rows (bucket, left, right, side, id, label, first, point), sorted."""
+    """Edges (a, b) of spanning forests of the pairs that may link, from sorted rows (bucket, left, right, side, id, label, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
-            side, ids, label, first = (group.column(k).to_numpy() for k in range(3, 7))
-            points = group.column(7).combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-            trees = [BoxTree(points[side == s], label[side == s]) for s in np.unique(side)]
-            mine = [ids[side == s] for s in np.unique(side)]
-            if len(trees) == 1 and group.column(1)[0] != group.column(2)[0]:
+            if (sides := _sides(group)) is None:
                 continue
+            ids, label = (group.column(k).to_numpy() for k in ("id", "label"))
+            points = group.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+            trees = [BoxTree(points[s], label[s]) for s in sides]
             u, v = tree_join(trees[0], trees[-1], threshold)
-            a, b = np.minimum(mine[0][u], mine[-1][v]), np.maximum(mine[0][u], mine[-1][v])
-            new = a != first[0]
-            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+            root = _forest(len(ids), sides[0][u], sides[-1][v])
+            leaf = np.flatnonzero(root != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root[leaf]]), pa.array(ids[leaf])], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, points: DataFrame, rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link: first by their points, then by their whole sets."""
-    for side in ("a", "b"):
-        pairs = pairs.join(points.select(F.col("id").alias(side), F.col("point").alias(f"p{side}"), F.col("size").alias(f"n{side}")), side)
-    shared = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = materialise(pairs.where((100 + threshold) * shared >= threshold * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
-    ids = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+def _linked(rows: DataFrame, threshold: int) -> DataFrame:
+    """Edges (a, b) of spanning forests of the links, from sorted rows (cluster, left, right, side, id, label, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches, 3):
+            if (sides := _sides(group)) is None:
+                continue
+            ids, label = (group.column(k).to_numpy() for k in ("id", "label"))
+            sets = [x.values.to_numpy().view(np.uint64) for x in group.column("hashes")]
+            points = np.array([point(x, FINE) for x in sets])
+            trees = [BoxTree(points[s], label[s]) for s in sides]
+            u, v = tree_join(trees[0], trees[-1], threshold)
+            u, v = sides[0][u], sides[-1][v]
+            sizes = points.sum(1, dtype=np.int64)
+            likely = np.argsort(-np.concatenate([np.minimum(points[u[k : k + BLOCK]], points[v[k : k + BLOCK]]).sum(1) / (sizes[u[k : k + BLOCK]] + sizes[v[k : k + BLOCK]]) for k in range(0, len(u), BLOCK)] or [np.zeros(0)]))
+            found, root = [], list(range(len(ids)))
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, j in zip(u[likely].tolist(), v[likely].tolist()):
+                x, y = top(i), top(j)
+                if x != y:
+                    small, large = (sets[i], sets[j]) if len(sets[i]) < len(sets[j]) else (sets[j], sets[i])
+                    at = np.searchsorted(large, small)
+                    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                    if 100 * shared >= threshold * (len(small) + len(large) - shared):
+                        root[max(x, y)] = min(x, y)
+                        found.append((ids[i], ids[j]))
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _hashed(rows: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """id and its set, ascending as unsigned numbers, of the rows (key, text) whose key is one of the column key of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -247,18 +304,47 @@ def _verified(pairs: DataFrame, points: DataFrame, rows: DataFrame, shingle: int
             sets = [shingle_set(t.as_py(), words, shingle).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
 
-    sets = materialise(rows.join(ids, "key", "left_semi").select("key", "text").mapInArrow(run, "id long, hashes array<long>"))
+    return rows.join(ids, "key", "left_semi").select("key", "text").mapInArrow(run, "id long, hashes array<long>")
+
+
+def _verified(pairs: DataFrame, points: DataFrame, rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that link: first by their points, then by their whole sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("id").alias(side), F.col("point").alias(f"p{side}"), F.col("size").alias(f"n{side}")), side)
+    shared = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    near = materialise(pairs.where((100 + threshold) * shared >= threshold * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb"))
+    ids = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    sets = materialise(_hashed(rows, ids, shingle))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), "a").join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb")), "b")
     shared = F.size(F.array_intersect("ha", "hb"))
     return both.where(100 * shared >= threshold * (F.col("na") + F.col("nb") - shared)).select("a", "b")
 
 
-def _blocks(members: DataFrame, block: int) -> DataFrame:
-    """Members (bucket, id, ..., n) under the pairs of blocks of their bucket in which they are compared: left, right, side."""
-    blocks = F.ceil(F.col("n") / block).cast("int")
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members (id, blocks, ...) under the pairs of blocks in which they are compared: left, right, side."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, own).alias("left"), F.greatest(x, own).alias("right"), (own > x).cast("int").alias("side")))
-    return members.withColumn("blocks", blocks).select("*", F.inline(pairs))
+    return members.select("*", F.inline(pairs))
+
+
+def _filed(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, id, and first and n, the smallest id and the number of rows of the bucket. Copies that different tasks read may file a class twice."""
+    copies = sets.select("key", "d1", "d2", "size").join(classes.where("n > 1"), ["d1", "d2", "size"]).where("key != id").select("key", "id")
+    filed = sets.select("key", F.explode("buckets").alias("bucket"))
+    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    members = materialise(filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id")))
+    smallest = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    return materialise(members.join(smallest, "bucket"))
+
+
+def _settled(hot: DataFrame, points: DataFrame, rows: DataFrame, ranks: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of the smallest set of each hot bucket with the others, their components' labels, and the members of buckets that still have several."""
+    stars = hot.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    links = materialise(_verified(stars, points, rows, shingle, threshold))
+    labels = materialise(components(links, ranks).select(F.col("v").alias("id"), F.col("l.v").alias("label")))
+    named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    return links, labels, hot.join(mixed, "bucket", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: int = THRESHOLD, block: int = BLOCK) -> DataFrame:
@@ -267,30 +353,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select(F.col("_key").alias("key"), "_row.doc_id", "_row.text")
     sets = materialise(_sets(rows, shingle, threshold))
     classes = materialise(sets.where("size > 0").groupBy("d1", "d2", "size").agg(F.min("key").alias("id"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    points = sets.join(classes.select("id"), sets.key == classes.id, "left_semi").select(F.col("key").alias("id"), "size", "point")
-    copies = sets.select("key", "d1", "d2", "size").join(classes.where("n > 1"), ["d1", "d2", "size"]).where("key != id").select("key", "id")
-
-    filed = sets.select("key", F.explode("buckets").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id"))
-    members = materialise(members)  # a class may stand twice in a bucket, by copies that different tasks read
-    smallest = members.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialise(members.join(smallest, "bucket"))
-    stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = materialise(_verified(stars, points, rows, shingle, threshold))
-
+    points = sets.select("key", "size", "point").join(classes.select("id"), F.col("key") == F.col("id"), "left_semi").withColumnRenamed("key", "id")
     ranks = classes.select(F.col("id").alias("v"), F.struct(F.col("first").isNull().alias("none"), "first", F.col("id").alias("v")).alias("rank"))
-    labels = components(links, ranks).select(F.col("v").alias("id"), F.col("l.v").alias("label"))
-    rest = members.where("n > 2").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    rest = _blocks(rest.join(mixed, "bucket"), block).join(points.select("id", "point"), "id")
-    rest = rest.select("bucket", "left", "right", "side", "id", "label", "first", "point").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    more = materialise(_candidates(rest, threshold))
-    if not more.isEmpty():
-        links = materialise(links.union(_verified(more, points, rows, shingle, threshold)))
-        labels = components(links, ranks).select(F.col("v").alias("id"), F.col("l.v").alias("label"), F.col("l.first").alias("least"))
-    else:
-        labels = labels.join(classes.select(F.col("id").alias("label"), F.col("first").alias("least")), "label")
-    named = classes.join(labels, "id", "left").select("d1", "d2", "size", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("least"))
-    found = sets.select("doc_id", "d1", "d2", "size").join(named, ["d1", "d2", "size"], "left")
-    return found.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+    members = _filed(sets, classes)
+    hot, links, labels = members.where(F.col("n") > block), None, None
+    if not hot.isEmpty():
+        links, labels, hot = _settled(hot, points, rows, ranks, shingle, threshold)
+        members = members.where(F.col("n") <= block).union(hot)
+
+    def labelled(df: DataFrame) -> DataFrame:
+        return df.withColumn("label", F.col("id")) if labels is None else df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    met = _blocks(labelled(members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))).join(points.select("id", "point"), "id")
+    met = met.select("bucket", "left", "right", "side", "id", "label", "point").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    near = _candidates(met, threshold)
+    near = materialise(near if links is None else near.union(links))
+    clusters = components(near).select(F.col("v").alias("id"), F.col("l.v").alias("cluster"))
+    clusters = materialise(labelled(clusters.join(points.select("id", "size"), "id")))
+    total = clusters.groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("n") / (2 * block))).cast("int")
+    open_ones = materialise(clusters.join(total.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "id", "label"))
+    hashed = materialise(_hashed(rows, open_ones.select(F.col("id").alias("key")), shingle))
+    met = _blocks(open_ones).join(hashed, "id").select("cluster", "left", "right", "side", "id", "label", "hashes")
+    found = _linked(met.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right"), threshold)
+    links = materialise(found if links is None else found.union(links))
+    labels = components(links, ranks).select(F.col("v").alias("id"), F.struct("l.first").alias("least"))
+    named = classes.join(labels, "id", "left").select("d1", "d2", "size", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least.first")).alias("least"))
+    result = sets.select("doc_id", "d1", "d2", "size").join(named, ["d1", "d2", "size"], "left")
+    return result.select(F.col("doc_id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
