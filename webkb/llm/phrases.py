@@ -20,8 +20,9 @@ nothing, an empty table no rows. Very long texts are cut into nothing. Extra col
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,11 @@ COVERED = 80  # percent of a phrase's occurrences inside one longer candidate th
 SCALE = 2_000_000
 MOST = 2000
 SAMPLE = 16  # one document in so many
-SAMPLE_LEAST = 2  # occurrences in the sample that propose a phrase
+SAMPLE_LEAST = 2  # occurrences in the sample that propose a phrase; words take one
 BITS = 27
-CHUNK = 4_000_000
-SLICE = 1_000_000
+CHUNK = 1_500_000
+SLICE = 150_000  # words that are hashed at once
+KNOWN = 600_000  # distinct words a task knows before it starts anew
 UNKNOWN = "und"
 _STOP = b"."  # a separator, so never a word
 _TABLE = bytes(46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
@@ -54,6 +56,20 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).replace(_STOP, b" . ").split()
 
 
+class Numbers(dict):
+    """Words by numbers in the order they came; their hashes and themselves by number. The stop is 0 and has hash 0."""
+
+    def __init__(self):
+        super().__init__({_STOP: 0})
+        self.hashes, self.words = array("Q", [0]), [_STOP]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.words)
+        self.hashes.append(xxhash.xxh64_intdigest(word))
+        self.words.append(word)
+        return number
+
+
 def word_keys(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return mix(hashes ^ seeds)
 
@@ -104,11 +120,10 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int8(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = [x.split()[0] for x in _ROW.split(", ")]
-        known = Words({_STOP: 0})
+        known = Numbers()
         filters = [Bits(x.value) if x is not None else None for x in (now, before)]
-        singles: dict[str, Counter] = {}
+        singles: dict[str, list[np.ndarray]] = {}
         held: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(longest + 1)]
-        size = 0
 
         def phrases() -> Iterator[pa.RecordBatch]:
             for k in range(2, longest + 1):
@@ -122,55 +137,61 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, k, np.int8)), pa.array(p[part].view(np.int64)), pa.array(w[part].view(np.int64)), none, none, pa.array(n[part])], names)
 
         def uses() -> Iterator[pa.RecordBatch]:
-            for lang, counter in singles.items():
-                counter.pop(_STOP, None)
-                found = list(counter)
+            for lang, numbers in singles.items():
+                counts = np.bincount(np.concatenate(numbers))
+                counts[0] = 0
+                found = np.flatnonzero(counts)
                 for at in range(0, len(found), 1 << 16):
                     part = found[at : at + (1 << 16)]
                     zero = pa.array(np.zeros(len(part), np.int64))
-                    word = pa.array(part, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), zero, zero, pa.array([lang] * len(part)), word, pa.array([counter[x] for x in part], pa.int64())], names)
+                    word = pa.array([known.words[x] for x in part.tolist()], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), zero, zero, pa.array([lang] * len(part)), word, pa.array(counts[part])], names)
             singles.clear()
 
         def add(docs: list[tuple[str, list[bytes]]]) -> int:
-            lengths = [len(d) for _, d in docs]
-            hashes = np.fromiter((known[x] for _, d in docs for x in d), np.uint64, sum(lengths))
-            one = word_keys(hashes, np.repeat(np.array([_seed(lang) for lang, _ in docs], np.uint64), lengths))
-            live, key, new, many = hashes > 0, one, None, 0
+            lengths = np.array([len(d) for _, d in docs])
+            numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(d for _, d in docs)), np.int64, lengths.sum())
+            if words:
+                for (lang, _), own in zip(docs, np.split(numbers, np.cumsum(lengths)[:-1])):
+                    singles.setdefault(lang, []).append(own)
+            seeds = np.repeat(np.array([_seed(lang) for lang, _ in docs], np.uint64), lengths)
+            one = word_keys(np.frombuffer(known.hashes.tobytes(), np.uint64)[numbers], seeds)
+            live, key, many = numbers > 0, one, 0
             for k in range(2, longest + 1):
                 # key[i] and live[i] are of the k - 1 words from i
-                if filters[0] is not None:
-                    inside = live & filters[0].has(key)
-                    old = inside & filters[1].has(key) if filters[1] is not None else None
-                    new = inside[:-1] & inside[1:] if old is None else inside[:-1] & inside[1:] & ~(old[:-1] & old[1:])
+                inside = live if filters[0] is None else live & filters[0].has(key)
+                use = inside[:-1] & inside[1:]
+                if filters[1] is not None:
+                    old = inside & filters[1].has(key)
+                    use &= ~(old[:-1] & old[1:])
                 prefix, last = key[:-1], one[k - 1 :]
-                both = live[:-1] & live[1:]
                 longer = longer_keys(prefix, last)
-                use = both if new is None else both & new
                 for store, values in zip(held[k], (longer, prefix, last)):
                     store.append(values[use])
                 many += int(use.sum())
-                key, live = longer, both
+                key, live = longer, live[:-1] & live[1:]
             return many
 
+        size = counted = chars = 0
+        docs: list[tuple[str, list[bytes]]] = []
         for batch in batches:
-            docs, chars = [], 0
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = [*words_of(text.as_py()), _STOP]
-                if words:
-                    singles.setdefault(lang, Counter()).update(found)
-                docs.append((lang, found))
-                chars += len(found)
-                if chars >= SLICE // 6:
-                    size += add(docs)
+                docs.append((lang, words_of(text.as_py())))
+                docs[-1][1].append(_STOP)
+                chars += len(docs[-1][1])
+                if chars >= SLICE:
+                    size, counted = size + add(docs), counted + chars
                     docs, chars = [], 0
-                if size >= CHUNK:
-                    yield from phrases()
-                    size = 0
-                if words and sum(map(len, singles.values())) > CHUNK // 4:
-                    yield from uses()
-            if docs:
-                size += add(docs)
+                    if size >= CHUNK:
+                        yield from phrases()
+                        size = 0
+                    if counted >= CHUNK or len(known) >= KNOWN:
+                        yield from uses()
+                        counted = 0
+                        if len(known) >= KNOWN:
+                            known = Numbers()
+        if docs:
+            add(docs)
         yield from phrases()
         yield from uses()
 
@@ -201,7 +222,7 @@ def frequent(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     text = F.col(f"`{text_col}`").cast("string")
     picked = docs.where(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(sample)) == 0)
     texts = docs.select(lang.alias("lang"), text.alias("text"))
-    proposed = _keyed(_count(picked.select(lang.alias("lang"), text.alias("text")), longest - 1).where(F.col("f") >= SAMPLE_LEAST))
+    proposed = _keyed(_count(picked.select(lang.alias("lang"), text.alias("text")), longest - 1).where((F.col("k") == 1) | (F.col("f") >= SAMPLE_LEAST)))
     now, before = Bits.of(proposed.select("key")), None
     sent = spark.sparkContext.broadcast(now)
     counted = materialise(_count(texts, longest, sent).where((F.col("k") == 1) | (F.col("f") >= least)))
