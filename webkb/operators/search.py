@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.shared import materialise
+from .fulltext import Index
 
 # Ranking constants and source weights.
 K1, B = 1.2, 0.75
-MOST_TERMS = 32  # query terms that go into the scan, where each word is compared with them one by one
+MOST_TERMS = 4096  # query terms that go into the scan, as one hash set
 SOURCES = ("vector", "keyword", "graph")
 WEIGHTS = {"vector": 0.6, "keyword": 0.3, "graph": 0.1}
 
@@ -37,8 +38,8 @@ def _query_postings(terms: DataFrame, docs: DataFrame, id_col: str, text_col: st
         kept = materialise(words.select("id", F.size("words").alias("doc_len"), hits.alias("hits")))
         found = kept.select("id", "doc_len", F.explode("hits").alias("term"))
     else:
-        kept = words.select("id", F.size("words").alias("doc_len"))
-        found = words.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term")).join(wanted, "term")
+        kept = materialise(words.select("id", F.size("words").alias("doc_len"), F.col("words").alias("hits")))
+        found = kept.select("id", "doc_len", F.explode("hits").alias("term")).join(wanted, "term")
     totals = kept.agg(F.count(F.lit(1)).alias("docs"), F.avg("doc_len").alias("mean_len"))
     return found.groupBy("id", "term", "doc_len").agg(F.count(F.lit(1)).alias("tf")), totals
 
@@ -136,15 +137,17 @@ def first_variant(hits: DataFrame) -> DataFrame:
 
 def retrieve(
     queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], k: int = 10, min_score: float = 0.3, min_fused_score: float = 0.0,
-    id_col: str = "doc_id", text_col: str = "text", page_col: str = "page_id",
+    id_col: str = "doc_id", text_col: str = "text", page_col: str = "page_id", index: Index | None = None, embedded: DataFrame | None = None,
 ) -> DataFrame:
     """Hybrid retrieval: (query_id, id, final_score, adjusted, diverse_rank), the k best documents of each query.
 
     queries: (query_id, semantic, keywords), the arrays of texts to search by vector (the first three) and by keyword (the
     first five). docs need id_col, text_col and page_col. A document counts for its first variant in either search; both are
     fused by reciprocal ranks, thinned for pages, and cut. min_score holds for similarities, as fused ranks stay far below it.
+    With a stored full-text index and stored embeddings (vec_id, vector) of the documents no text is read.
     """
-    from .vectors import search_text
+    from .fulltext import top_k as indexed
+    from .vectors import search_text, top_k
 
     def variants(column: str, most: int) -> DataFrame:
         rows = queries.select("query_id", F.posexplode(F.slice(column, 1, most)).alias("variant", "query"))
@@ -157,8 +160,12 @@ def retrieve(
         return first.withColumn("rank", rank).select("query_id", "id", "score", "rank")
 
     by_vector, by_word = variants("semantic", 3), variants("keywords", 5)
-    near = search_text(by_vector.select(F.col("key").alias("query_id"), "query"), docs, embed, k, min_score, id_col, text_col)
-    words = bm25(by_word.select(F.col("key").alias("query_id"), "query"), docs, k, id_col, text_col)
+    asked, named = by_vector.select(F.col("key").alias("query_id"), "query"), by_word.select(F.col("key").alias("query_id"), "query")
+    if embedded is None:
+        near = search_text(asked, docs, embed, k, min_score, id_col, text_col)
+    else:
+        near = top_k(asked.select("query_id", embed(F.col("query")).alias("vector")), embedded, k, min_score=min_score).withColumnRenamed("vec_id", "id")
+    words = bm25(named, docs, k, id_col, text_col) if index is None else indexed(index, named, k)
     fused = fuse({"vector": merged(near, by_vector), "keyword": merged(words, by_word)})
     paged = fused.join(docs.select(F.col(id_col).alias("id"), F.col(page_col).alias("page_id")), "id")
     thin = diversify(paged, "page_id").where((F.col("diverse_rank") <= k) & (F.col("adjusted") >= min_fused_score))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import fulltext as T
 from ..operators import questions as Q
 from ..operators import search as S
 from ..operators import vectors as V
+from ..functions.text import tokens
+from ..sources.derived import derived, folder
 from ..sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -112,20 +115,93 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _index(spark: SparkSession, d: str, *fields: str) -> T.Index:
+    """The full-text index of documents, made by the first query that asks for it."""
+    docs = table(spark, d, "documents")
+    path = folder("fulltext " + " ".join(fields), docs, lambda p: T.build_index(docs, "doc_id", list(fields)).save(p))
+    return T.read_index(spark, path, list(fields))
+
+
+def _embedded(spark: SparkSession, d: str) -> DataFrame:
+    """Embeddings of documents, likewise."""
+    return derived("embeddings", table(spark, d, "documents"), lambda docs: docs.select(F.col("doc_id").alias("vec_id"), V.hash_embedding(F.col("text")).alias("vector")))
+
+
 @query("k1_bm25_search", _BM25 + _RANKED)
 def k1(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(_questions(spark, d), table(spark, d, "documents"))
+    return T.top_k(_index(spark, d, "text"), _questions(spark, d))
 
 
 @query("k2_all_terms_search", _BM25 + ", wanted AS (SELECT query_id, count(*) AS n FROM t GROUP BY 1) " + _RANKED.replace("FROM sc", "FROM sc JOIN wanted USING (query_id) WHERE matched = n"))
 def k2(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(_questions(spark, d), table(spark, d, "documents"), require_all=True)
+    return T.top_k(_index(spark, d, "text"), _questions(spark, d), require_all=True)
+
+
+_FIELDS = ("source", "lang", "text")
+_PLACES = r"""WITH f AS (SELECT doc_id AS id, unnest(['source', 'lang', 'text']) AS field, unnest([source, lang, text]) AS body FROM documents),
+    ws AS (SELECT id, field, regexp_extract_all(lower(coalesce(body, '')), '[\p{L}\p{N}_]+') AS ws FROM f),
+    tok AS (SELECT id, field, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM ws),
+    dl AS (SELECT id, sum(len(ws)) AS length FROM ws GROUP BY id), st AS (SELECT count(*) AS docs, avg(length) AS mean_len FROM dl),
+    qw AS (SELECT item_id AS query_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS q FROM benchmark),
+    """
+_BY_UNIT = """, df AS (SELECT unit, count(*) AS df FROM occ GROUP BY unit),
+    part AS (SELECT unit, id, ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_len)) AS part
+      FROM occ JOIN df USING (unit) JOIN dl USING (id), st),
+    sc AS (SELECT query_id, id, round(sum(part), 4) AS score FROM fits JOIN asked USING (query_id) JOIN part USING (unit, id) GROUP BY 1, 2)
+    SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 20"""
+
+
+def _matched(spark: SparkSession, d: str, query: Column) -> DataFrame:
+    """query: from the words `q` of each benchmark passage."""
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("q"))
+    return T.match(_index(spark, d, *_FIELDS), asked.select("query_id", query.alias("query")))
+
+
+@query("k1_phrase_match", _PLACES + """asked AS (SELECT query_id, array_to_string(q[3:5], ' ') AS unit FROM qw),
+    three AS (SELECT id, field, concat_ws(' ', w, lead(w, 1) OVER f, lead(w, 2) OVER f) AS unit FROM tok WINDOW f AS (PARTITION BY id, field ORDER BY pos)),
+    occ AS (SELECT unit, id, count(*) AS tf FROM three JOIN (SELECT DISTINCT unit FROM asked) USING (unit) GROUP BY 1, 2),
+    fits AS (SELECT query_id, id FROM asked JOIN occ USING (unit))""" + _BY_UNIT)
+def k1_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Three words of each benchmark passage that stand together in any field."""
+    return _matched(spark, d, F.concat(F.lit('"'), F.array_join(F.slice("q", 3, 3), " "), F.lit('"')))
+
+
+@query("k1_prefix_match", _PLACES + """asked AS (SELECT query_id, substr(q[6], 1, 3) AS unit FROM qw),
+    occ AS (SELECT unit, id, count(*) AS tf FROM (SELECT DISTINCT unit FROM asked) JOIN tok ON starts_with(w, unit) GROUP BY 1, 2),
+    fits AS (SELECT query_id, id FROM asked JOIN occ USING (unit))""" + _BY_UNIT)
+def k1_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Words that begin as the sixth of each passage, in any field."""
+    return _matched(spark, d, F.concat(F.substring(F.element_at("q", 6), 1, 3), F.lit("*")))
+
+
+@query("k1_fields_match", _PLACES + """clause AS (SELECT query_id, alt, unnest(u).unit AS unit, unnest(u).field AS field, unnest(u).word AS word, unnest(u).word2 AS word2, unnest(u).negated AS negated FROM (
+      SELECT query_id, 0 AS alt, [{'unit': 'lang:en', 'field': 'lang', 'word': 'en', 'word2': NULL, 'negated': false},
+        {'unit': ':' || q[1], 'field': NULL, 'word': q[1], 'word2': NULL, 'negated': false},
+        {'unit': 'text:' || q[2] || ' ' || substr(q[3], 1, 1) || '*', 'field': 'text', 'word': q[2], 'word2': substr(q[3], 1, 1), 'negated': false},
+        {'unit': ':' || q[9], 'field': NULL, 'word': q[9], 'word2': NULL, 'negated': true}] AS u FROM qw
+      UNION ALL SELECT query_id, 1, [{'unit': 'source:src1', 'field': 'source', 'word': 'src1', 'word2': NULL, 'negated': false},
+        {'unit': ':' || q[4], 'field': NULL, 'word': q[4], 'word2': NULL, 'negated': false}] FROM qw)),
+    unit AS (SELECT DISTINCT unit, field, word, word2 FROM clause),
+    occ AS (SELECT unit, id, count(*) AS tf FROM unit JOIN tok x ON x.w = word AND (unit.field IS NULL OR x.field = unit.field) WHERE word2 IS NULL GROUP BY 1, 2
+      UNION ALL SELECT unit, x.id, count(*) FROM unit JOIN tok x ON x.w = word AND x.field = unit.field
+      JOIN tok y ON y.id = x.id AND y.field = x.field AND y.pos = x.pos + 1 AND starts_with(y.w, word2) WHERE word2 IS NOT NULL GROUP BY 1, 2),
+    fits AS (SELECT DISTINCT query_id, id FROM (SELECT query_id, alt, id, count(DISTINCT unit) FILTER (NOT negated) AS plain, count(*) FILTER (negated) AS against FROM clause JOIN occ USING (unit) GROUP BY 1, 2, 3)
+      JOIN (SELECT query_id, alt, count(DISTINCT unit) FILTER (NOT negated) AS needed FROM clause GROUP BY 1, 2) USING (query_id, alt) WHERE plain = needed AND against = 0),
+    asked AS (SELECT DISTINCT query_id, unit FROM clause WHERE NOT negated)""" + _BY_UNIT)
+def k1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses of three fields, with a phrase that ends in a prefix, NOT and OR."""
+    q = lambda i: F.element_at("q", i)
+    phrase = F.concat(F.lit('text:"'), q(2), F.lit(" "), F.substring(q(3), 1, 1), F.lit('"*'))
+    return _matched(spark, d, F.concat_ws(" ", F.lit("lang:en AND"), q(1), phrase, F.lit("NOT"), q(9), F.lit("OR source:src1"), q(4)))
 
 
 def _legs(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Two rankings of the same documents: by the similarity of embeddings, and by BM25."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    return {"vector": V.search_text(_questions(spark, d), docs, V.hash_embedding), "keyword": S.bm25(_questions(spark, d), docs)}
+    asked = _questions(spark, d)
+    vectors = asked.select("query_id", V.hash_embedding(F.col("query")).alias("vector"))
+    near = V.top_k(vectors, _embedded(spark, d), 10).withColumnRenamed("vec_id", "id")
+    return {"vector": near, "keyword": T.top_k(_index(spark, d, "text"), asked)}
 
 
 _NEAR = """(SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
@@ -269,7 +345,7 @@ def r7(spark: SparkSession, d: str) -> DataFrame:
     """Hybrid retrieval for every benchmark text, with cuts of it as variants."""
     text = F.col("text")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array(text, F.substring(text, 1, 100), F.substring(text, 40, 100)).alias("semantic"), F.array(text, F.substring(text, 1, 60)).alias("keywords"))
-    return S.retrieve(asked, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding)
+    return S.retrieve(asked, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding, index=_index(spark, d, "text"), embedded=_embedded(spark, d))
 
 
 @query("r7_ask")
@@ -278,7 +354,7 @@ def r7_ask(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"))
     wide = Q.expand(Q.parse(asked))
     variants = wide.select("query_id", Q.all_queries(F.col("query"), F.col("search_queries"), F.col("reformulations")).alias("semantic"), F.col("keyword_queries").alias("keywords"))
-    return S.retrieve(variants, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding)
+    return S.retrieve(variants, table(spark, d, "documents").withColumnRenamed("source", "page_id"), V.hash_embedding, index=_index(spark, d, "text"), embedded=_embedded(spark, d))
 
 
 @query("v9_indexed_top_k", _VEC + _TOP.format(where="true"))
