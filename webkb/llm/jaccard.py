@@ -23,6 +23,7 @@ a doc_id, or have none, are rows of their own; null ids come last. An empty tabl
 from __future__ import annotations
 
 import itertools
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +37,13 @@ from .simhash import components
 
 SHINGLE = 4
 THRESHOLD = 85
-GROUPS = 32  # of the points in buckets
-FINE = 256  # of the points in clusters
+GROUPS = 32  # of the points in buckets; a power of two
+FINE = 256  # of the points in clusters, likewise
 BLOCK = 1024
 BLOCK_SHINGLES = 4_000_000
 LEAF = 16
-_CACHED = 1 << 20
+SMALL = 64  # rows of a bucket that are compared along with others'
+_CACHED = 1 << 18
 _KEY = (1 << 48) - 1
 
 
@@ -101,20 +103,21 @@ class Bands:
 def slab_keys(hashes: np.ndarray, bands: Bands) -> np.ndarray:
     """The buckets of a set, as 48-bit numbers."""
     keys = []
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)))
     for k in bands.at(len(hashes)) if len(hashes) else []:
         count, spare = bands.slabs(k)
         if count:
-            slab = ((hashes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
-            content = np.zeros(count, np.uint64)
-            np.add.at(content, slab, mix(hashes + np.uint64(1)))
-            full = np.bincount(slab, minlength=count) > 0
-            use = np.arange(count) if count - full.sum() > spare else np.flatnonzero(full)
+            slab = (hashes >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)  # ascends as the hashes do
+            cut = np.searchsorted(slab, np.arange(count + 1, dtype=np.uint64))
+            content = sums[cut[1:]] - sums[cut[:-1]]
+            full = np.flatnonzero(np.diff(cut))
+            use = np.arange(count) if count - len(full) > spare else full
             keys.append(mix(content[use] + mix((use + (k << 40)).astype(np.uint64))))
     return (np.concatenate(keys) & np.uint64(_KEY)).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
 def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((mix(hashes) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+    return np.bincount((hashes & np.uint64(groups - 1)).astype(np.int64), minlength=groups).astype(np.int32)
 
 
 def _sets(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
@@ -126,7 +129,7 @@ def _sets(rows: DataFrame, shingle: int, threshold: int) -> DataFrame:
             columns: list[list] = [[], [], [], [], []]
             for text in batch.column(2):
                 hashes = shingle_set(text.as_py(), words, shingle)
-                digest = tuple(int(x) for x in np.array([mix(hashes ^ np.uint64(s)).sum(dtype=np.uint64) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]).view(np.int64))
+                digest = struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
                 if len(seen) >= _CACHED:
                     seen.clear()
                 keys = np.zeros(0, np.int64) if digest in seen else slab_keys(hashes, bands)  # a copy in the same task stands for this one
@@ -239,20 +242,62 @@ def _sides(group: pa.Table) -> list[np.ndarray] | None:
     return None if len(found) == 1 and group.column("left")[0] != group.column("right")[0] else found
 
 
+def _points(table: pa.Table) -> np.ndarray:
+    return table.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
+
+
 def _candidates(rows: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the pairs that may link, from sorted rows (bucket, left, right, side, id, label, point)."""
+    """Edges (a, b) of spanning forests of the pairs that may link, a the smallest of its tree, from sorted rows (bucket, left, right, side, id, label, point)."""
+
+    def edges(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        root = _forest(len(ids), u, v)
+        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        return pa.RecordBatch.from_arrays([pa.array(ids[root[leaf]]), pa.array(ids[leaf])], ["a", "b"])
+
+    def pairs(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of all small groups at once: each row with the next of its group, the one after that, ..."""
+        label, points = table.column("label").to_numpy(), _points(table)
+        sizes, us, vs, d = points.sum(1, dtype=np.int64), [], [], 1
+        at = np.arange(len(group))
+        while len(at := at[at + d < len(group)]) and len(at := at[group[at] == group[at + d]]):
+            u = at[label[at] != label[at + d]]
+            u = u[_enough(points[u], points[u + d], sizes[u] + sizes[u + d], threshold)]
+            us.append(u)
+            vs.append(u + d)
+            d += 1
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(us or none), np.concatenate(vs or none)
+
+    def whole(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Edges of the groups that begin at starts."""
+        sizes = np.diff(np.append(starts, len(table)))
+        left, right = (table.column(k).to_numpy()[starts] for k in ("left", "right"))
+        small = (sizes <= SMALL) & (left == right)
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        inside = small[group]
+        rest = table.filter(pa.array(inside))
+        yield edges(rest.column("id").to_numpy(), *pairs(rest, group[inside]))
+        for at in np.flatnonzero(~small).tolist():
+            one = table.slice(starts[at], sizes[at])
+            if (sides := _sides(one)) is not None:
+                label, points = one.column("label").to_numpy(), _points(one)
+                trees = [BoxTree(points[s], label[s]) for s in sides]
+                u, v = tree_join(trees[0], trees[-1], threshold)
+                yield edges(one.column("id").to_numpy(), sides[0][u], sides[-1][v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
-            if (sides := _sides(group)) is None:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not len(table):
                 continue
-            ids, label = (group.column(k).to_numpy() for k in ("id", "label"))
-            points = group.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-            trees = [BoxTree(points[s], label[s]) for s in sides]
-            u, v = tree_join(trees[0], trees[-1], threshold)
-            root = _forest(len(ids), sides[0][u], sides[-1][v])
-            leaf = np.flatnonzero(root != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[root[leaf]]), pa.array(ids[leaf])], ["a", "b"])
+            columns = [table.column(k).to_numpy() for k in range(3)]
+            starts = np.append(0, np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1)
+            held = table.slice(starts[-1])
+            if len(starts) > 1:
+                yield from whole(table.slice(0, starts[-1]), starts[:-1])
+        if held is not None:
+            yield from whole(held, np.zeros(1, np.int64))
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
@@ -328,11 +373,11 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _filed(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, id, and first and n, the smallest id and the number of rows of the bucket. Copies that different tasks read may file a class twice."""
+    """bucket, id, and first and n, the smallest id and the number of rows of the bucket."""
     copies = sets.select("key", "d1", "d2", "size").join(classes.where("n > 1"), ["d1", "d2", "size"]).where("key != id").select("key", "id")
     filed = sets.select("key", F.explode("buckets").alias("bucket"))
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id")))
+    members = materialise(filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id"))).distinct()
     smallest = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
     return materialise(members.join(smallest, "bucket"))
 
@@ -366,7 +411,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return df.withColumn("label", F.col("id")) if labels is None else df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     met = _blocks(labelled(members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))).join(points.select("id", "point"), "id")
-    met = met.select("bucket", "left", "right", "side", "id", "label", "point").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    met = met.select("bucket", "left", "right", "side", "id", "label", "point").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id")
     near = _candidates(met, threshold)
     near = materialise(near if links is None else near.union(links))
     clusters = components(near).select(F.col("v").alias("id"), F.col("l.v").alias("cluster"))
