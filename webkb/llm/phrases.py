@@ -40,10 +40,10 @@ SCALE = 2_000_000
 MOST = 2000
 SAMPLE = 16  # one document in so many
 SAMPLE_LEAST = 2  # occurrences in the sample that propose a phrase; words take one
-BITS = 27
-CHUNK = 1_500_000
-SLICE = 150_000  # words that are hashed at once
-KNOWN = 600_000  # distinct words a task knows before it starts anew
+BITS = 26
+CHUNK = 750_000
+SLICE = 100_000  # words that are hashed at once
+KNOWN = 200_000  # distinct words a task knows before it starts anew
 UNKNOWN = "und"
 _STOP = b"."  # a separator, so never a word
 _TABLE = bytes(46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
