@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import ratelimit as L
+from ..streaming import urlqueue as U
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -69,6 +70,58 @@ def z4(spark: SparkSession, d: str) -> DataFrame:
     return L.queue_states(table(spark, d, "events").select(F.col("user_id").alias("url"), F.col("event_id").alias("seq"), e.alias("event"), (F.col("event_id") % 5).alias("depth")))
 
 
+_QUEUE = """WITH RECURSIVE
+    e AS (
+        SELECT user_id AS queue, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no,
+               CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'view' THEN 'get' ELSE CASE WHEN event_id % 11 = 0 THEN 'requeue' ELSE 'put' END END AS event,
+               'u' || event_id % 23 AS url, [0, 10, 50, 80][event_id % 4 + 1] AS priority, event_id % 13 AS depth, 'p' || event_id % 5 AS parent
+        FROM events
+    ),
+    g AS (
+        SELECT DISTINCT queue, 0::BIGINT AS no, NULL::BIGINT AS seq, NULL::VARCHAR AS event, NULL::STRUCT(p INTEGER, n BIGINT, u VARCHAR, d BIGINT, f VARCHAR, t BIGINT) AS got, NULL::VARCHAR AS url, false AS done,
+               []::STRUCT(p INTEGER, n BIGINT, u VARCHAR, d BIGINT, f VARCHAR, t BIGINT)[] AS heap, []::VARCHAR[] AS seen, []::VARCHAR[] AS completed, []::VARCHAR[] AS failed
+        FROM e
+        UNION ALL
+        SELECT queue, no, seq, event, CASE event WHEN 'get' THEN top ELSE new END, CASE event WHEN 'get' THEN top.u ELSE url END,
+               CASE event WHEN 'get' THEN top IS NOT NULL WHEN 'put' THEN fresh WHEN 'fail' THEN failures <= 3 ELSE true END,
+               CASE WHEN event = 'get' THEN list_filter(live, lambda x: x.n IS DISTINCT FROM top.n) WHEN event = 'put' AND fresh OR event = 'requeue' OR event = 'fail' AND failures <= 3 THEN list_append(live, new) ELSE live END,
+               CASE WHEN event <> 'get' AND (event <> 'put' OR fresh) THEN list_append(seen, url) ELSE seen END,
+               CASE WHEN event = 'complete' THEN list_append(completed, url) ELSE completed END,
+               CASE WHEN event = 'fail' THEN list_append(failed, url) ELSE failed END
+        FROM (
+            SELECT *, list_sort(live)[1] AS top,
+                   CASE event WHEN 'put' THEN {'p': priority, 'n': no, 'u': url, 'd': depth, 'f': parent, 't': failures}
+                     WHEN 'requeue' THEN {'p': priority, 'n': no, 'u': url, 'd': 0, 'f': NULL, 't': 0}
+                     WHEN 'fail' THEN CASE WHEN failures <= 3 THEN {'p': 100, 'n': no, 'u': url, 'd': 0, 'f': NULL, 't': failures} ELSE {'p': NULL, 'n': no, 'u': url, 'd': NULL, 'f': NULL, 't': failures} END
+                     ELSE {'p': NULL, 'n': no, 'u': url, 'd': NULL, 'f': NULL, 't': failures} END AS new
+            FROM (
+                SELECT e.*, g.seen, g.completed, g.failed, list_filter(g.heap, lambda x: NOT list_contains(g.completed, x.u)) AS live,
+                       e.depth <= 10 AND NOT list_contains(g.seen, e.url) AS fresh,
+                       len(list_filter(g.failed, lambda x: x = e.url)) + CASE WHEN e.event = 'fail' THEN 1 ELSE 0 END AS failures
+                FROM g JOIN e ON e.queue = g.queue AND e.no = g.no + 1
+            )
+        )
+    )
+    SELECT CAST(queue AS VARCHAR) AS queue, seq, event, url, done, CAST(got.p AS INTEGER) AS priority, CAST(got.d AS INTEGER) AS depth, got.f AS parent, CAST(got.t AS INTEGER) AS tries
+    FROM g WHERE seq IS NOT NULL"""
+
+
+def queue_events(events: DataFrame) -> DataFrame:
+    """The event table read as the log of one queue of urls for each user."""
+    id_ = F.col("event_id")
+    kind = F.when(F.col("event_type") == "error", "fail").when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "view", "get").when(id_ % 11 == 0, "requeue").otherwise("put")
+    priority = F.element_at(F.array(*[F.lit(x) for x in (0, 10, 50, 80)]), (id_ % 4 + 1).cast("int"))
+    return events.select(
+        F.col("user_id").alias("queue"), id_.alias("seq"), id_.alias("ts"), kind.alias("event"), F.concat(F.lit("u"), id_ % 23).alias("url"),
+        priority.alias("priority"), (id_ % 13).alias("depth"), F.concat(F.lit("p"), id_ % 5).alias("parent"),
+    )
+
+
+@query("z4_queue_log", _QUEUE)
+def z4_log(spark: SparkSession, d: str) -> DataFrame:
+    return U.replay_queue(queue_events(table(spark, d, "events")))
+
+
 @query("z6_visit_counts", "SELECT user_id AS norm_url, count(*) AS visits FROM events GROUP BY user_id")
 def z6(spark: SparkSession, d: str) -> DataFrame:
     return L.visit_counts(table(spark, d, "events").withColumnRenamed("user_id", "norm_url"))
