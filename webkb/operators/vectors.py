@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.udf import arrow_udf
 
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096  # vectors compared at once
+PIVOTS = 512  # cells of a similarity join at most
+_SLACK = 1e-6  # of angles and scores, for rounding
 _WORDS = re.compile(r"\w+")
 
 
@@ -153,6 +155,94 @@ def probe(queries: DataFrame, listed: DataFrame, centers: np.ndarray, k: int = 1
     return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
 
+def _units(found) -> np.ndarray:
+    m = np.stack([np.asarray(v, float) for v in found]) if len(found) else np.zeros((0, 0))
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
+
+
+def _angles(units: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ _units(centers).T, -1, 1))
+
+
+def measured(listed: DataFrame, centers: np.ndarray) -> DataFrame:
+    """listed with angle, each vector's own to its list's center."""
+
+    @F.pandas_udf("double")
+    def angle(vectors: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series(np.arccos(np.clip((_units(vectors) * _units(centers)[lists.to_numpy()]).sum(1), -1, 1)))
+
+    return listed.withColumn("angle", angle("vector", "cluster"))
+
+
+def probe_exact(queries: DataFrame, listed: DataFrame, centers: np.ndarray, k: int = 10, first: int = 4) -> DataFrame:
+    """(query_id, vec_id, score, rank): the exact k best, reading the lists that may hold one.
+
+    A list whose center is at an angle t from the query and whose widest member at r from the center holds nothing of a cosine above cos(t - r).
+    The `first` nearest lists (more, if they hold fewer than k vectors) give a threshold; of the others, those whose bound reaches it
+    are read too, and of a list only members whose own angle to the center allows it. Lists and queries meet in parts of VECTOR_BLOCK and
+    QUERY_BLOCK, each query's k best leave a task.
+    """
+    from ..sources.shared import materialise
+
+    spark = queries.sparkSession
+    if not len(centers):
+        return top_k(queries, listed, k)
+    kept = materialise(measured(listed, centers).select("vec_id", F.col("vector").cast("array<double>").alias("vector"), "cluster", "angle"))
+    sizes = kept.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # one row for each list
+    radius, count = np.full(len(centers), -1.0), np.zeros(len(centers), np.int64)
+    for r in sizes:
+        radius[r["cluster"]], count[r["cluster"]] = r["radius"], r["n"]
+    shares = 1 + queries.count() // QUERY_BLOCK
+    parts = spark.createDataFrame([(c, int(1 + n // VECTOR_BLOCK)) for c, n in enumerate(count.tolist())], "cluster int, parts int")  # one row for each list
+    kinds = queries.schema["query_id"].dataType.simpleString(), listed.schema["vec_id"].dataType.simpleString()
+    members = kept.join(F.broadcast(parts), "cluster").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    members = members.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+    @F.pandas_udf("array<int>")
+    def lists(vectors: pd.Series, least: pd.Series) -> pd.Series:
+        """Without a threshold the nearest lists, else the others that may reach it."""
+        angles, out = _angles(_units(vectors), centers), []
+        for a, t in zip(angles, least):
+            order = np.argsort(np.where(count > 0, a, np.inf), kind="stable")
+            enough = max(first, 1 + int(np.searchsorted(np.cumsum(count[order]), k)))
+            near = order[:enough]
+            if t is None or np.isnan(t):
+                out.append(near[count[near] > 0].astype(np.int32))
+            else:
+                may = (np.cos(np.maximum(0, a - radius - _SLACK)) >= t - _SLACK) & (count > 0)
+                may[near] = False
+                out.append(np.flatnonzero(may).astype(np.int32))
+        return pd.Series(out)
+
+    def scan(asked: DataFrame) -> DataFrame:
+        """The k best of each (query_id, qv, least) in its lists `cluster`."""
+        dealt = asked.join(F.broadcast(parts), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(shares)).cast("int"))
+
+        def meet(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+            if not len(qs) or not len(vs):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            a, b, ids = _units(qs["qv"]), _units(vs["vector"]), vs["vec_id"].to_numpy()
+            least = qs["least"].fillna(-2.0).to_numpy()
+            gap = np.abs(_angles(a, centers[[int(vs["cluster"].iloc[0])]]) - vs["angle"].to_numpy())
+            s = np.where(np.cos(gap) >= least[:, None] - 2 * _SLACK, np.round(a @ b.T, 6) + 0.0, -np.inf)
+            order = np.lexsort((np.broadcast_to(ids, s.shape), -s))[:, :k]
+            out = pd.DataFrame({"query_id": qs["query_id"].to_numpy()[np.repeat(np.arange(len(qs)), order.shape[1])], "vec_id": ids[order.ravel()], "score": np.take_along_axis(s, order, 1).ravel()})
+            return out[np.isfinite(out["score"])]
+
+        keys = ["cluster", "part", "share"]
+        hits = dealt.select(*keys, "query_id", "qv", "least").groupBy(*keys).cogroup(members.select(F.col("cluster").alias("c"), F.col("part").alias("p"), F.col("share").alias("s"), "vec_id", "vector", "angle", "cluster").groupBy("c", "p", "s"))
+        hits = hits.applyInPandas(meet, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("qv"), F.lit(None).cast("double").alias("least"))
+    near = materialise(scan(asked.withColumn("cluster", F.explode(lists("qv", "least")))))
+    least = near.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(-2.0).alias("least"))
+    more = asked.drop("least").join(least, "query_id").withColumn("cluster", F.explode(lists("qv", "least")))
+    both = near.drop("rank").unionByName(scan(more).drop("rank"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+
+
 def cluster_texts(vectors: DataFrame, clusters: int, seed: int = 42) -> DataFrame:
     """(vec_id, label); with fewer vectors than clusters each is its own."""
     from pyspark.ml.clustering import KMeans
@@ -189,36 +279,74 @@ def hash_embedding(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def lru_trace(accesses: DataFrame, key: str, at: str, most: int) -> DataFrame:
-    """The keys a least-recently-used store of `most` entries holds after all accesses."""
-    last = accesses.groupBy(key).agg(F.max(at).alias("last_access"))
-    return last.orderBy(F.desc("last_access"), key).limit(most)
+def cells(vectors: DataFrame, pivots: int) -> tuple[DataFrame, np.ndarray]:
+    """(vectors (vec_id, unit) with the cell of their nearest pivot and their angle to it, pivots): pivots are the first vectors by hash."""
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("unit").collect()
+    table = np.array([r["unit"] for r in chosen], float)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                s = np.clip(np.stack([np.asarray(u, float) for u in batch["unit"]]) @ table.T, -1, 1)
+                yield batch.assign(cell=s.argmax(1).astype(np.int32), angle=np.arccos(s.max(1)))
+
+    kind = vectors.schema["vec_id"].dataType.simpleString()
+    return vectors.select("vec_id", "unit").mapInPandas(place, f"vec_id {kind}, unit array<double>, cell int, angle double"), table
+
+
+def cell_pairs(radii: np.ndarray, pivots: np.ndarray, widest: float) -> np.ndarray:
+    """Rows (i, j), i <= j, of the cells that may hold vectors within an angle of each other, by the triangle inequality; empty cells have radius -1."""
+    gap = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) - radii[:, None] - radii[None, :]
+    near = (gap <= widest + _SLACK) & (radii >= 0)[:, None] & (radii >= 0)[None, :]
+    return np.argwhere(np.triu(near))
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024) -> DataFrame:
-    """(a, b, score) with a < b and cosine of `least` or more, exactly: every block of about `rows` vectors meets every other
-    in one matrix product, of which only the pairs found leave the task. Equal vectors belong together beforehand (see deduplicate)."""
-    n = 1 + vectors.count() // rows
-    v = vectors.select("vec_id", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block")).repartition(n, "block")
-    v = v.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("vector").alias("vectors"))
+    """(a, b, score) with a < b and cosine of `least` or more, exactly. Equal vectors belong together beforehand (see deduplicate).
 
-    def unit(found) -> np.ndarray:
-        m = np.array([np.asarray(x, float) for x in found], float)
-        size = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
+    Vectors stand in the cells of their nearest pivots; cells meet only if their pivots' angle, less both radii, is within the
+    threshold's, and in a meeting only the members that are within it of the other cell's pivot and radius. Cells are
+    dealt in blocks of about `rows`, so that a crowded one is many tasks. A pair of blocks is one matrix product, of which only the pairs found leave the task.
+    A threshold that random vectors reach prunes nothing: then all cells meet, as they must. A zero vector has a cosine of 0 with any other.
+    """
+    from ..sources.shared import materialise
+
+    spark = vectors.sparkSession
+    unit = F.transform(F.array(F.greatest(norm(F.col("vector")), F.lit(1e-300))), lambda n: F.transform("vector", lambda x: x.cast("double") / n))[0]
+    whole = vectors.select("vec_id", unit.alias("unit"))
+    count = whole.count()
+    placed, pivots = cells(whole, max(1, min(PIVOTS, count // rows)))
+    placed = materialise(placed)
+    found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot
+    radii = np.full(len(pivots), -1.0)
+    for r in found:
+        radii[r["cell"]] = r["radius"]
+    widest = float(np.arccos(np.clip(least - _SLACK, -1, 1)))
+    near = spark.createDataFrame(pd.DataFrame(cell_pairs(radii, pivots, widest) if count else np.zeros((0, 2)), columns=["i", "j"]).astype("int32"), "i int, j int")  # at most PIVOTS squared
+    sizes = spark.createDataFrame([(r["cell"], int(1 + r["n"] // rows)) for r in found], "cell int, parts int")
+    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    blocks = materialise(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "unit")).alias("held")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for p, q, ids_p, ids_q, vp, vq in batch[["p", "q", "ids_p", "ids_q", "vp", "vq"]].itertuples(index=False):
-                s = np.round(unit(vp) @ unit(vq).T, 6) + 0.0
-                i, j = np.nonzero(s >= least)
-                a, b = np.asarray(ids_p)[i], np.asarray(ids_q)[j]
-                once = a < b if p == q else np.ones(len(a), bool)
-                yield pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": s[i, j][once]})
-
-    left, right = (v.select(F.col("block").alias(x), F.col("ids").alias(f"ids_{x}"), F.col("vectors").alias(f"v{x}")) for x in "pq")
-    # all against all, block by block
-    return left.crossJoin(right).where("p <= q").mapInPandas(run, "a long, b long, score double")
+            for i, j, same, left, right in batch[["i", "j", "same", "left", "right"]].itertuples(index=False):
+                sides = []
+                for held, other in ((left, j), (right, i)):
+                    ids, m = np.array([h["vec_id"] for h in held]), np.array([h["unit"] for h in held], float)
+                    if i != j:
+                        inside = np.arccos(np.clip(m @ pivots[other], -1, 1)) <= radii[other] + widest + _SLACK
+                        ids, m = ids[inside], m[inside]
+                    sides.append((ids, m))
+                (ids_p, p), (ids_q, q) = sides
+                s = np.round(p @ q.T, 6) + 0.0
+                x, y = np.nonzero(s >= least)
+                a, b = ids_p[x], ids_q[y]
+                once = a < b if same else np.ones(len(a), bool)
+                yield pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": s[x, y][once]})
+
+    left, right = (blocks.select(F.col("cell").alias(c), F.col("part").alias(f"part_{c}"), F.col("held").alias(name)) for c, name in (("i", "left"), ("j", "right")))
+    met = near.join(left, "i").join(right, "j").where("i < j OR part_i <= part_j").withColumn("same", F.expr("i = j AND part_i = part_j"))
+    return met.select("i", "j", "same", "left", "right").repartition(F.col("i"), F.col("j"), F.xxhash64("left.vec_id", "right.vec_id")).mapInPandas(run, "a long, b long, score double")
 
 
 def deduplicate(vectors: DataFrame, least: float = 0.95) -> DataFrame:
@@ -267,22 +395,15 @@ def newest(index: DataFrame, most: int = 50_000) -> DataFrame:
     return index.orderBy(F.desc("vec_id")).limit(most)
 
 
-def evicted(accesses: DataFrame, key: str, at: str, most: int, batch: int = 5000) -> DataFrame:
-    """The keys a full store of `most` gives up for the next one: the least recently used, `batch` or all of them."""
-    held = lru_trace(accesses, key, at, most)
-    full = held.agg((F.count(F.lit(1)) >= most).alias("full"))  # one row
-    return held.crossJoin(full).where("full").drop("full").orderBy("last_access", key).limit(min(batch, most))
-
-
 def wants_lists(count: int, clusters: int = 100, least: int = 1000) -> int:
     """How many clusters an index of `count` vectors gets: none below `least`, at most a tenth of the vectors."""
     return min(clusters, count // 10) if count >= least else 0
 
 
-def indexed_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, clusters: int = 100, share: float = 0.8) -> DataFrame:
-    """top_k() exactly for an index too small for lists (see wants_lists()), else by probing this share of them."""
+def indexed_top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, clusters: int = 100) -> DataFrame:
+    """top_k(), through lists where the index is large enough for them (see wants_lists()); exact either way."""
     wanted = wants_lists(vectors.count(), clusters)
     if not wanted:
         return top_k(queries, vectors, k)
     listed, centers = build_lists(vectors.select("vec_id", "vector"), wanted)
-    return probe(queries, listed, centers, k, max(1, round(share * wanted)))
+    return probe_exact(queries, listed, centers, k)
