@@ -10,7 +10,8 @@ have more empty slabs than that, and then empty slabs count too. A slab's conten
 the lower end of its band also stands in the band below. Nothing is capped: hot buckets are counted and joined, never gathered.
 
 Below a bucket stands a box tree over its points. It is joined with itself, and boxes that can't share enough are left aside. What a bucket
-finds is kept as a spanning forest, never as pairs, and the forests' components are clusters: every pair that links is inside one. A cluster's
+finds is kept as a spanning forest, never as pairs, and the forests' components are clusters: every pair that links is inside one. A sixteenth of
+the buckets comes first; of the others only those are looked at that the clusters so far leave divided. A cluster's
 sets come together once, in a task of its own, where a tree over finer points picks pairs of different components and whole sets
 decide them. Buckets and clusters of more than a block are compared by pairs of blocks; buckets of that size first check each set against
 the bucket's smallest one, so that a bucket in one component needs no more.
@@ -39,9 +40,10 @@ SHINGLE = 4
 THRESHOLD = 85
 GROUPS = 32  # of the points in buckets; a power of two
 FINE = 256  # of the points in clusters, likewise
-BLOCK = 1024
+BLOCK = 2048
 BLOCK_SHINGLES = 4_000_000
 LEAF = 16
+EARLY = 16  # one bucket in so many is looked at first
 SMALL = 64  # rows of a bucket that are compared along with others'
 _CACHED = 1 << 18
 _KEY = (1 << 48) - 1
@@ -247,11 +249,11 @@ def _points(table: pa.Table) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, threshold: int) -> DataFrame:
-    """Edges (a, b) of spanning forests of the pairs that may link, a the smallest of its tree, from sorted rows (bucket, left, right, side, id, label, point)."""
+    """Edges (a, b) between labels, of spanning forests of the pairs that may link, from sorted rows (bucket, left, right, side, id, label, point)."""
 
     def edges(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         root = _forest(len(ids), u, v)
-        leaf = np.flatnonzero(root != np.arange(len(ids)))
+        leaf = np.flatnonzero(ids[root] != ids)
         return pa.RecordBatch.from_arrays([pa.array(ids[root[leaf]]), pa.array(ids[leaf])], ["a", "b"])
 
     def pairs(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,14 +278,14 @@ def _candidates(rows: DataFrame, threshold: int) -> DataFrame:
         group = np.repeat(np.arange(len(sizes)), sizes)
         inside = small[group]
         rest = table.filter(pa.array(inside))
-        yield edges(rest.column("id").to_numpy(), *pairs(rest, group[inside]))
+        yield edges(rest.column("label").to_numpy(), *pairs(rest, group[inside]))
         for at in np.flatnonzero(~small).tolist():
             one = table.slice(starts[at], sizes[at])
             if (sides := _sides(one)) is not None:
                 label, points = one.column("label").to_numpy(), _points(one)
                 trees = [BoxTree(points[s], label[s]) for s in sides]
                 u, v = tree_join(trees[0], trees[-1], threshold)
-                yield edges(one.column("id").to_numpy(), sides[0][u], sides[-1][v])
+                yield edges(one.column("label").to_numpy(), sides[0][u], sides[-1][v])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -410,14 +412,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def labelled(df: DataFrame) -> DataFrame:
         return df.withColumn("label", F.col("id")) if labels is None else df.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-    met = _blocks(labelled(members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))).join(points.select("id", "point"), "id")
-    met = met.select("bucket", "left", "right", "side", "id", "label", "point").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right", "id")
-    near = _candidates(met, threshold)
+    def forests(members: DataFrame) -> DataFrame:
+        """Edges between the components of members (bucket, id, n, label) that their buckets connect."""
+        met = _blocks(members.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))).join(points.select("id", "point"), "id")
+        met = met.select("bucket", "left", "right", "side", "id", "label", "point").repartition("bucket", "left", "right")
+        return _candidates(met.sortWithinPartitions("bucket", "left", "right", "label", "id"), threshold)
+
+    members = labelled(members)
+    early = F.pmod("bucket", F.lit(EARLY)) == 0
+    near = forests(members.where(early))
     near = materialise(near if links is None else near.union(links))
-    clusters = components(near).select(F.col("v").alias("id"), F.col("l.v").alias("cluster"))
+    groups = materialise(components(near).select(F.col("v").alias("id"), F.col("l.v").alias("group")))
+    late = members.where(~early).drop("label").join(groups, "id", "left").withColumn("label", F.coalesce("group", "id"))
+    late = materialise(late.select("bucket", "id", "n", "label"))
+    mixed = late.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    more = materialise(forests(late.join(mixed, "bucket", "left_semi")))
+    joined = components(more).select(F.col("v").alias("group"), F.col("l.v").alias("cluster"))
+    ends = more.select(F.col("a").alias("id")).union(more.select("b")).distinct()
+    inside = groups.join(ends, "id", "full").select("id", F.coalesce("group", "id").alias("group"))
+    clusters = inside.join(joined, "group", "left").select("id", F.coalesce("cluster", "group").alias("cluster"))
     clusters = materialise(labelled(clusters.join(points.select("id", "size"), "id")))
     total = clusters.groupBy("cluster").agg(F.sum("size").alias("shingles"), F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
-    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("n") / (2 * block))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.ceil(F.col("n") / block)).cast("int")
     open_ones = materialise(clusters.join(total.select("cluster", blocks.alias("blocks")), "cluster").select("cluster", "blocks", "id", "label"))
     hashed = materialise(_hashed(rows, open_ones.select(F.col("id").alias("key")), shingle))
     met = _blocks(open_ones).join(hashed, "id").select("cluster", "left", "right", "side", "id", "label", "hashes")
