@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import executor as E
 from ..operators import fulltext as T
 from ..operators import questions as Q
 from ..operators import search as S
 from ..operators import vectors as V
-from ..functions.text import tokens
+from ..functions.text import fixed_chunks, tokens
 from ..sources.derived import derived, folder
 from ..sources.tables import table
+from .relational import _CONV, _entries
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -352,3 +354,47 @@ def v9(spark: SparkSession, d: str) -> DataFrame:
     """Without lists below 1000 vectors, through lists above; exact either way."""
     all_, queries = _vectors(spark, d)
     return V.indexed_top_k(queries, all_)
+
+
+_TWO_WORDS = _PLACES + """clause AS (SELECT DISTINCT query_id, unnest([q[1], q[2]]) AS unit FROM qw),
+    occ AS (SELECT unit, id, count(*) AS tf FROM (SELECT DISTINCT unit FROM clause) JOIN tok ON w = unit GROUP BY 1, 2),
+    needed AS (SELECT query_id, count(*) AS needed FROM clause GROUP BY 1),
+    fits AS (SELECT query_id, id FROM clause JOIN occ USING (unit) JOIN needed USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(needed)),
+    asked AS (SELECT * FROM clause)""" + _BY_UNIT
+
+
+@query("r9_search_pages", f"""SELECT query_id, id, source, CAST(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS INTEGER) AS words, rank
+    FROM ({_TWO_WORDS}) JOIN documents ON doc_id = id WHERE rank <= 10""")
+def r9_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the first two words of each passage, with their source and length."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.size(tokens(F.col("text"))).alias("words"))
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(tokens(F.col("text")), 1, 2), " ").alias("query"))
+    return E.search_pages(_index(spark, d, *_FIELDS), asked, docs).select("query_id", "id", "source", "words", "rank")
+
+
+@query("r9_page_context", """SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY i)) AS context_md5 FROM (
+    SELECT doc_id, i, substr(text, CAST(i * 900 + 1 AS BIGINT), 1000) AS text
+    FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil((length(text) - 100) / 900.0) AS BIGINT)))) AS i FROM documents WHERE trim(text) <> '')) GROUP BY doc_id""")
+def r9_context(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "documents").select("doc_id", F.inline(fixed_chunks(F.col("text"))))
+    return E.page_context(chunks, "doc_id").select("doc_id", F.md5("context").alias("context_md5"))
+
+
+_LAST = ", lastq AS (SELECT session, arg_max(text, position) AS text FROM e WHERE role = 'user' GROUP BY session), "
+
+
+@query("r9_follow_up", _CONV + _LAST + _BM25.replace("WITH t AS", "t AS").replace("item_id AS query_id", "session AS query_id").replace("FROM benchmark", "FROM lastq") + """,
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 3),
+    found AS (SELECT query_id, string_agg('[' || source || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS found FROM top JOIN documents ON doc_id = id GROUP BY 1),
+    h AS (SELECT session, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY position) AS history
+      FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY position DESC) AS b FROM e WHERE role IN ('user', 'assistant')) WHERE b <= 6 GROUP BY session)
+    SELECT session, md5('Previous conversation:' || chr(10) || coalesce(history, '') || chr(10) || chr(10) || 'New context:' || chr(10) || found) AS context_md5
+    FROM found LEFT JOIN h ON session = query_id""")
+def r9_follow_up(spark: SparkSession, d: str) -> DataFrame:
+    """The last question of each conversation, with three turns of history and the three best documents."""
+    entries = _entries(spark, d)
+    last = entries.where("role = 'user'").groupBy("session").agg(F.max_by("content", "position").alias("query")).withColumnRenamed("session", "query_id")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    ranked = T.top_k(_index(spark, d, "text"), last, 3).withColumnRenamed("rank", "final_rank").join(docs, "id")
+    asked = last.select("query_id", F.col("query_id").alias("session"))
+    return E.follow_up_context(asked, entries, ranked, "source", "text").select("session", F.md5("context").alias("context_md5"))
