@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -361,6 +362,19 @@ def test_html_tree():
     assert not html_text.classify(tree, rows(1, 1, 0, 0, 1)).any() and not html_text.classify(tree, rows(0, 0, 0, 0, 1)).any()
 
 
+@pytest.mark.parametrize("broken", ["<a ", "<!--", "<![CDATA[", "</", "<!", "<?", "<p <", "<a b='"])
+def test_html_broken(broken):
+    """Openings without an end, many of them: text before them stays, the time is in proportion."""
+    tree = html_text.grow(*html_text.labelled())
+    text = "A paragraph of the article that stands before what is broken and has some words. " * 3
+    page = f"<html><body><article><p>{text}</p>{broken * 100_000}"
+    began = time.perf_counter()
+    assert html_text.main_text(page, tree).startswith(" ".join(text.split()))
+    html_text.main_text(broken * 100_000 + "x>", tree)
+    assert time.perf_counter() - began < 4
+    assert html_text.closed("<p>a < b <i>c</i><!-- d --><b") == "<p>a < b <i>c</i><!-- d --><b"
+
+
 def test_html_time():
     """Unclosed and stray tags cost time in proportion."""
     import time

@@ -118,6 +118,22 @@ class _Open:
     items: tuple = ()
 
 
+#: Openings of markup and what closes it; how many that nothing closes are left for the parser, which looks for each one's end.
+_OPENINGS = (("<!--", "-->"), ("<![", "]>"), ("<", ">"))
+_UNCLOSED = 16
+
+
+def closed(html: str) -> str:
+    """html without the surplus of openings that nothing after them closes, so that a broken page takes time in proportion to its length."""
+    for opening, closing in _OPENINGS:
+        at = html.rfind(closing) + 1
+        while at < len(html) and html.count(opening, at) > _UNCLOSED:
+            for _ in range(_UNCLOSED):
+                at = html.index(opening, at) + len(opening)
+            html = html[:at] + html[at:].replace(opening, "")
+    return html
+
+
 class _Blocks(HTMLParser):
     """Flat blocks of a page in page order."""
 
@@ -201,7 +217,7 @@ class _Blocks(HTMLParser):
             self.block.link_parts.append(data)
 
     def run(self, html: str) -> list[Block]:
-        self.feed(html)
+        self.feed(closed(html))
         self.close()
         self._cut()
         return self.blocks
