@@ -54,7 +54,6 @@ def texts(seed, docs=150):
 def test_mine(spark, monkeypatch, seed, least, sample, chunk):
     monkeypatch.setattr(phrases, "CHUNK", chunk)
     monkeypatch.setattr(phrases, "SLICE", min(chunk, phrases.SLICE))
-    monkeypatch.setattr(phrases, "KNOWN", 30 if chunk == 50 else phrases.KNOWN)
     rows = texts(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
     want = brute([x[1:] for x in rows], least)

@@ -13,16 +13,15 @@ of CHUNK occurrences before Spark sums them; phrases travel as two 64-bit keys (
 texts of frequent ones are joined from their parts at the end. Ranks per language come from a window with a limit, which keeps the first rows
 of each task before they are shuffled.
 
-Keys are 64-bit hashes: two different phrases of which one is frequent are mixed up with a chance of 1 in 2^64 a pair. Null texts count as
+Keys are 64-bit hashes: two different phrases of which one is frequent are mixed up with a chance of about 1 in 2^64 a pair, unless their words
+are thousands of bytes long and made to collide. Null texts count as
 empty, a null language as `und`; ids only deal rows to the sample, so repeated or missing ones do no harm. A text without words gives
-nothing, an empty table no rows. Very long texts are cut into nothing. Extra columns are left alone, whatever their names.
+nothing, an empty table no rows. Very long texts are taken in parts cut at separators. Extra columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .jaccard import Words, mix
+from .jaccard import mix
 
 LONGEST = 4
 LEAST = 30
@@ -42,8 +41,7 @@ SAMPLE = 16  # one document in so many
 SAMPLE_LEAST = 2  # occurrences in the sample that propose a phrase; words take one
 BITS = 26
 CHUNK = 750_000
-SLICE = 100_000  # words that are hashed at once
-KNOWN = 200_000  # distinct words a task knows before it starts anew
+SLICE = 1_000_000  # bytes that are taken at once
 UNKNOWN = "und"
 _STOP = b"."  # a separator, so never a word
 _TABLE = bytes(46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
@@ -51,23 +49,38 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "k byte, prefix long, last long, lang string, word string, f long"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-cased words, with a stop between pieces."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE).replace(_STOP, b" . ").split()
+_BASE = np.uint64(0xD6E8FEB86659FD93)  # odd, so its powers have inverses
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-class Numbers(dict):
-    """Words by numbers in the order they came; their hashes and themselves by number. The stop is 0 and has hash 0."""
+class Powers:
+    """Powers of _BASE and of its inverse, as many as were asked for."""
 
     def __init__(self):
-        super().__init__({_STOP: 0})
-        self.hashes, self.words = array("Q", [0]), [_STOP]
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.hashes.append(xxhash.xxh64_intdigest(word))
-        self.words.append(word)
-        return number
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+            self.up, self.down = (np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(n, x, np.uint64)))) for x in (_BASE, inverse))
+        return self.up, self.down
+
+
+def cleaned(text: str | None) -> bytes:
+    """Lower-cased bytes with every separator a stop, and a stop at the end."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().translate(_TABLE) + _STOP
+
+
+def words_of(data: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, pieces and hashes of the words of cleaned bytes. A word's hash is the polynomial of its bytes' values, from running sums."""
+    values = np.frombuffer(data, np.uint8)
+    stop = values == _STOP[0]
+    inside = np.concatenate(([False], (values != 32) & ~stop, [False]))
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers.upto(len(values))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[values] * up[: len(values)], dtype=np.uint64)))
+    return starts, ends, np.cumsum(stop)[starts], mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_keys(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -120,9 +133,9 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int8(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         names = [x.split()[0] for x in _ROW.split(", ")]
-        known = Numbers()
+        powers = Powers()
         filters = [Bits(x.value) if x is not None else None for x in (now, before)]
-        singles: dict[str, list[np.ndarray]] = {}
+        singles: list[tuple[np.ndarray, np.ndarray, list[bytes], list[str]]] = []
         held: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(longest + 1)]
 
         def phrases() -> Iterator[pa.RecordBatch]:
@@ -137,59 +150,68 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, k, np.int8)), pa.array(p[part].view(np.int64)), pa.array(w[part].view(np.int64)), none, none, pa.array(n[part])], names)
 
         def uses() -> Iterator[pa.RecordBatch]:
-            for lang, numbers in singles.items():
-                counts = np.bincount(np.concatenate(numbers))
-                counts[0] = 0
-                found = np.flatnonzero(counts)
-                for at in range(0, len(found), 1 << 16):
-                    part = found[at : at + (1 << 16)]
-                    zero = pa.array(np.zeros(len(part), np.int64))
-                    word = pa.array([known.words[x] for x in part.tolist()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), zero, zero, pa.array([lang] * len(part)), word, pa.array(counts[part])], names)
+            if not singles:
+                return
+            _, first, place = np.unique(np.concatenate([x[0] for x in singles]), return_index=True, return_inverse=True)
+            counts = np.bincount(place, np.concatenate([x[1] for x in singles]), len(first)).astype(np.int64)
+            texts, langs = ([y for x in singles for y in x[i]] for i in (2, 3))
             singles.clear()
-
-        def add(docs: list[tuple[str, list[bytes]]]) -> int:
-            lengths = np.array([len(d) for _, d in docs])
-            numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(d for _, d in docs)), np.int64, lengths.sum())
-            if words:
-                for (lang, _), own in zip(docs, np.split(numbers, np.cumsum(lengths)[:-1])):
-                    singles.setdefault(lang, []).append(own)
-            seeds = np.repeat(np.array([_seed(lang) for lang, _ in docs], np.uint64), lengths)
-            one = word_keys(np.frombuffer(known.hashes.tobytes(), np.uint64)[numbers], seeds)
-            live, key, many = numbers > 0, one, 0
+            for at in range(0, len(first), 1 << 16):
+                part = first[at : at + (1 << 16)].tolist()
+                zero = pa.array(np.zeros(len(part), np.int64))
+                word = pa.array([texts[x] for x in part], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), zero, zero, pa.array([langs[x] for x in part], pa.string()), word, pa.array(counts[at : at + (1 << 16)])], names)
+
+        def add(docs: list[tuple[str, bytes]]) -> tuple[int, int]:
+            """Take in a few documents; how many phrases and words they gave."""
+            data = b"".join(d for _, d in docs)
+            starts, ends, piece, hashes = words_of(data, powers)
+            owner = np.searchsorted(np.cumsum([len(d) for _, d in docs]), starts, "right")
+            one = word_keys(hashes, np.array([_seed(lang) for lang, _ in docs], np.uint64)[owner])
+            if words and len(one):
+                keys, at, n = np.unique(one, return_index=True, return_counts=True)
+                singles.append((keys, n, [data[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist())], [docs[o][0] for o in owner[at].tolist()]))
+            key, many = one, 0
             for k in range(2, longest + 1):
-                # key[i] and live[i] are of the k - 1 words from i
-                inside = live if filters[0] is None else live & filters[0].has(key)
-                use = inside[:-1] & inside[1:]
-                if filters[1] is not None:
-                    old = inside & filters[1].has(key)
-                    use &= ~(old[:-1] & old[1:])
+                # key[i] is of the k - 1 words from i
+                use = piece[: max(0, len(one) - k + 1)] == piece[k - 1 :]
+                if filters[0] is not None:
+                    inside = filters[0].has(key)
+                    use &= inside[:-1] & inside[1:]
+                    if filters[1] is not None:
+                        old = inside & filters[1].has(key)
+                        use &= ~(old[:-1] & old[1:])
                 prefix, last = key[:-1], one[k - 1 :]
-                longer = longer_keys(prefix, last)
-                for store, values in zip(held[k], (longer, prefix, last)):
+                key = longer_keys(prefix, last)
+                for store, values in zip(held[k], (key, prefix, last)):
                     store.append(values[use])
                 many += int(use.sum())
-                key, live = longer, live[:-1] & live[1:]
-            return many
-
-        size = counted = chars = 0
-        docs: list[tuple[str, list[bytes]]] = []
+            return many, len(one)
+
+        def parts(text: str | None) -> Iterator[bytes]:
+            """A text's cleaned bytes, long ones cut after stops."""
+            data = cleaned(text)
+            while len(data) > SLICE and (cut := data.find(_STOP, SLICE) + 1) < len(data):
+                yield data[:cut]
+                data = data[cut:]
+            yield data
+
+        size = counted = count = 0
+        docs: list[tuple[str, bytes]] = []
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                docs.append((lang, words_of(text.as_py())))
-                docs[-1][1].append(_STOP)
-                chars += len(docs[-1][1])
-                if chars >= SLICE:
-                    size, counted = size + add(docs), counted + chars
-                    docs, chars = [], 0
+                for part in parts(text.as_py()):
+                    docs.append((lang, part))
+                    count += len(part)
+                    if count >= SLICE:
+                        more, found = add(docs)
+                        size, counted, docs, count = size + more, counted + found, [], 0
                     if size >= CHUNK:
                         yield from phrases()
                         size = 0
-                    if counted >= CHUNK or len(known) >= KNOWN:
+                    if counted >= CHUNK:
                         yield from uses()
                         counted = 0
-                        if len(known) >= KNOWN:
-                            known = Numbers()
         if docs:
             add(docs)
         yield from phrases()
@@ -202,13 +224,15 @@ def _keyed(rows: DataFrame) -> DataFrame:
     """rows of _count with their key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        powers = Powers()
         for batch in batches:
             k, prefix, last = (batch.column(i).to_numpy() for i in range(3))
             key = longer_keys(prefix.view(np.uint64), last.view(np.uint64))
             one = np.flatnonzero(k == 1)
             lang, word = (batch.column(i).take(pa.array(one)).to_pylist() for i in (3, 4))
-            key[one] = word_keys(np.array([known[x.encode("utf-8", "surrogatepass")] for x in word], np.uint64), np.array([_seed(x) for x in lang], np.uint64))
+            if len(one):
+                hashes = words_of(" ".join(word).encode("utf-8", "surrogatepass"), powers)[3]  # the words are cleaned already
+                key[one] = word_keys(hashes, np.array([_seed(x) for x in lang], np.uint64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key.view(np.int64))], [*batch.schema.names, "key"])
 
     columns = [x.split()[0] for x in _ROW.split(", ")]
