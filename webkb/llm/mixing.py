@@ -6,8 +6,8 @@ pairs: of two open documents one gains and the other loses the same number of wo
 the two has p = 0 or 1. The direction is random with the odds that keep both expectations. A block
 of documents leaves one open document, the residual; residuals of FANIN blocks meet in the next
 level of a reduction tree, and the tree's root is rounded by its own p. The words taken from a source
-thus differ from its target by less than one document; folds go from long to short documents, so that
-the document left open at the root tends to be a short one.
+thus differ from its target by less than one document, which may be a long one: folds go from long to short documents, and of a pair the
+smaller one is settled. For a source of few documents that is much of its target (see the README).
 
 A block holds about BLOCK documents whatever the source's size, so a hot source is many blocks.
 Random numbers are hashes of document ids: reruns and retried tasks agree.
