@@ -101,9 +101,10 @@ def link_score(goal: str, text: Column, url: Column, context: Column | None = No
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), keyword + F.coalesce(topic, F.lit(0.0)) + penalty + telling + near))
 
 
-def prioritize(links: DataFrame, goal: str, page: str = "page_id", most: int = 10) -> DataFrame:
-    """The best links of each page by score, in page order where equal, with the page's confidence."""
-    rows = links.withColumn("score", F.round(link_score(goal, F.col("anchor_text"), F.col("target_url")), 6))
+def prioritize(links: DataFrame, goal: str, page: str = "page_id", most: int = 10, evaluated: int = 20) -> DataFrame:
+    """The best of each page's first `evaluated` links by score, in page order where equal, with the page's confidence."""
+    first = links.withColumn("_place", F.row_number().over(Window.partitionBy(page).orderBy("position"))).where(F.col("_place") <= evaluated).drop("_place")
+    rows = first.withColumn("score", F.round(link_score(goal, F.col("anchor_text"), F.col("target_url")), 6))
     every = Window.partitionBy(page)
     sure = F.least(F.lit(0.9), F.max("score").over(every) + F.avg((F.col("score") >= 0.5).cast("int")).over(every) * 0.2)
     rows = rows.withColumn("confidence", F.round(sure, 6)).withColumn("place", F.row_number().over(Window.partitionBy(page).orderBy(F.desc("score"), "position")))

@@ -34,6 +34,27 @@ def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return newest(both, keys, "_new").drop("_new")
 
 
+def changes(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: how many rows a rewrite of a table inserted, updated and deleted. Keys are unique in both; a null key is a key."""
+    rows = [df.select(*keys, F.struct(*[F.col(c) for c in old.columns]).alias("row"), F.lit(True).alias(name)) for df, name in ((old, "was"), (new, "is"))]
+    fields = [F.col(f"{side}.{k}") for k in keys for side in ("o", "n")]
+    same = fields[0].eqNullSafe(fields[1])
+    for a, b in zip(fields[2::2], fields[3::2]):
+        same = same & a.eqNullSafe(b)
+    both = rows[0].alias("o").join(rows[1].alias("n"), same, "full")
+    count = lambda condition, name: F.count_if(condition).alias(name)
+    return both.agg(
+        count(F.col("was").isNull(), "inserted"), count(F.col("was") & F.col("is") & ~F.col("o.row").eqNullSafe(F.col("n.row")), "updated"), count(F.col("is").isNull(), "deleted"),
+    )
+
+
+def newest_crawls(pages: DataFrame, crawl: str = "crawl", order: str = "page_id", most: int = 5, width: int = 40) -> DataFrame:
+    """The newest crawls: their number of pages, and the url they began with, cut to `width` characters and dots."""
+    start = F.min_by("url", order)
+    cut = F.when(F.length(start) > width, F.concat(F.substring(start, 1, width), F.lit("..."))).otherwise(start)
+    return pages.groupBy(crawl).agg(cut.alias("start_url"), F.count(F.lit(1)).alias("pages"), F.min(order).alias("began")).orderBy(F.desc("began"), crawl).limit(most)
+
+
 def insert_unique(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows with a unique key, the first by `order`; a null in the key makes a row unique, as in SQL."""
     whole = F.lit(True)

@@ -239,7 +239,7 @@ def n1_html(spark: SparkSession, d: str) -> DataFrame:
     return navigation.assess(rows, GOAL).select("page_id", "score", "relevance", "confidence")
 
 
-@query("n2_prioritize_links", _LINKS + f""", s AS (SELECT page_id, position, {_LINK_SCORE} AS score FROM (SELECT *, text AS anchor FROM l)),
+@query("n2_prioritize_links", _LINKS + f""", s AS (SELECT page_id, position, {_LINK_SCORE} AS score FROM (SELECT *, text AS anchor FROM l QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY position) <= 20)),
     w AS (SELECT *, round(least(0.9::DOUBLE, max(score) OVER (PARTITION BY page_id) + avg(CAST(score >= 0.5 AS INTEGER)) OVER (PARTITION BY page_id) * 0.2::DOUBLE), 6) AS confidence, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, position) AS place FROM s)
     SELECT page_id, position, score, confidence, CAST(place AS INTEGER) AS place FROM w WHERE place <= 10""")
 def n2(spark: SparkSession, d: str) -> DataFrame:

@@ -94,6 +94,12 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
     return one.crossJoin(table(spark, d, "documents").agg(F.count(F.lit(1)).alias("chunks")))  # two rows of one aggregate each
 
 
+@query("a18_newest_crawls", _PAGES + """SELECT domain AS crawl, CASE WHEN length(start) > 40 THEN substr(start, 1, 40) || '...' ELSE start END AS start_url, pages, began
+    FROM (SELECT domain, arg_min(url, page_id) AS start, count(*) AS pages, min(page_id) AS began FROM pg GROUP BY domain) ORDER BY began DESC, domain LIMIT 5""")
+def a18_newest(spark: SparkSession, d: str) -> DataFrame:
+    return R.newest_crawls(_pages(spark, d).withColumnRenamed("domain", "crawl"))
+
+
 _ENT = "WITH ent AS (SELECT p_partkey AS id, p_brand AS name, p_type AS entity_type, lower(trim(p_brand)) AS normalized_name, p_size AS mentions, p_partkey % 97 AS page_id FROM part) "
 
 
@@ -192,6 +198,16 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
     return R.upsert(rows, rows.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(-1.0)), ["c_custkey"])
 
 
+@query("s13_change_counts", """SELECT (SELECT count(*) FROM supplier) AS inserted,
+    (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0 AND c_custkey % 7 <> 0) AS updated, (SELECT count(*) FROM customer WHERE c_custkey % 7 = 0) AS deleted""")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    """What an upsert, an insert of new keys and a delete did to a table."""
+    old = table(spark, d, "customer").select("c_custkey", "c_acctbal")
+    changed = R.upsert(old, old.where("c_custkey % 10 = 0").withColumn("c_acctbal", F.lit(-1.0)), ["c_custkey"]).where("c_custkey % 7 <> 0")
+    added = table(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("c_custkey"), F.col("s_acctbal").alias("c_acctbal"))
+    return R.changes(old, changed.unionByName(added), ["c_custkey"])
+
+
 @query("d9_delete_cascade", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def d9(spark: SparkSession, d: str) -> DataFrame:
     gone = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
