@@ -9,6 +9,7 @@ from ..operators import executor as E
 from ..operators import fulltext as T
 from ..operators import questions as Q
 from ..operators import search as S
+from ..operators import substrings
 from ..operators import vectors as V
 from ..functions.text import fixed_chunks, tokens
 from ..sources.derived import derived, folder
@@ -398,3 +399,16 @@ def r9_follow_up(spark: SparkSession, d: str) -> DataFrame:
     ranked = T.top_k(_index(spark, d, "text"), last, 3).withColumnRenamed("rank", "final_rank").join(docs, "id")
     asked = last.select("query_id", F.col("query_id").alias("session"))
     return E.follow_up_context(asked, entries, ranked, "source", "text").select("session", F.md5("context").alias("context_md5"))
+
+
+@query("f5_substring_search", """WITH p AS (SELECT item_id AS query_id, '%' || substr(text, 3, 9) || '%' AS pattern FROM benchmark
+      UNION ALL SELECT item_id + 100000, '%' || substr(text, 10, 5) || '_' || substr(text, 16, 4) || '%' || substr(text, 40, 6) || '%' FROM benchmark)
+    SELECT query_id, doc_id AS id FROM p JOIN documents ON lower(text) LIKE lower(pattern)""")
+def f5_substring(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of each benchmark passage, plain and with wildcards."""
+    docs, text = table(spark, d, "documents"), F.col("text")
+    postings = substrings.read(spark, folder("trigrams", docs, lambda p: substrings.build(docs, "doc_id", "text", f"{p}/rows")) + "/rows")
+    part = lambda a, n: F.substring(text, a, n)
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("%"), part(3, 9), F.lit("%")).alias("plain"), F.concat(F.lit("%"), part(10, 5), F.lit("_"), part(16, 4), F.lit("%"), part(40, 6), F.lit("%")).alias("wild"))
+    patterns = asked.select("query_id", F.col("plain").alias("pattern")).union(asked.select(F.col("query_id") + 100000, "wild"))
+    return substrings.search(postings, docs, patterns, "doc_id", "text")
