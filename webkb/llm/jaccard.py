@@ -375,18 +375,17 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _filed(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """bucket, id, and first and n, the smallest id and the number of rows of the bucket."""
-    copies = sets.select("key", "d1", "d2", "size").join(classes.where("n > 1"), ["d1", "d2", "size"]).where("key != id").select("key", "id")
+    """bucket, id and n, the rows of the bucket; buckets of one row are left out. Copies that different tasks read may file a class twice."""
+    copies = sets.select("key", "d1", "d2", "size").join(classes.where("n > 1").drop("n"), ["d1", "d2", "size"]).where("key != id").select("key", "id")
     filed = sets.select("key", F.explode("buckets").alias("bucket"))
-    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = materialise(filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id"))).distinct()
-    smallest = members.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
-    return materialise(members.join(smallest, "bucket"))
+    shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n")).where("n > 1")
+    return materialise(filed.join(shared, "bucket").join(copies, "key", "left").select("bucket", F.coalesce("id", "key").alias("id"), "n"))
 
 
 def _settled(hot: DataFrame, points: DataFrame, rows: DataFrame, ranks: DataFrame, shingle: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Links of the smallest set of each hot bucket with the others, their components' labels, and the members of buckets that still have several."""
-    stars = hot.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    hot = hot.distinct()
+    stars = hot.join(hot.groupBy("bucket").agg(F.min("id").alias("first")), "bucket").where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = materialise(_verified(stars, points, rows, shingle, threshold))
     labels = materialise(components(links, ranks).select(F.col("v").alias("id"), F.col("l.v").alias("label")))
     named = hot.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
