@@ -39,8 +39,8 @@ def op5_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = chroma.recordings(_table(spark, sf_dir, "embeddings"))
-    return chroma.align(chroma.fingerprints(media, "id", "audio")).withColumnRenamed("id", "vec_id")
+    media = _table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce("embedding", F.array()).alias("embedding"))
+    return chroma.align(chroma.fingerprints(media, "vec_id", "embedding", decode=chroma.notes)).withColumnRenamed("id", "vec_id")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
