@@ -13,6 +13,7 @@ from ..operators import substrings
 from ..operators import vectors as V
 from ..functions.text import fixed_chunks, tokens
 from ..sources.derived import derived, folder
+from ..sources.segments import VectorStore
 from ..sources.tables import table
 from .relational import _CONV, _entries
 
@@ -293,6 +294,35 @@ def v10(spark: SparkSession, d: str) -> DataFrame:
     return V.remove(all_, all_.where("label IN (1, 2)")).select("vec_id")
 
 
+def _store(spark: SparkSession, d: str) -> VectorStore:
+    """All vectors added in five segments, those of labels 1 and 2 removed, of these the ids divisible by 3 added again."""
+    source = table(spark, d, "embeddings")
+
+    def fill(path: str) -> None:
+        rows = source.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+        dimensions = source.agg(F.max(F.size("embedding"))).first()[0]
+        store = VectorStore.create(spark, f"{path}/store", max(0, dimensions or 0))
+        for part in range(5):
+            store.add(rows.where(F.pmod("vec_id", F.lit(5)) == part))
+        store.remove(source.where("label IN (1, 2)").select("vec_id"))
+        store.add(rows.join(source.where("label IN (1, 2) AND vec_id % 3 = 0").select("vec_id"), "vec_id", "left_semi"))
+
+    return VectorStore(spark, folder("segments", source, fill) + "/store")
+
+
+_STORED = "(label NOT IN (1, 2) OR vec_id % 3 = 0)"
+
+
+@query("v10_segment_store", f"SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dimensions FROM embeddings WHERE {_STORED}")
+def v10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).rows().select("vec_id", F.size("vector").alias("dimensions"))
+
+
+@query("s14_segment_search", _VEC + _TOP.format(where=_STORED.replace("label", "vl")))
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).search(_vectors(spark, d)[1].select("query_id", "vector"), 10)
+
+
 @query("d2_first_variant", _LEGS + "SELECT query_id, id, source AS variant FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY source, rank) AS b FROM u) WHERE b = 1")
 def d2(spark: SparkSession, d: str) -> DataFrame:
     legs = _legs(spark, d)
