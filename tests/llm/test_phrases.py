@@ -62,6 +62,21 @@ def test_mine(spark, monkeypatch, seed, least, sample, chunk):
     assert plain(phrases.mine(docs, least=least, sample=sample, most=3)) == [w for w in want if w[1] <= 3]
 
 
+@pytest.mark.parametrize("held", [1, 300, 1_000_000])
+def test_summed_in_tasks(spark, monkeypatch, held):
+    """A task sums its own phrases across chunks, with no hash table of rows ahead of the shuffle."""
+    monkeypatch.setattr(phrases, "CHUNK", 50)
+    monkeypatch.setattr(phrases, "SLICE", 50)
+    monkeypatch.setattr(phrases, "HELD", held)
+    monkeypatch.setattr(phrases, "HELD_WORDS", held)
+    rows = texts(7)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counted = phrases._count(docs.selectExpr("coalesce(lang, 'und') AS lang", "text"), 4)
+    assert re.search(r"Exchange hashpartitioning[^\n]*\n *\+- MapInArrow", counted._jdf.queryExecution().executedPlan().toString())
+    assert counted.count() == counted.groupBy("k", "prefix", "last", "lang", "word").count().count() > 300
+    assert plain(phrases.mine(docs, least=6)) == brute([x[1:] for x in rows], 6)
+
+
 def test_full_bits(spark, monkeypatch):
     """A bitmap with every bit set counts everything, with the same result."""
     real = phrases.Bits.of

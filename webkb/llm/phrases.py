@@ -8,8 +8,9 @@ a further pass counts what is only now within the border, until there are no fai
 the sample decides the number of passes alone.
 
 The proposal goes to the tasks as a bitmap of a fixed size (BITS), one bit for each key. A phrase more than proposed only adds
-work: it is counted, exactly, and falls to the threshold. So what is sent is bounded, however many phrases are frequent. Tasks count words and phrases
-of CHUNK occurrences before Spark sums them; phrases travel as two 64-bit keys (of all but the last word, and of that word),
+work: it is counted, exactly, and falls to the threshold. So what is sent is bounded, however many phrases are frequent. Tasks sum words and phrases
+themselves, CHUNK occurrences at a time, and pass on what they hold when that is HELD phrases or HELD_WORDS words; Spark sums only after the shuffle, so that no task
+holds its distinct phrases as rows of a hash table beside that. Phrases travel as two 64-bit keys (of all but the last word, and of that word),
 texts of frequent ones are joined from their parts at the end. Ranks per language come from a window with a limit, which keeps the first rows
 of each task before they are shuffled.
 
@@ -40,8 +41,10 @@ MOST = 2000
 SAMPLE = 16  # one document in so many
 SAMPLE_LEAST = 2  # occurrences in the sample that propose a phrase; words take one
 BITS = 26
-CHUNK = 750_000
-SLICE = 1_000_000  # bytes that are taken at once
+CHUNK = 400_000
+HELD = 1_500_000  # distinct phrases a task sums before it passes them on
+HELD_WORDS = 150_000
+SLICE = 250_000  # bytes that are taken at once
 UNKNOWN = "und"
 _STOP = b"."  # a separator, so never a word
 _TABLE = bytes(46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
@@ -116,13 +119,15 @@ class Bits:
         return table
 
 
-def _merged(keys: list[np.ndarray], prefix: list[np.ndarray], last: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct phrases of a chunk and their occurrences."""
-    key, p, w = (np.concatenate(x) for x in (keys, prefix, last))
+def _merged(keys: list[np.ndarray], prefix: list[np.ndarray], last: list[np.ndarray], counts: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Distinct phrases, as lists of one array, and their occurrences."""
+    key = np.concatenate(keys)
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return p[order[first]], w[order[first]], np.diff(np.append(first, len(key)))
+    at = order[first]
+    n = np.concatenate(counts)[order]
+    return [[key[first]], [np.concatenate(prefix)[at]], [np.concatenate(last)[at]], [np.add.reduceat(n, first) if len(first) else n]]
 
 
 def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool = True) -> DataFrame:
@@ -136,31 +141,42 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
         powers = Powers()
         filters = [Bits(x.value) if x is not None else None for x in (now, before)]
         singles: list[tuple[np.ndarray, np.ndarray, list[bytes], list[str]]] = []
-        held: list[list[list[np.ndarray]]] = [[[], [], []] for _ in range(longest + 1)]
+        held: list[list[list[np.ndarray]]] = [[[], [], [], []] for _ in range(longest + 1)]
 
-        def phrases() -> Iterator[pa.RecordBatch]:
+        def phrases(least: int) -> Iterator[pa.RecordBatch]:
+            """Sum the phrases held; pass them on if they are `least` or more."""
             for k in range(2, longest + 1):
                 if held[k][0]:
-                    p, w, n = _merged(*held[k])
-                    held[k] = [[], [], []]
+                    held[k] = _merged(*held[k])
+            if sum(len(h[0][0]) for h in held if h[0]) < least:
+                return
+            for k in range(2, longest + 1):
+                if held[k][0]:
+                    _, p, w, n = (x[0] for x in held[k])
+                    held[k] = [[], [], [], []]
                     for at in range(0, len(p), 1 << 16):
                         part = slice(at, at + (1 << 16))
                         rows = len(p[part])
                         none = pa.nulls(rows, pa.string())
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, k, np.int8)), pa.array(p[part].view(np.int64)), pa.array(w[part].view(np.int64)), none, none, pa.array(n[part])], names)
 
-        def uses() -> Iterator[pa.RecordBatch]:
+        def uses(least: int) -> Iterator[pa.RecordBatch]:
+            """Likewise the words."""
             if not singles:
                 return
-            _, first, place = np.unique(np.concatenate([x[0] for x in singles]), return_index=True, return_inverse=True)
+            keys, first, place = np.unique(np.concatenate([x[0] for x in singles]), return_index=True, return_inverse=True)
             counts = np.bincount(place, np.concatenate([x[1] for x in singles]), len(first)).astype(np.int64)
             texts, langs = ([y for x in singles for y in x[i]] for i in (2, 3))
+            texts, langs = ([x[i] for i in first.tolist()] for x in (texts, langs))
             singles.clear()
-            for at in range(0, len(first), 1 << 16):
-                part = first[at : at + (1 << 16)].tolist()
-                zero = pa.array(np.zeros(len(part), np.int64))
-                word = pa.array([texts[x] for x in part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(part), np.int8)), zero, zero, pa.array([langs[x] for x in part], pa.string()), word, pa.array(counts[at : at + (1 << 16)])], names)
+            if len(keys) < least:
+                singles.append((keys, counts, texts, langs))
+                return
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                zero = pa.array(np.zeros(len(keys[part]), np.int64))
+                word = pa.array(texts[part], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(zero), np.int8)), zero, zero, pa.array(langs[part], pa.string()), word, pa.array(counts[part])], names)
 
         def add(docs: list[tuple[str, bytes]]) -> tuple[int, int]:
             """Take in a few documents; how many phrases and words they gave."""
@@ -183,9 +199,10 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
                         use &= ~(old[:-1] & old[1:])
                 prefix, last = key[:-1], one[k - 1 :]
                 key = longer_keys(prefix, last)
-                for store, values in zip(held[k], (key, prefix, last)):
-                    store.append(values[use])
-                many += int(use.sum())
+                found = int(use.sum())
+                for store, values in zip(held[k], (key[use], prefix[use], last[use], np.ones(found, np.int64))):
+                    store.append(values)
+                many += found
             return many, len(one)
 
         def parts(text: str | None) -> Iterator[bytes]:
@@ -207,17 +224,18 @@ def _count(texts: DataFrame, longest: int, now=None, before=None, words: bool =
                         more, found = add(docs)
                         size, counted, docs, count = size + more, counted + found, [], 0
                     if size >= CHUNK:
-                        yield from phrases()
+                        yield from phrases(HELD)
                         size = 0
                     if counted >= CHUNK:
-                        yield from uses()
+                        yield from uses(HELD_WORDS)
                         counted = 0
         if docs:
             add(docs)
-        yield from phrases()
-        yield from uses()
+        yield from phrases(1)
+        yield from uses(1)
 
-    return texts.mapInArrow(run, _ROW).groupBy("k", "prefix", "last", "lang", "word").agg(F.sum("f").alias("f"))
+    group = ["k", "prefix", "last", "lang", "word"]
+    return texts.mapInArrow(run, _ROW).repartition(*group).groupBy(*group).agg(F.sum("f").alias("f"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
