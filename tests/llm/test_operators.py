@@ -611,6 +611,24 @@ def test_chroma(spark):
     assert {r["id"]: r["class_id"] for r in rows}[2003] == 3
 
 
+def test_chroma_wide(spark, monkeypatch):
+    """Keys with bits of a later frame: most meetings of chance go, the noisy copies are still found and every row is exact."""
+    assert [chroma.wide_bits(n) for n in (0, 2048, 10_256, 51_282, 1 << 40)] == [0, 0, 4, 8, chroma.MOST_WIDE]
+    audio = noisy_audio(spark, np.random.default_rng(9), 60)
+    marks = chroma.fingerprints(spark.createDataFrame([*audio.items()], "id long, audio binary"), "id", "audio")
+    classes = chroma._classes(marks, 2)
+    plain = {(r["class_id"], r["match_id"]): r for r in chroma.alignments(marks, query_step=2).collect()}
+    apart = "class_id < 900 AND match_id < 900"
+    met = chroma._offsets(classes, chroma.LEAST_OVERLAP).where(apart).count()
+    for bits in (8, 12):
+        monkeypatch.setattr(chroma, "wide_bits", lambda n, bits=bits: bits)
+        assert chroma._offsets(classes, chroma.LEAST_OVERLAP).where(apart).count() < met / 4
+        got = {(r["class_id"], r["match_id"]): r for r in chroma.alignments(marks, query_step=2).collect()}
+        assert got.keys() <= plain.keys() and len(got) >= 0.93 * len(plain) > 200
+        assert all(r["votes"] >= chroma.LEAST_VOTES and r["bit_errors"] <= chroma.MOST_ERRORS and r["overlap"] >= chroma.LEAST_OVERLAP for r in got.values())
+        assert sum(r == plain[k] for k, r in got.items()) > 0.9 * len(got)
+
+
 def test_chroma_odd(spark):
     """Integers without doubts meet where they are equal; repeated and null ids, a hot integer, short and empty prints."""
     base = np.random.default_rng(6).integers(0, 1 << 32, (40, 48))
