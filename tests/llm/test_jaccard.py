@@ -115,6 +115,18 @@ def test_families(spark, seed, block):
     assert 20 < len({w[2] for w in want}) < len(rows) - 50
 
 
+@pytest.mark.parametrize("block", [100, 2])
+def test_mixed(spark, block):
+    """Members of buckets with several labels, whole buckets of any size; buckets of up to a block take one shuffle."""
+    r = random.Random(4)
+    rows = [(b, 100 * b + i, n, r.choice([7, 8]) if b % 2 else 7) for b in range(60) for n in [r.choice([2, 3, 5])] for i in range(n)]
+    late = spark.createDataFrame(rows, "bucket long, id long, n int, label long")
+    found = jaccard._mixed(late, block)
+    assert plain(found) == sorted((x for x in rows if len({y[3] for y in rows if y[0] == x[0]}) > 1), key=str) != []
+    plan = jaccard._mixed(late.where(f"n <= {block}"), block)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == late.columns and "Window" in plan
+
+
 def test_odd(spark):
     docs = odd_docs(spark)
     assert plain(jaccard.near_duplicates(docs)) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
