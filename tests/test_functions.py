@@ -75,6 +75,15 @@ def test_question_types(spark):
     assert questions.expand(questions.parse(rows)).first()["search_queries"][0] == "new york city today"
 
 
+def test_question_words_end_as_in_sql(spark):
+    """Word boundaries stand between ASCII word characters and all others, as the SQL forms of q1, q7, q9 and q10 have them."""
+    asked = ["doñez es la", "dónde es", "é what", "newé", "is it"]
+    assert column(spark, asked, questions.question_type) == ["yes_no", "open_ended", "open_ended", "open_ended", "yes_no"]
+    assert column(spark, asked, questions.time_constraint) == [None, None, None, "recent", None]
+    assert column(spark, ["éarlier", "éthat", "andé"], questions.is_follow_up) == [False, False, True]
+    assert column(spark, ["the top 5é", "étop 7"], questions.limit_constraint) == [5, 7]
+
+
 def test_html():
     root = H.pruned(H.tree("<html lang=en><head><title>T &amp; U</title><script>var a='</p>'</script></head><body><nav><a href='/n'>n</a></nav><main><h1>Head</h1><p>Some <b>bold</b> text<ul><li>one<li>two</ul><table><tr><td>a<td>b</table></main></body></html>"))
     blocks = H.blocks(root)
