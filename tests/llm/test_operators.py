@@ -629,6 +629,17 @@ def test_chroma_wide(spark, monkeypatch):
         assert sum(r == plain[k] for k, r in got.items()) > 0.9 * len(got)
 
 
+def test_chroma_whole(spark, monkeypatch):
+    """What is found does not depend on the number of recordings: wide keys, as large tables would get them, miss a copy whose only votes lie at its end."""
+    base = np.random.default_rng(7).integers(0, 1 << 32, (4, 48))
+    late = base[0] ^ 7  # three bits of every frame differ
+    late[-2:] = base[0][-2:]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate([*base, late])], "id long, integers array<bigint>")
+    monkeypatch.setattr(chroma, "wide_bits", lambda n: 8)
+    assert [(r["class_id"], r["match_id"], r["offset"], r["votes"]) for r in chroma.alignments(rows).collect()] == [(0, 4, 0, 2)]
+    assert chroma.alignments(rows, narrow=True).count() == 0
+
+
 def test_chroma_odd(spark):
     """Integers without doubts meet where they are equal; repeated and null ids, a hot integer, short and empty prints."""
     base = np.random.default_rng(6).integers(0, 1 << 32, (40, 48))
