@@ -166,6 +166,22 @@ def test_cells_left_aside(spark):
     assert len(met) < 0.35 * len(pivots) * (len(pivots) + 1) / 2
 
 
+def test_similar_pairs_in_strips(spark):
+    """Blocks meet in strips, whatever their size; greedy by plain calculation."""
+    r = np.random.default_rng(8)
+    vectors_ = r.normal(size=(300, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors_)], "vec_id long, vector array<double>")
+    unit = vectors_ / np.linalg.norm(vectors_, axis=1, keepdims=True)
+    want = sorted((i, j) for i in range(300) for j in range(i + 1, 300) if round(float(unit[i] @ unit[j]), 6) >= 0.5)
+    for strip in (20, 70, 1000):
+        assert sorted((x["a"], x["b"]) for x in vectors.similar_pairs(frame, 0.5, rows=15, strip=strip).collect()) == want
+    by, pairs = {}, set(want)
+    for i in range(300):
+        earlier = [a for a in range(i) if by[a] == a and (a, i) in pairs]
+        by[i] = min(earlier, default=i)
+    assert dict(map(tuple, vectors.deduplicate(frame, 0.5).collect())) == by
+
+
 def test_similar_pairs_lose_nothing(spark):
     """Pairs just above the registered threshold of 0.9: each vector has one partner at a cosine of 0.901 to 0.92."""
     rng = np.random.default_rng(3)

@@ -16,7 +16,9 @@ from ..functions.udf import arrow_udf
 
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096  # vectors compared at once
 PIVOTS = 512  # cells of a similarity join at most
+STRIP, STRIPS = 65_536, 8  # vectors of a task's side at most, and into how many sides fewer are dealt
 _SLACK = 1e-6  # of angles and scores, for rounding
+_ROUGH = 1e-4  # of scores in single precision
 _WORDS = re.compile(r"\w+")
 
 
@@ -306,12 +308,22 @@ def cell_pairs(radii: np.ndarray, pivots: np.ndarray, widest: float) -> np.ndarr
     return np.argwhere(np.triu(near))
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024) -> DataFrame:
+def _near(p: np.ndarray, q: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and scores of the pairs of two blocks of unit vectors that reach `least`; single precision leaves most aside."""
+    x, y = np.nonzero(p.astype(np.float32) @ q.T.astype(np.float32) >= least - _ROUGH)
+    score = (p @ q.T)[x, y] if len(x) * 16 > len(p) * len(q) else (p[x] * q[y]).sum(1)
+    score = np.round(score, 6) + 0.0
+    enough = score >= least
+    return x[enough], y[enough], score[enough]
+
+
+def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024, strip: int = STRIP) -> DataFrame:
     """(a, b, score) with a < b and cosine of `least` or more, exactly. Equal vectors belong together beforehand (see deduplicate).
 
     Vectors stand in the cells of their nearest pivots; cells meet only if their pivots' angle, less both radii, is within the
-    threshold's, and in a meeting only the members that are within it of the other cell's pivot and radius. Cells are
-    dealt in blocks of about `rows`, so that a crowded one is many tasks. A pair of blocks is one matrix product, of which only the pairs found leave the task.
+    threshold's, and in a meeting only the members that are within it of the other cell's pivot and radius. Cells are cut into
+    blocks of about `rows`, and blocks, those of near pivots together, dealt to strips of at most about `strip` vectors. Two strips with cells that meet are one
+    task, which multiplies their blocks one by one, so a vector is shuffled once for each strip and not for each block. Only pairs found leave the task.
     A threshold that random vectors reach prunes nothing: then all cells meet, as they must. A zero vector has a cosine of 0 with any other.
     """
     from ..sources.shared import materialise
@@ -319,7 +331,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024) ->
     spark = vectors.sparkSession
     unit = F.transform(F.array(F.greatest(norm(F.col("vector")), F.lit(1e-300))), lambda n: F.transform("vector", lambda x: x.cast("double") / n))[0]
     whole = vectors.select("vec_id", unit.alias("unit"))
-    count = whole.count()
+    count = vectors.count()
     placed, pivots = cells(whole, max(1, min(PIVOTS, count // rows)))
     placed = materialise(placed)
     found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # one row for each pivot
@@ -327,54 +339,72 @@ def similar_pairs(vectors: DataFrame, least: float = 0.95, rows: int = 1024) ->
     for r in found:
         radii[r["cell"]] = r["radius"]
     widest = float(np.arccos(np.clip(least - _SLACK, -1, 1)))
-    near = spark.createDataFrame(pd.DataFrame(cell_pairs(radii, pivots, widest) if count else np.zeros((0, 2)), columns=["i", "j"]).astype("int32"), "i int, j int")  # at most PIVOTS squared
-    sizes = spark.createDataFrame([(r["cell"], int(1 + r["n"] // rows)) for r in found], "cell int, parts int")
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    blocks = materialise(dealt.groupBy("cell", "part").agg(F.collect_list(F.struct("vec_id", "unit")).alias("held")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, j, same, left, right in batch[["i", "j", "same", "left", "right"]].itertuples(index=False):
-                sides = []
-                for held, other in ((left, j), (right, i)):
-                    ids, m = np.array([h["vec_id"] for h in held]), np.array([h["unit"] for h in held], float)
-                    if i != j:
-                        inside = np.arccos(np.clip(m @ pivots[other], -1, 1)) <= radii[other] + widest + _SLACK
-                        ids, m = ids[inside], m[inside]
-                    sides.append((ids, m))
-                (ids_p, p), (ids_q, q) = sides
-                s = np.round(p @ q.T, 6) + 0.0
-                x, y = np.nonzero(s >= least)
-                a, b = ids_p[x], ids_q[y]
-                once = a < b if same else np.ones(len(a), bool)
-                yield pd.DataFrame({"a": np.minimum(a, b)[once], "b": np.maximum(a, b)[once], "score": s[x, y][once]})
-
-    left, right = (blocks.select(F.col("cell").alias(c), F.col("part").alias(f"part_{c}"), F.col("held").alias(name)) for c, name in (("i", "left"), ("j", "right")))
-    met = near.join(left, "i").join(right, "j").where("i < j OR part_i <= part_j").withColumn("same", F.expr("i = j AND part_i = part_j"))
-    return met.select("i", "j", "same", "left", "right").repartition(F.col("i"), F.col("j"), F.xxhash64("left.vec_id", "right.vec_id")).mapInPandas(run, "a long, b long, score double")
+    meets = np.zeros((len(pivots), len(pivots)), bool)
+    for i, j in cell_pairs(radii, pivots, widest) if count else []:
+        meets[i, j] = meets[j, i] = True  # at most PIVOTS squared
+    most = max(1, min(strip, max(rows, -(-count // STRIPS))))
+    blocks, filled = [], 0
+    for r in sorted(found, key=lambda r: -float(pivots[r["cell"]] @ pivots[0])):
+        parts = 1 + r["n"] // rows
+        for part in range(parts):
+            blocks.append((r["cell"], part, parts, int(filled // most)))
+            filled += r["n"] / parts
+    strips = [{c for c, _, _, s in blocks if s == i} for i in range(1 + max((b[3] for b in blocks), default=-1))]
+    joint = [(i, j) for i, x in enumerate(strips) for j, y in enumerate(strips) if i <= j and meets[np.ix_(sorted(x), sorted(y))].any()]
+    where = spark.createDataFrame([(s, i, j) for i, j in joint for s in {i, j}], "strip int, i int, j int")
+    dealt = placed.join(F.broadcast(spark.createDataFrame([(c, n) for c, part, n, _ in blocks if part == 0], "cell int, parts int")), "cell")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    dealt = dealt.join(F.broadcast(spark.createDataFrame([(c, part, s) for c, part, _, s in blocks], "cell int, part int, strip int")), ["cell", "part"])  # one row for each block
+    met = dealt.join(F.broadcast(where), "strip").select("i", "j", "strip", "cell", "part", "vec_id", "unit")
+
+    def run(key: tuple, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right = (k.as_py() for k in key)
+        strip, cell, part, ids = (table.column(c).to_numpy() for c in ("strip", "cell", "part", "vec_id"))
+        units = table.column("unit").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        order = np.lexsort((ids, part, cell, strip))
+        cuts = np.flatnonzero(np.any([np.diff(c[order], prepend=-1) for c in (strip, cell, part)], axis=0)) if len(order) else []
+        held = [(strip[at[0]], cell[at[0]], at) for at in np.split(order, cuts[1:]) if len(at)]
+        for x, (s, i, p) in enumerate(held):
+            for y, (t, j, q) in enumerate(held):
+                if s != left or t != right or (left == right and x > y) or not meets[i, j]:
+                    continue
+                u, v = p, q
+                if i != j:
+                    u = p[np.arccos(np.clip(units[p] @ pivots[j], -1, 1)) <= radii[j] + widest + _SLACK]
+                    v = q[np.arccos(np.clip(units[q] @ pivots[i], -1, 1)) <= radii[i] + widest + _SLACK]
+                for at in range(0, len(u), rows):
+                    for to in range(0, len(v), rows):
+                        e, f, score = _near(units[u[at : at + rows]], units[v[to : to + rows]], least)
+                        a, b = ids[u[at + e]], ids[v[to + f]]
+                        once = a < b if x == y else np.ones(len(a), bool)
+                        if once.any():
+                            columns = np.minimum(a, b)[once], np.maximum(a, b)[once], score[once]
+                            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2])], ["a", "b", "score"])
+
+    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(key, pa.Table.from_batches(list(batches)))
+
+    return met.groupBy("i", "j").applyInArrow(meet, "a long, b long, score double")
 
 
 def deduplicate(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(vec_id, kept_by): greedy by id, where only kept vectors suppress later ones; kept ones name themselves.
 
-    Equal vectors fold into their first. On the graph of similar pairs a vector is kept once all earlier neighbours are
-    suppressed, and suppressed by its first kept neighbour; rounds of joins settle them all."""
+    Equal vectors fold into their first. On the graph of similar pairs, round by round, a vector without an open earlier neighbour is kept and suppresses its
+    neighbours, and edges of suppressed vectors go. In the end each suppressed vector names its first kept neighbour."""
     from ..sources.shared import materialise
 
     classes = materialise(vectors.groupBy(F.col("vector")).agg(F.min("vec_id").alias("vec_id")))
     edges = materialise(similar_pairs(classes, least).select("a", "b"))
-    nodes = classes.select("vec_id", F.lit(None).cast("long").alias("kept_by"))
-    while True:
-        kept = nodes.where("kept_by = vec_id").select(F.col("vec_id").alias("a"))
-        by = edges.join(kept, "a").groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("by"))
-        waiting = edges.join(nodes.where("kept_by IS NULL").select(F.col("vec_id").alias("a")), "a").select(F.col("b").alias("vec_id"), F.lit(True).alias("waits")).distinct()
-        state = nodes.join(by, "vec_id", "left").join(waiting, "vec_id", "left")
-        settled = F.when(F.col("waits").isNull(), F.coalesce("by", "vec_id"))
-        nodes = materialise(state.select("vec_id", F.coalesce("kept_by", settled).alias("kept_by")))
-        if nodes.where("kept_by IS NULL").isEmpty():
-            break
-    named = classes.join(nodes, "vec_id").select("vector", "kept_by")
-    return vectors.join(named, "vector").select("vec_id", "kept_by")
+    rest, gone = edges, classes.select("vec_id").limit(0)
+    while not rest.isEmpty():
+        kept = rest.select("a").distinct().join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        new = materialise(rest.join(kept, "a", "left_semi").select(F.col("b").alias("vec_id")).distinct())
+        rest = materialise(rest.join(new.withColumnRenamed("vec_id", "b"), "b", "left_anti").join(new.withColumnRenamed("vec_id", "a"), "a", "left_anti").select("a", "b"))
+        gone = gone.union(new)
+    by = edges.join(gone.select(F.col("vec_id").alias("a")), "a", "left_anti").groupBy(F.col("b").alias("vec_id")).agg(F.min("a").alias("by"))
+    nodes = classes.join(by, "vec_id", "left").select("vector", F.coalesce("by", "vec_id").alias("kept_by"))
+    return vectors.join(nodes, "vector").select("vec_id", "kept_by")
 
 
 def add(index: DataFrame, rows: DataFrame, dimensions: int) -> DataFrame:
