@@ -181,3 +181,14 @@ def test_navigate_and_progress(spark):
     assert [r["norm_url"] for r in got][:2] == ["http://a/", "http://a/pricing"] and len(got) == 3
     row = crawl.progress(spark.createDataFrame([("ok",), ("failed",), ("ok",)], "status string"), F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 00:01:00").cast("timestamp")).first()
     assert (row["crawled"], row["failed"], row["pages_per_minute"]) == (2, 1, 2.0)
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark, monkeypatch):
+    """Slices of a batch give the rows that whole batches gave, and empty pages theirs."""
+    html = [f"<html lang=en><title>T{i}</title><body><h1 id=a{i}>H</h1><p>Some text {i} <a href=/x{i}>l</a></p></body></html>" for i in range(7)] + [None, ""]
+    frame = spark.createDataFrame([(i, f"http://a.org/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    assert pages.PAGES < 1000
+    monkeypatch.setattr(pages, "PAGES", 2)
+    got = frame.select("page_id", pages.parse_page("html", "url").alias("p")).orderBy("page_id").collect()
+    assert [r["p"]["title"] for r in got[:7]] == [f"T{i}" for i in range(7)] and got[3]["p"]["blocks"][0]["attributes"] is not None
+    assert [x["url"] for r in got[:7] for x in r["p"]["links"]] == [f"http://a.org/x{i}" for i in range(7)] and got[8]["p"]["blocks"] == []
